@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import staged
 from .components import connected_components
 from .keys import texts
 from .shingles import WordHashes, shingle_set
@@ -148,11 +148,11 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: in
     met = token.selectExpr(
         "token", "h", "min(h) over (partition by token) as low", "max(h) over (partition by token) as high"
     )
-    met = cut(met.where("low < high").select("token", "h", "low").distinct())
+    met = staged(met.where("low < high").select("token", "h", "low").distinct())
     # groups of similar documents, dealt into blocks of about `block` shingles
     member = met.groupBy("h").agg(F.min("low").alias("g")).join(reps, "h")
     size = member.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(block)).alias("parts"))
-    member = cut(
+    member = staged(
         member.join(size, "g").select("h", "k", "n", F.xxhash64("g", F.pmod(F.xxhash64("h"), F.col("parts"))).alias("b"))
     )
     matrix = met.join(member.select("h", "b"), "h").select("token", "b").distinct()
@@ -218,7 +218,7 @@ def ngram_jaccard_classes(
     hash of the text does. An empty table gives an empty result; other columns are ignored.
     """
     rows = texts(docs, doc_id, text)
-    sets = cut(shingle_sets(rows, k, percent))
+    sets = staged(shingle_sets(rows, k, percent))
     links = near_links(rows, sets, k, percent, block)
     roots = connected_components(links)
     found = sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("i"), F.min("k").alias("j"))
