@@ -1,15 +1,19 @@
 """N-gram Jaccard join (6): a token-group matrix over prefix-filtered shingle sets.
 
 Every text becomes the set of its distinct five-word shingles. Sets are ordered globally: by how often a shingle is met
-(frequent ones last), then by hash. Two sets of Jaccard 0.8 or more share a shingle among the first n - ceil(0.8 n) + 1
-of either (its prefix), so:
-
-1. documents that share a prefix shingle are partitioned into groups, named by the least set hash met; a group is dealt
-   into blocks of bounded total size;
-2. the matrix has a row for each (prefix shingle, block) that occurs: the token union of the block;
-3. blocks meet only if the matrix gives them a common shingle. Within a task each query set is first bounded by its
-   overlap with the other block's whole token union, and the block's sets are opened only if that reaches 0.8 n;
-4. a task returns a spanning forest of the links it verified, never all pairs; components are then joined up.
+(frequent ones last), then by hash. The first n - ceil(0.8 n) + s shingles of a set are its prefix, with a slack of
+s = ceil(n / 20): two sets of Jaccard 0.8 or more have at least the smaller slack in common within their prefixes, which
+is at least ceil(0.8 n / 20) for either.
+
+1. Documents that share prefix shingles are partitioned into groups, named by the least set hash met most often; a group
+   is dealt into blocks of bounded total size.
+2. The matrix has a row for each (prefix shingle, block) that occurs: the token union of the block.
+3. Every set is a query against the matrix. It opens a block only if the block's union holds enough of its prefix. A
+   shingle in more than 64 sets is left out of a query, and its bound lowered by as much, where that leaves a bound of
+   one at least; a set for which it doesn't asks with all its shingles. Either way no link is lost.
+4. A task has the queries of two blocks against each other. A query is bounded once more, by its overlap with the whole
+   union of the other side, before the sets there are opened. It returns a spanning forest of the links it verified,
+   never all pairs; components are then joined up.
 
 Equal sets are one set throughout, so groups of exact copies cost one row per task.
 """
@@ -34,8 +38,15 @@ BATCH_DF = 4
 RANKED = 100_000
 
 
+#: The prefix is longer by n / SLACK shingles than one common shingle would take; as many must then be common.
+SLACK = 20
+#: Shingles in more sets than this are left out of a query as long as the slack allows; else it asks with all of them.
+FREQUENT = 64
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    """Sets of Jaccard percent/100 have at least min(slack) shingles in common within these prefixes."""
+    return min(n, n - (percent * n + 99) // 100 + (n + SLACK - 1) // SLACK)
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -146,23 +157,33 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: in
     reps = sets.where("n > 0").groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"))
     token = sets.where("prefix is not null").select("h", F.explode("prefix").alias("token"))
     met = token.selectExpr(
-        "token", "h", "min(h) over (partition by token) as low", "max(h) over (partition by token) as high"
+        "token", "h", "min(h) over (partition by token) as low", f"count(*) over (partition by token) > {FREQUENT} as often",
+        "max(h) over (partition by token) as high",
     )
-    met = staged(met.where("low < high").select("token", "h", "low").distinct())
-    # groups of similar documents, dealt into blocks of about `block` shingles
-    member = met.groupBy("h").agg(F.min("low").alias("g")).join(reps, "h")
+    met = staged(met.where("low < high").drop("high").distinct())
+    # groups of similar documents, named by the leader met most; dealt into blocks of about `block` shingles
+    member = met.groupBy("h", "low").agg(F.count("*").alias("c"), F.count_if("often").alias("o"))
+    member = member.groupBy("h").agg(
+        F.sum("c").alias("c"), F.sum("o").alias("o"), F.max_by("low", F.struct("c", "low")).alias("g")
+    )
+    need = F.expr(f"(n * {percent} + {100 * SLACK - 1}) div {100 * SLACK}")
+    member = member.join(reps, "h").withColumn("need", need).where("c >= need")
     size = member.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(block)).alias("parts"))
     member = staged(
-        member.join(size, "g").select("h", "k", "n", F.xxhash64("g", F.pmod(F.xxhash64("h"), F.col("parts"))).alias("b"))
-    )
-    matrix = met.join(member.select("h", "b"), "h").select("token", "b").distinct()
-    pairs = (
-        matrix.join(matrix.withColumnRenamed("b", "c"), "token").where("b <= c").select("b", "c").distinct()
-        .withColumn("pair", F.xxhash64("b", "c"))
+        member.join(size, "g").select(
+            "h", "k", "need", "o", F.xxhash64("g", F.pmod(F.xxhash64("h"), F.col("parts"))).alias("b"), F.expr("need <= o").alias("all"),
+        )
     )
-    sides = pairs.select("pair", "b", F.lit(0).alias("side")).unionByName(
-        pairs.where("b < c").select("pair", F.col("c").alias("b"), F.lit(1).alias("side"))
+    mine = met.join(member.select("h", "b", "need", "o", "all"), "h").select("token", "often", "h", "b", "need", "o", "all")
+    matrix = mine.groupBy("token", "b").agg(F.count("*").alias("m")).withColumnRenamed("b", "c")
+    # queries against the matrix: how much of the prefix each group holds
+    hits = mine.where("all or not often").join(matrix, "token").where("b <> c or m > 1")
+    hits = hits.groupBy("h", "b", "c").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("o").alias("o"), F.first("all").alias("all"))
+    hits = staged(
+        hits.where("n >= if(all, need, need - o)")
+        .select("h", F.xxhash64(F.least("b", "c"), F.greatest("b", "c")).alias("pair"), F.expr("int(b > c)").alias("side"))
     )
+    asked = hits.select("h").distinct().join(member.select("h", "k"), "h")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -175,15 +196,14 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: in
                     found.append(s.tobytes())
             cache.trim()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64())), pa.array(found, pa.binary())],
-                ["h", "b", "tokens"],
+                [batch.column(1).take(pa.array(keep, pa.int64())), pa.array(found, pa.binary())], ["h", "tokens"]
             )
 
-    members = (
-        docs.select("k", "text").join(member.select("k", "h", "b"), "k").select("text", "h", "b")
-        .mapInArrow(whole, "h long, b long, tokens binary")
+    opened = (
+        docs.select("k", "text").join(asked, "k").select("text", "h")
+        .mapInArrow(whole, "h long, tokens binary")
     )
-    dealt = members.join(sides, "b").select("pair", "side", "h", "tokens")
+    dealt = opened.join(hits, "h").select("pair", "side", "h", "tokens")
     dealt = dealt.repartition("pair").sortWithinPartitions("pair")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
