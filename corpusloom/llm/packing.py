@@ -20,7 +20,14 @@ from tokenizers import Tokenizer
 
 from .keys import texts
 
-_LOADED: dict[str, Tokenizer] = {}
+_CACHES: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    """One cache a Python worker, kept from task to task."""
+    if path not in _CACHES:
+        _CACHES[path] = ChunkIds(path)
+    return _CACHES[path]
 
 
 class ChunkIds(dict):
@@ -32,9 +39,7 @@ class ChunkIds(dict):
 
     def __init__(self, path: str, limit: int = 400_000):
         super().__init__({"": b""})
-        if path not in _LOADED:
-            _LOADED[path] = Tokenizer.from_file(path)
-        self.encode, self.limit = _LOADED[path].encode, limit
+        self.encode, self.limit = Tokenizer.from_file(path).encode, limit
 
     def __missing__(self, chunk: str) -> bytes:
         plain = chunk.isascii() and chunk.rstrip(".,")
@@ -135,7 +140,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packer = ChunkIds(path), LevelPacker(capacity)
+        cache, packer = chunk_ids(path), LevelPacker(capacity)
         sequence = (TaskContext.get().partitionId()) << 40
         # a piece: doc_id, start, all ids of the document as bytes, length
         cut = lambda p, n: ((*p[:3], n), (p[0], p[1] + n, p[2], p[3] - n))
