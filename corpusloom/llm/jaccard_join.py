@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .components import connected_components
-from .keys import texts
+from .keys import doc_key, texts
 from .shingles import WordHashes, shingle_set
 
 #: A shingle met this often in one batch is reported; the sum over batches ranks frequent shingles.
@@ -248,3 +248,15 @@ def ngram_jaccard_classes(
     empty = sets.where("n = 0").select("k", "doc_id", "n", F.col("k").alias("component_id"))
     full = sets.where("n > 0").join(found, "h").select("k", "doc_id", "n", "component_id")
     return full.unionByName(empty).withColumnRenamed("n", "n_shingles")
+
+
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, with one document of each component: the one that names it.
+
+    Of rows that repeat both id and text, one stays. See ngram_jaccard_classes for links, nulls and empty texts.
+    """
+    classes = ngram_jaccard_classes(docs, doc_id=doc_id, text=text, **options)
+    stay = classes.where("k = component_id").select(F.col("k").alias("_k")).distinct()
+    keyed = docs.withColumn("_key", doc_key(doc_id, text)).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = keyed.join(stay, F.col("_key") == F.col("_k"), "left_semi")
+    return kept.dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
