@@ -8,9 +8,9 @@ is at least ceil(0.8 n / 20) for either.
 1. Documents that share prefix shingles are partitioned into groups, named by the least set hash met most often; a group
    is dealt into blocks of bounded total size.
 2. The matrix has a row for each (prefix shingle, block) that occurs: the token union of the block.
-3. Every set is a query against the matrix. It opens a block only if the block's union holds enough of its prefix. A
-   shingle in more than 64 sets is left out of a query, and its bound lowered by as much, where that leaves a bound of
-   one at least; a set for which it doesn't asks with all its shingles. Either way no link is lost.
+3. Every set is a query against the matrix. It opens a block only if the block's union holds enough of its prefix. It
+   asks without those of its prefix shingles that most sets have, fewer of them than must be common, and with a bound
+   that is lower by as many: no link is lost.
 4. A task has the queries of two blocks against each other. A query is bounded once more, by its overlap with the whole
    union of the other side, before the sets there are opened. It returns a spanning forest of the links it verified,
    never all pairs; components are then joined up.
@@ -40,8 +40,8 @@ RANKED = 100_000
 
 #: The prefix is longer by n / SLACK shingles than one common shingle would take; as many must then be common.
 SLACK = 20
-#: Shingles in more sets than this are left out of a query as long as the slack allows; else it asks with all of them.
-FREQUENT = 64
+#: Per cent of the slack that a query leaves out, its most frequent prefix shingles; the bound is lowered by as many.
+DROPPED = 75
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -157,30 +157,28 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: in
     reps = sets.where("n > 0").groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"))
     token = sets.where("prefix is not null").select("h", F.explode("prefix").alias("token"))
     met = token.selectExpr(
-        "token", "h", "min(h) over (partition by token) as low", f"count(*) over (partition by token) > {FREQUENT} as often",
-        "max(h) over (partition by token) as high",
+        "token", "h", "min(h) over (partition by token) as low", "max(h) over (partition by token) as high",
+        "count(*) over (partition by token) as f",
     )
     met = staged(met.where("low < high").drop("high").distinct())
     # groups of similar documents, named by the leader met most; dealt into blocks of about `block` shingles
-    member = met.groupBy("h", "low").agg(F.count("*").alias("c"), F.count_if("often").alias("o"))
-    member = member.groupBy("h").agg(
-        F.sum("c").alias("c"), F.sum("o").alias("o"), F.max_by("low", F.struct("c", "low")).alias("g")
-    )
+    member = met.groupBy("h", "low").agg(F.count("*").alias("c"))
+    member = member.groupBy("h").agg(F.sum("c").alias("c"), F.max_by("low", F.struct("c", "low")).alias("g"))
     need = F.expr(f"(n * {percent} + {100 * SLACK - 1}) div {100 * SLACK}")
     member = member.join(reps, "h").withColumn("need", need).where("c >= need")
     size = member.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(block)).alias("parts"))
     member = staged(
-        member.join(size, "g").select(
-            "h", "k", "need", "o", F.xxhash64("g", F.pmod(F.xxhash64("h"), F.col("parts"))).alias("b"), F.expr("need <= o").alias("all"),
-        )
+        member.join(size, "g").select("h", "k", "need", F.xxhash64("g", F.pmod(F.xxhash64("h"), F.col("parts"))).alias("b"))
+    )
+    mine = met.join(member.select("h", "b", "need"), "h").selectExpr(
+        "token", "h", "b", "need", f"need * {DROPPED} div 100 as r", "row_number() over (partition by h order by f desc, token) as i"
     )
-    mine = met.join(member.select("h", "b", "need", "o", "all"), "h").select("token", "often", "h", "b", "need", "o", "all")
     matrix = mine.groupBy("token", "b").agg(F.count("*").alias("m")).withColumnRenamed("b", "c")
     # queries against the matrix: how much of the prefix each group holds
-    hits = mine.where("all or not often").join(matrix, "token").where("b <> c or m > 1")
-    hits = hits.groupBy("h", "b", "c").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("o").alias("o"), F.first("all").alias("all"))
+    hits = mine.where("i > r").join(matrix, "token").where("b <> c or m > 1")
+    hits = hits.groupBy("h", "b", "c").agg(F.count("*").alias("n"), F.first(F.col("need") - F.col("r")).alias("need"))
     hits = staged(
-        hits.where("n >= if(all, need, need - o)")
+        hits.where("n >= need")
         .select("h", F.xxhash64(F.least("b", "c"), F.greatest("b", "c")).alias("pair"), F.expr("int(b > c)").alias("side"))
     )
     asked = hits.select("h").distinct().join(member.select("h", "k"), "h")
