@@ -15,6 +15,8 @@ is at least ceil(0.8 n / 20) for either.
    union of the other side, before the sets there are opened. It returns a spanning forest of the links it verified,
    never all pairs; components are then joined up.
 
+The sides of these joins grow with the input, so they are merged by shuffles at every size and never broadcast.
+
 Equal sets are one set throughout, so groups of exact copies cost one row per task.
 """
 from __future__ import annotations
@@ -170,7 +172,7 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: in
     member = staged(
         member.join(size, "g").select("h", "k", "need", F.xxhash64("g", F.pmod(F.xxhash64("h"), F.col("parts"))).alias("b"))
     )
-    mine = met.join(member.select("h", "b", "need"), "h").selectExpr(
+    mine = met.join(member.select("h", "b", "need").hint("merge"), "h").selectExpr(
         "token", "h", "b", "need", f"need * {DROPPED} div 100 as r", "row_number() over (partition by h order by f desc, token) as i"
     )
     matrix = mine.groupBy("token", "b").agg(F.count("*").alias("m")).withColumnRenamed("b", "c")
@@ -198,10 +200,10 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: in
             )
 
     opened = (
-        docs.select("k", "text").join(asked, "k").select("text", "h")
+        docs.select("k", "text").join(asked.hint("merge"), "k").select("text", "h")
         .mapInArrow(whole, "h long, tokens binary")
     )
-    dealt = opened.join(hits, "h").select("pair", "side", "h", "tokens")
+    dealt = opened.join(hits.hint("merge"), "h").select("pair", "side", "h", "tokens")
     dealt = dealt.repartition("pair").sortWithinPartitions("pair")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
