@@ -23,13 +23,15 @@ RANKED, SLOTS = 32768, 1 << 18
 
 
 def line_words(line: Column) -> Column:
-    """Lower-cased words of a line."""
-    return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
+    """Words of a (lower-cased) line; the cheap cut at single blanks serves where there is no other white space."""
+    cut = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+    return F.array_remove(cut, "")
 
 
 def rarity_classes(rows: DataFrame) -> list[int]:
     """A class for each slot: 0, or a logarithm of the count of a frequent word. From the counts of all words."""
-    word = rows.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).select(F.xxhash64("w").alias("x"))
+    lines = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("t"))
+    word = lines.select(F.explode(line_words(F.col("t"))).alias("w")).select(F.hash("w").alias("x"))
     most = word.groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(RANKED).collect()
     classes = [0] * SLOTS
     for r in most:
@@ -39,17 +41,14 @@ def rarity_classes(rows: DataFrame) -> list[int]:
 
 
 def line_sets(rows: DataFrame, least: int) -> DataFrame:
-    """`h, at, w`: every distinct set, its words as longs in the order, and the first line that has it."""
+    """`h, at, w`: every distinct set, its word hashes in the order, and the first line that has it."""
     classes = F.from_json(F.lit(json.dumps(rarity_classes(rows))), "array<bigint>")
-    lines = rows.select("k", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = rows.select("k", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "t"))
     lines = lines.select("k", "line", line_words(F.col("t")).alias("w")).where(F.size("w") >= least)
-    lines = lines.select("k", "line", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     # one long a word, its class above its hash: the order of longs is the order by rarity
-    ranked = F.transform(
-        "w",
-        lambda x: F.shiftleft(F.get(classes, F.pmod(x, F.lit(SLOTS)).cast("int")), 55).bitwiseOR(x.bitwiseAND((1 << 55) - 1)),
-    )
+    ranked = F.transform("w", lambda x: F.shiftleft(F.get(classes, F.pmod(F.hash(x), F.lit(SLOTS))), 32) + F.hash(x) + (1 << 31))
     lines = lines.select("k", "line", F.sort_array(F.array_distinct(ranked)).alias("w"))
+    lines = lines.select("k", "line", F.expr("transform(w, x -> int((x & 4294967295) - 2147483648))").alias("w"))
     lines = lines.select(F.xxhash64("w").alias("h"), F.struct("k", "line").alias("at"), "w")
     return lines.groupBy("h").agg(F.min("at").alias("at"), F.first("w").alias("w"))
 
@@ -60,19 +59,20 @@ def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
     sets = line_sets(rows, least).where("at.line >= 0 and size(w) > 0")
     prefix = f"slice(w, 1, int(size(w) - (size(w) * {percent} + 99) div 100 + 1))"
     posted = sets.select(
-        "h", F.expr("size(w)").alias("n"), F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, int(x & 63)))").alias("p"),
+        "h", F.expr("size(w)").alias("n"), F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, x & 63))").alias("p"),
         F.posexplode(F.expr(prefix)).alias("i", "x"),
-    ).select("x", "h", F.expr("n * 65536L * 16 + i").alias("ni"), "p")
+    ).select("h", "p", F.expr("bigint(x) * 4294967296 + bigint(least(n, 65535)) * 65536 + least(i, 65535)").alias("xni"))
     a, b = posted.alias("a"), posted.alias("b")
-    n, m, i, j = "(a.ni >> 20)", "(b.ni >> 20)", "(a.ni & 1048575)", "(b.ni & 1048575)"
+    n, m, i, j = "((a.xni >> 16) & 65535)", "((b.xni >> 16) & 65535)", "(a.xni & 65535)", "(b.xni & 65535)"
     common = f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
     near = (
-        f"a.x = b.x and a.h <> b.h and 100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n}"
+        f"(a.xni >> 32) = (b.xni >> 32) and a.h <> b.h and (greatest({n}, {m}) = 65535 or ("  # longer sets: verified alone
+        f"100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n}"
         f" and bit_count(a.p ^ b.p) <= {n} + {m} - 2 * {common}"
-        f" and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {common}"
+        f" and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {common}))"
     )
-    partnered = a.join(b, F.expr(near), "left_semi").select("h").distinct()
-    close = sets.join(partnered, "h", "left_semi")
+    partnered = a.join(b.hint("merge"), F.expr(near), "left_semi").select("h").distinct()
+    close = sets.join(partnered.hint("merge"), "h", "left_semi")
     probe = close.select("h", "at", "w", F.explode(F.expr(prefix)).alias("x"))
     a, b = probe.alias("a"), probe.alias("b")
     same = "size(array_intersect(a.w, b.w))"
@@ -80,8 +80,8 @@ def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
         f"a.x = b.x and b.at < a.at and 100 * size(a.w) >= {percent} * size(b.w) and 100 * size(b.w) >= {percent} * size(a.w)"
         f" and 100 * {same} >= {percent} * (size(a.w) + size(b.w) - {same})"
     )
-    gone = a.join(b, F.expr(later), "left_semi").select("h").distinct()
-    return sets.join(gone, "h", "left_anti").select("at.k", "at.line")
+    gone = a.join(b.hint("merge"), F.expr(later), "left_semi").select("h").distinct()
+    return sets.join(gone.hint("merge"), "h", "left_anti").select("at.k", "at.line")
 
 
 def _judged(rows: DataFrame, percent: int, least: int) -> DataFrame:
@@ -96,12 +96,13 @@ def line_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     100 * |A & B| >= percent * |A | B|, whether or not that one stays. Lines of fewer than `least` words always stay:
     so few words are no sign of copying. Case is dropped; null and empty texts have one empty line. Rows that repeat a
     doc_id count as one document: a line stays in all of them if it stays at that number in one. A null doc_id is
-    replaced by a hash of the text. Words are compared by 55 bits of hash.
+    replaced by a hash of the text. Words are compared by 32 bits of hash:
+    two given lines of n and m words are misjudged with a probability below n * m / 2**32.
     """
     rows = texts(docs, doc_id, text)
     lines = F.split("text", "\n")
     long = F.filter(
-        F.transform(lines, lambda t, i: F.when(F.size(line_words(t)) >= least, i)), lambda i: i.isNotNull()
+        F.transform(lines, lambda t, i: F.when(F.size(line_words(F.lower(t))) >= least, i)), lambda i: i.isNotNull()
     )
     per_doc = rows.select("k", "doc_id", F.size(lines).cast("long").alias("n_lines"), long.alias("long"))
     gone = F.array_except("long", F.coalesce("kept", F.array().cast("array<int>")))
@@ -118,7 +119,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.withColumn("_key", doc_key(doc_id, text)).join(judged, F.col("_key") == F.col("_k"), "left")
     stays = F.filter(
         F.split(text, "\n"),
-        lambda t, i: (F.size(line_words(t)) < least) | F.coalesce(F.array_contains("_kept", i), F.lit(False)),
+        lambda t, i: (F.size(line_words(F.lower(t))) < least) | F.coalesce(F.array_contains("_kept", i), F.lit(False)),
     )
     new = F.array_join(stays, "\n")
     word = r"[^\x20\x09-\x0D]"
