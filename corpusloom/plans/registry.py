@@ -5,7 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import text_queries
+
+MODULES = [text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
