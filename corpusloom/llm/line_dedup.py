@@ -3,7 +3,7 @@
 A line is the set of its words. Words are ordered by rarity over all documents (the logarithm of the count for the most
 frequent words, the rest before them, then by hash), so that two sets of Jaccard 0.8 or more share a word within their
 first n - ceil(0.8 n) + 1. Equal sets are first reduced to the earliest line. The rest meet on prefix words, filtered by
-length, by position (what can still be common behind the places of the word) and by a 64-bit parity sketch (which the
+length, by position (what can still be common behind the places of the word) and by two 64-bit parity sketches (which the
 symmetric difference bounds). Sets that have a partner then verify the exact Jaccard in a semi-join, which stops at the
 first earlier match, so no join puts out more than a row for each prefix word.
 """
@@ -31,7 +31,7 @@ def line_words(line: Column) -> Column:
 def rarity_classes(rows: DataFrame) -> list[int]:
     """A class for each slot: 0, or a logarithm of the count of a frequent word. From the counts of all words."""
     lines = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("t"))
-    word = lines.select(F.explode(line_words(F.col("t"))).alias("w")).select(F.hash("w").alias("x"))
+    word = lines.select(F.explode(F.transform(line_words(F.col("t")), lambda w: F.hash(w))).alias("x"))
     most = word.groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(RANKED).collect()
     classes = [0] * SLOTS
     for r in most:
@@ -60,20 +60,20 @@ def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
     prefix = f"slice(w, 1, int(size(w) - (size(w) * {percent} + 99) div 100 + 1))"
     posted = sets.select(
         "h", F.expr("size(w)").alias("n"), F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, x & 63))").alias("p"),
-        F.posexplode(F.expr(prefix)).alias("i", "x"),
-    ).select("h", "p", F.expr("bigint(x) * 4294967296 + bigint(least(n, 65535)) * 65536 + least(i, 65535)").alias("xni"))
+        F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, (x >> 6) & 63))").alias("q"), F.posexplode(F.expr(prefix)).alias("i", "x"),
+    ).select("h", "p", "q", F.expr("bigint(x) * 4294967296 + bigint(least(n, 65535)) * 65536 + least(i, 65535)").alias("xni"))
     a, b = posted.alias("a"), posted.alias("b")
     n, m, i, j = "((a.xni >> 16) & 65535)", "((b.xni >> 16) & 65535)", "(a.xni & 65535)", "(b.xni & 65535)"
     common = f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
     near = (
         f"(a.xni >> 32) = (b.xni >> 32) and a.h <> b.h and (greatest({n}, {m}) = 65535 or ("  # longer sets: verified alone
         f"100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n}"
-        f" and bit_count(a.p ^ b.p) <= {n} + {m} - 2 * {common}"
+        f" and greatest(bit_count(a.p ^ b.p), bit_count(a.q ^ b.q)) <= {n} + {m} - 2 * {common}"
         f" and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {common}))"
     )
-    partnered = a.join(b.hint("merge"), F.expr(near), "left_semi").select("h").distinct()
-    close = sets.join(partnered.hint("merge"), "h", "left_semi")
-    probe = close.select("h", "at", "w", F.explode(F.expr(prefix)).alias("x"))
+    # the prefix words at which a set has a partner; only there do whole sets meet
+    partnered = a.join(b.hint("merge"), F.expr(near), "left_semi").select("h", F.expr("xni >> 32").alias("x"))
+    probe = sets.join(partnered.hint("merge"), "h").select("h", "at", "w", "x")
     a, b = probe.alias("a"), probe.alias("b")
     same = "size(array_intersect(a.w, b.w))"
     later = (
@@ -101,9 +101,8 @@ def line_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     rows = texts(docs, doc_id, text)
     lines = F.split("text", "\n")
-    long = F.filter(
-        F.transform(lines, lambda t, i: F.when(F.size(line_words(F.lower(t))) >= least, i)), lambda i: i.isNotNull()
-    )
+    words = rf"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{least - 1}}}[^\x20\x09-\x0D]"
+    long = F.filter(F.transform(lines, lambda t, i: F.when(t.rlike(words), i)), lambda i: i.isNotNull())
     per_doc = rows.select("k", "doc_id", F.size(lines).cast("long").alias("n_lines"), long.alias("long"))
     gone = F.array_except("long", F.coalesce("kept", F.array().cast("array<int>")))
     out = per_doc.join(_judged(rows, percent, least), "k", "left").select("k", "doc_id", "n_lines", F.array_sort(gone).alias("gone"))
