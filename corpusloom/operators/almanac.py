@@ -26,7 +26,7 @@ def _century(jd: Column) -> Column:
 
 
 def julian_day(ts: Column) -> Column:
-    return F.unix_micros(ts) / 8.64e10 + 2440587.5
+    return F.unix_micros(ts.cast("timestamp")) / 8.64e10 + 2440587.5
 
 
 def sun_longitude(jd: Column) -> Column:

@@ -79,7 +79,7 @@ def store_meta(chunks: DataFrame, model: str = "hashed", dim: int = 64) -> DataF
 
 def doc_keywords(docs: DataFrame, stop: tuple[str, ...], n: int = 14) -> DataFrame:
     """`(id, word, freq, rnk)`: the n most frequent Latin words of four letters or more, by frequency, then word."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))).alias("word")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![A-Za-z0-9_])[a-z]{4,}(?![A-Za-z0-9_])"), F.lit(0))).alias("word")
     counts = docs.select("id", word).where(~F.col("word").isin(*stop)).groupBy("id", "word").agg(F.count("*").alias("freq"))
     return counts.withColumn("rnk", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("freq"), "word"))).where(F.col("rnk") <= n)
 

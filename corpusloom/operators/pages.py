@@ -9,9 +9,12 @@ from ..functions.text import Col, _c
 
 def word_trigrams(c: Col) -> Column:
     """Hashes of the distinct three-word windows of a text."""
-    w = F.filter(F.split(_c(c), r"\s+"), lambda x: x != "")
-    return F.when(F.size(w) >= 3, F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(
-        x, F.get(w, i + 1), F.get(w, i + 2))))).otherwise(F.array().cast("array<bigint>"))
+    w = F.array_remove(F.split(_c(c), r"\s+"), "")
+    n = F.greatest(F.size(w) - 2, F.lit(0))
+    # three shifted slices side by side: no lookups by place within the lambda
+    return F.array_distinct(F.transform(
+        F.arrays_zip(F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n)), lambda x: F.xxhash64(x["0"], x["1"], x["2"])
+    ))
 
 
 def jaccard(a: Column, b: Column) -> Column:

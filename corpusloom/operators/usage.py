@@ -26,7 +26,7 @@ def rate_limit(events: DataFrame, key: str, *, limit: int = 20, ttl: int = 60, m
 
     kv: an accepted hit renews a counter for ttl seconds, a rejected one touches nothing. fixed: a window opens at the
     first hit and a new one at the first hit more than ttl later. A key's (time, id) pairs are in one row of the fold."""
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("event_id"))))
+    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id"))))
     empty = F.array().cast("array<struct<event_id:bigint,accepted:boolean>>")
     span = ttl * 1_000_000
 
@@ -74,7 +74,7 @@ def drop_rapid_repeats(turns: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Without turns equal to the one before within `seconds` (conv_id, ts, turn, text): compares neighbours, so of three
     equal turns 0.7 s apart the third goes too, where a comparison with the last accepted one would keep it."""
     w = Window.partitionBy("conv_id").orderBy("ts", "turn")
-    same = (F.lag("text").over(w) == F.col("text")) & (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) < int(seconds * 1e6))
+    same = (F.lag("text").over(w) == F.col("text")) & (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) < int(seconds * 1e6))
     return turns.withColumn("_s", F.coalesce(same, F.lit(False))).where(~F.col("_s")).drop("_s")
 
 

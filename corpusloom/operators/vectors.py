@@ -13,8 +13,9 @@ BLOCK = 4096
 
 
 def l2_normalise(v: Column) -> Column:
+    v = v.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
 def quantise(v: Column) -> Column:

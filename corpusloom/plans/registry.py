@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_queries
+from . import search_queries, text_queries, usage_queries
 
-MODULES = [text_queries]
+MODULES = [text_queries, search_queries, usage_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
