@@ -4,8 +4,9 @@ A line is the set of its words. Words are ordered by rarity over all documents (
 frequent words, the rest before them, then by hash), so that two sets of Jaccard 0.8 or more share a word within their
 first n - ceil(0.8 n) + 1. Equal sets are first reduced to the earliest line. The rest meet on prefix words, filtered by
 length, by position (what can still be common behind the places of the word) and by two 64-bit parity sketches (which the
-symmetric difference bounds). Sets that have a partner then verify the exact Jaccard in a semi-join, which stops at the
-first earlier match, so no join puts out more than a row for each prefix word.
+symmetric difference bounds). Sets that have a partner verify the exact Jaccard, first with the earliest set that has one
+at the same word, one pair a set and leader, then the rest in a semi-join that stops at the first earlier match. No join
+puts out more than a row for each prefix word. The sets lie in a table bucketed by their hash and are shuffled once.
 """
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bucketed, staged
 from .keys import doc_key, texts
 
 #: Words whose count the order tells apart, and the slots of the table that holds their classes by hash: fixed numbers.
@@ -55,33 +57,43 @@ def line_sets(rows: DataFrame, least: int) -> DataFrame:
 
 def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
     """`(k, line)` of the lines that stay, of those with at least `least` words."""
-    # the condition keeps both columns in all three readings of the sets, so that one shuffle serves them
-    sets = line_sets(rows, least).where("at.line >= 0 and size(w) > 0")
+    sets = bucketed(line_sets(rows, least), "h")
+    firsts = sets.select("h", "at")
     prefix = f"slice(w, 1, int(size(w) - (size(w) * {percent} + 99) div 100 + 1))"
     posted = sets.select(
         "h", F.expr("size(w)").alias("n"), F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, x & 63))").alias("p"),
         F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, (x >> 6) & 63))").alias("q"), F.posexplode(F.expr(prefix)).alias("i", "x"),
     ).select("h", "p", "q", F.expr("bigint(x) * 4294967296 + bigint(least(n, 65535)) * 65536 + least(i, 65535)").alias("xni"))
-    a, b = posted.alias("a"), posted.alias("b")
-    n, m, i, j = "((a.xni >> 16) & 65535)", "((b.xni >> 16) & 65535)", "(a.xni & 65535)", "(b.xni & 65535)"
+    # both sides of a self-join are plain renamings of one frame, so that Spark shuffles it once
+    a, b = (posted.select(*[F.col(c).alias(side + c) for c in posted.columns]) for side in "ab")
+    n, m, i, j = "((axni >> 16) & 65535)", "((bxni >> 16) & 65535)", "(axni & 65535)", "(bxni & 65535)"
     common = f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
     near = (
-        f"(a.xni >> 32) = (b.xni >> 32) and a.h <> b.h and (greatest({n}, {m}) = 65535 or ("  # longer sets: verified alone
+        f"(axni >> 32) = (bxni >> 32) and ah <> bh and (greatest({n}, {m}) = 65535 or ("  # longer sets: verified alone
         f"100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n}"
-        f" and greatest(bit_count(a.p ^ b.p), bit_count(a.q ^ b.q)) <= {n} + {m} - 2 * {common}"
+        f" and greatest(bit_count(ap ^ bp), bit_count(aq ^ bq)) <= {n} + {m} - 2 * {common}"
         f" and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {common}))"
     )
-    # the prefix words at which a set has a partner; only there do whole sets meet
-    partnered = a.join(b.hint("merge"), F.expr(near), "left_semi").select("h", F.expr("xni >> 32").alias("x"))
-    probe = sets.join(partnered.hint("merge"), "h").select("h", "at", "w", "x")
-    a, b = probe.alias("a"), probe.alias("b")
-    same = "size(array_intersect(a.w, b.w))"
-    later = (
-        f"a.x = b.x and b.at < a.at and 100 * size(a.w) >= {percent} * size(b.w) and 100 * size(b.w) >= {percent} * size(a.w)"
-        f" and 100 * {same} >= {percent} * (size(a.w) + size(b.w) - {same})"
+    # the prefix words at which a set has a partner; each row with the earliest set that has one at the same word
+    partnered = a.join(b.hint("merge"), F.expr(near), "left_semi").select(F.col("ah").alias("h"), F.expr("axni >> 32").alias("x"))
+    placed = partnered.join(sets.select("h", "at").hint("merge"), "h").selectExpr("h", "x", "at", "min(struct(at, h)) over (partition by x) as first")
+    placed = staged(placed.select("h", "x", "at", F.col("first.h").alias("g")))
+    sets = sets.select("h", "w")
+    whole = lambda side: sets.select(F.col("h").alias(side), F.col("w").alias(side + "w")).hint("merge")
+    same = "size(array_intersect(hw, gw))"
+    alike = (
+        f"100 * size(hw) >= {percent} * size(gw) and 100 * size(gw) >= {percent} * size(hw)"
+        f" and 100 * {same} >= {percent} * (size(hw) + size(gw) - {same})"
     )
-    gone = a.join(b.hint("merge"), F.expr(later), "left_semi").select("h").distinct()
-    return sets.join(gone.hint("merge"), "h", "left_anti").select("at.k", "at.line")
+    # most sets match that earliest one: a pair for each set and leader, not for each two sets
+    pairs = placed.where("h <> g").select("h", "g").distinct()
+    gone = staged(pairs.join(whole("h"), "h").join(whole("g"), "g").where(alike).select("h").distinct())
+    # the others are probed against all earlier sets at the same word, up to the first match
+    open_rows = placed.where("h <> g").join(gone.hint("merge"), "h", "left_anti").select("h", "x", "at")
+    earlier = placed.join(open_rows.select("x").distinct().hint("merge"), "x", "left_semi").select(F.col("h").alias("g"), F.col("x").alias("y"), F.col("at").alias("b"))
+    left, right = open_rows.join(whole("h"), "h"), earlier.join(whole("g"), "g")
+    more = left.join(right.hint("merge"), F.expr(f"x = y and b < at and {alike}"), "left_semi").select("h").distinct()
+    return firsts.join(gone.unionByName(more).distinct().hint("merge"), "h", "left_anti").select("at.k", "at.line")
 
 
 def _judged(rows: DataFrame, percent: int, least: int) -> DataFrame:
