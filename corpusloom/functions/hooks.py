@@ -1,6 +1,7 @@
 """Model hooks: user-supplied models over Arrow batches, and deterministic stand-ins for tests."""
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,3 +67,9 @@ def rewrite(df: DataFrame, text: str, model: Callable[[list[str]], list[str]], d
         return new.where((new.str.len() - texts.str.len()).abs() <= drift * texts.str.len(), texts)
 
     return df.withColumn(text, run(F.col(text)))
+
+
+@F.pandas_udf("string")
+def nfc(texts: pd.Series) -> pd.Series:
+    """Unicode normalisation form C, for which Spark has no built-in."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

@@ -61,7 +61,7 @@ def a04(spark: SparkSession, sf: str) -> DataFrame:
     return I.chapter_manifest(chunks(spark, sf)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
-@query("a05_postings", f"WITH {CHUNKS}, {POSTINGS} SELECT word, id, tf, rnk, df FROM postings")
+@query("a05_postings", f"WITH {CHUNKS}, {POSTINGS} SELECT word, id, tf, CAST(rnk AS INT) AS rnk, df FROM postings")
 def a05(spark: SparkSession, sf: str) -> DataFrame:
     return postings(spark, sf).select("word", "id", "tf", "rnk", "df")
 
@@ -94,7 +94,7 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     return I.probe_sources(chunks(spark, sf), LATIN).withColumns({c: F.round(c, 9) for c in ("fragment_ratio", "foreign_percent")})
 
 
-@query("a12_library", f"WITH {CHUNKS} SELECT book, any_value(book_title) AS title, count(*) AS n, CASE book WHEN 'src7' THEN 1 WHEN 'src3' THEN 2 ELSE 3 END AS place FROM chunks GROUP BY book")
+@query("a12_library", f"WITH {CHUNKS} SELECT book, any_value(book_title) AS title, count(*) AS n, CAST(CASE book WHEN 'src7' THEN 1 WHEN 'src3' THEN 2 ELSE 3 END AS BIGINT) AS place FROM chunks GROUP BY book")
 def a12(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.usage import order_by_list
 
@@ -170,7 +170,7 @@ def t03(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("j11_book_overview", f"""WITH {CHUNKS}, {ASKED}, {DETECT}, b AS (SELECT id, book, row_number() OVER (PARTITION BY book ORDER BY page, id) - 1 AS i, count(*) OVER (PARTITION BY book) AS c FROM chunks WHERE length(trim(text)) > 60)
- SELECT query_id, id, book, 0.05 AS score FROM found JOIN b ON hinted = book WHERE i % greatest(1, CAST(floor(c / 6) AS BIGINT)) = 0""")
+ SELECT query_id, id, book, CAST(0.05 AS DOUBLE) AS score FROM found JOIN b ON hinted = book WHERE i % greatest(1, CAST(floor(c / 6) AS BIGINT)) = 0""")
 def j11(spark: SparkSession, sf: str) -> DataFrame:
     none = spark.createDataFrame([], "query_id bigint, book string")
     return S.book_overview(_hinted(spark, sf), none, chunks(spark, sf))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chunking as C
 from ..functions import text as T
 from ..functions import translit as R
+from ..functions.hooks import nfc
 from ..operators import index as I
 from ..operators import pages as P
 from ..operators import usage as U
@@ -100,8 +101,9 @@ def p14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f01_clean_page")
 def f01(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "pages")
-    return d.select("page_id", F.length(T.clean_page("html", DEVANAGARI)).alias("n"), F.md5(T.clean_page("html", DEVANAGARI)).alias("digest"))
+    d = table(spark, sf, "pages").select("page_id", nfc("html").alias("html"))
+    clean = d.select("page_id", T.clean_page("html", DEVANAGARI).alias("t"))
+    return clean.select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
 
 
 @query("f02_clean_ocr_tokens")

@@ -114,7 +114,7 @@ def s09(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s10_page_documents", f"""WITH {CHUNKS}, p AS (SELECT book, language AS part, row_number() OVER (PARTITION BY book, language ORDER BY page) - 1 AS page FROM chunks), s AS (SELECT book, part, max(page) + 1 AS n FROM p GROUP BY ALL),
  o AS (SELECT book, part, coalesce(sum(n) OVER (PARTITION BY book ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s)
- SELECT book, part, page, CAST(page + off AS BIGINT) AS book_page FROM p JOIN o USING (book, part) WHERE page >= 2 AND page <> 5""")
+ SELECT book, part, CAST(page AS INT) AS page, CAST(page + off AS BIGINT) AS book_page FROM p JOIN o USING (book, part) WHERE page >= 2 AND page <> 5""")
 def s10(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
