@@ -27,7 +27,7 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,5 +35,5 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     """Write ``df`` as a table of the warehouse bucketed by ``key``: later joins on it don't shuffle it again."""
     spark = df.sparkSession
     name = f"staged_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(name)
+    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(name)
     return spark.table(name)
