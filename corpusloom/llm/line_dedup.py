@@ -3,7 +3,7 @@
 A line is the set of its words. Words are ordered by rarity over all documents (the logarithm of the count for the most
 frequent words, the rest before them, then by hash), so that two sets of Jaccard 0.8 or more share a word within their
 first n - ceil(0.8 n) + 1. Equal sets are first reduced to the earliest line. The rest meet on prefix words, filtered by
-length, by position (what can still be common behind the places of the word) and by two 64-bit parity sketches (which the
+length, by position (what can still be common behind the places of the word) and by a 64-bit parity sketch (which the
 symmetric difference bounds). Sets that have a partner verify the exact Jaccard, first with the earliest set that has one
 at the same word, one pair a set and leader, then the rest in a semi-join that stops at the first earlier match. No join
 puts out more than a row for each prefix word. The sets lie in a table bucketed by their hash and are shuffled once.
@@ -62,16 +62,17 @@ def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
     prefix = f"slice(w, 1, int(size(w) - (size(w) * {percent} + 99) div 100 + 1))"
     posted = sets.select(
         "h", F.expr("size(w)").alias("n"), F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, x & 63))").alias("p"),
-        F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, (x >> 6) & 63))").alias("q"), F.posexplode(F.expr(prefix)).alias("i", "x"),
-    ).select("h", "p", "q", F.expr("bigint(x) * 4294967296 + bigint(least(n, 65535)) * 65536 + least(i, 65535)").alias("xni"))
-    # both sides of a self-join are plain renamings of one frame, so that Spark shuffles it once
+        F.posexplode(F.expr(prefix)).alias("i", "x"),
+    ).select("h", "p", F.expr("bigint(x) * 4294967296 + bigint(least(n, 65535)) * 65536 + least(i, 65535)").alias("xni"))
+    # read back from a table, so that both sides of the self-join are one shuffle
+    posted = staged(posted)
     a, b = (posted.select(*[F.col(c).alias(side + c) for c in posted.columns]) for side in "ab")
     n, m, i, j = "((axni >> 16) & 65535)", "((bxni >> 16) & 65535)", "(axni & 65535)", "(bxni & 65535)"
     common = f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
     near = (
         f"(axni >> 32) = (bxni >> 32) and ah <> bh and (greatest({n}, {m}) = 65535 or ("  # longer sets: verified alone
         f"100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n}"
-        f" and greatest(bit_count(ap ^ bp), bit_count(aq ^ bq)) <= {n} + {m} - 2 * {common}"
+        f" and bit_count(ap ^ bp) <= {n} + {m} - 2 * {common}"
         f" and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {common}))"
     )
     # the prefix words at which a set has a partner; each row with the earliest set that has one at the same word
