@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def embed(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], dim: int, *, most: int = 2000, least: int = 40) -> DataFrame:
@@ -69,7 +70,7 @@ def rewrite(df: DataFrame, text: str, model: Callable[[list[str]], list[str]], d
     return df.withColumn(text, run(F.col(text)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode normalisation form C, for which Spark has no built-in."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

@@ -174,3 +174,11 @@ def test_hooks(spark):
     pairs = spark.createDataFrame([("q", "good"), ("q", "bad")], "query string, text string").coalesce(1)
     assert [r["rerank"] for r in hooks.rerank(pairs, failing, batch=1).collect()] == [1.0, 0.0]
     assert [r["text"] for r in hooks.rewrite(d, "text", lambda ts: [t.upper() if len(t) > 9 else t * 3 for t in ts]).orderBy("id").collect()][1] == "short"
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 50"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
