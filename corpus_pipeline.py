@@ -18,7 +18,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take lines out that match an earlier line; documents of which no word is left go."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.dedup_lines(docs, least=1).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A line is the set of its words. Words are ordered by rarity over all documents (the logarithm of the count for the most
 frequent words, the rest before them, then by hash), so that two sets of Jaccard 0.8 or more share a word within their
-first n - ceil(0.8 n) + 1. Equal sets are first reduced to the earliest line. The rest meet on prefix words, filtered by
+first n - ceil(0.8 n) + 1. Equal sets are first reduced to the earliest line, which settles those of so few words
+that only an equal set reaches the bound. The rest meet on prefix words, filtered by
 length, by position (what can still be common behind the places of the word) and by a 64-bit parity sketch (which the
 symmetric difference bounds). Sets that have a partner verify the exact Jaccard, first with the earliest set that has one
 at the same word, one pair a set and leader, then the rest in a semi-join that stops at the first earlier match. No join
@@ -30,6 +31,11 @@ def line_words(line: Column) -> Column:
     return F.array_remove(cut, "")
 
 
+def may_differ(n: Column, percent: int) -> Column:
+    """Whether a set of n words can match one that isn't equal: at best one with a word more."""
+    return 100 * n >= percent * (n + 1)
+
+
 def rarity_classes(rows: DataFrame) -> list[int]:
     """A class for each slot: 0, or a logarithm of the count of a frequent word. From the counts of all words."""
     lines = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("t"))
@@ -42,25 +48,30 @@ def rarity_classes(rows: DataFrame) -> list[int]:
     return classes
 
 
-def line_sets(rows: DataFrame, least: int) -> DataFrame:
-    """`h, at, w`: every distinct set, its word hashes in the order, and the first line that has it."""
+def line_sets(rows: DataFrame, percent: int, least: int) -> DataFrame:
+    """`h, at, w`: every distinct set, its word hashes in the order, and the first line that has it.
+
+    Sets too small to match any but an equal one are told apart by 64 bits of their words: 32 are too few for one word.
+    """
     classes = F.from_json(F.lit(json.dumps(rarity_classes(rows))), "array<bigint>")
     lines = rows.select("k", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "t"))
     lines = lines.select("k", "line", line_words(F.col("t")).alias("w")).where(F.size("w") >= least)
     # one long a word, its class above its hash: the order of longs is the order by rarity
     ranked = F.transform("w", lambda x: F.shiftleft(F.get(classes, F.pmod(F.hash(x), F.lit(SLOTS))), 32) + F.hash(x) + (1 << 31))
-    lines = lines.select("k", "line", F.sort_array(F.array_distinct(ranked)).alias("w"))
-    lines = lines.select("k", "line", F.expr("transform(w, x -> int((x & 4294967295) - 2147483648))").alias("w"))
-    lines = lines.select(F.xxhash64("w").alias("h"), F.struct("k", "line").alias("at"), "w")
+    distinct = F.array_distinct("w")
+    short = F.when(~may_differ(F.size(distinct), percent), F.xxhash64(F.sort_array(distinct)))
+    lines = lines.select("k", "line", F.sort_array(F.array_distinct(ranked)).alias("w"), short.alias("s"))
+    lines = lines.select("k", "line", "s", F.expr("transform(w, x -> int((x & 4294967295) - 2147483648))").alias("w"))
+    lines = lines.select(F.coalesce("s", F.xxhash64("w")).alias("h"), F.struct("k", "line").alias("at"), "w")
     return lines.groupBy("h").agg(F.min("at").alias("at"), F.first("w").alias("w"))
 
 
 def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
     """`(k, line)` of the lines that stay, of those with at least `least` words."""
-    sets = bucketed(line_sets(rows, least), "h")
+    sets = bucketed(line_sets(rows, percent, least), "h")
     firsts = sets.select("h", "at")
     prefix = f"slice(w, 1, int(size(w) - (size(w) * {percent} + 99) div 100 + 1))"
-    posted = sets.select(
+    posted = sets.where(may_differ(F.size("w"), percent)).select(
         "h", F.expr("size(w)").alias("n"), F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, x & 63))").alias("p"),
         F.posexplode(F.expr(prefix)).alias("i", "x"),
     ).select("h", "p", F.expr("bigint(x) * 4294967296 + bigint(least(n, 65535)) * 65536 + least(i, 65535)").alias("xni"))
@@ -106,11 +117,12 @@ def line_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """`k, doc_id, n_lines, n_removed, removed` for every row; `removed` lists line numbers from 0.
 
     Lines are cut at newlines; a line goes if an earlier one (by doc_id, then line number) has a word set with
-    100 * |A & B| >= percent * |A | B|, whether or not that one stays. Lines of fewer than `least` words always stay:
-    so few words are no sign of copying. Case is dropped; null and empty texts have one empty line. Rows that repeat a
+    100 * |A & B| >= percent * |A | B|, whether or not that one stays. Lines of fewer than `least` words always stay;
+    with least=1, as the registered queries have it, only lines without a word do. Case is dropped; null and empty texts have one empty line. Rows that repeat a
     doc_id count as one document: a line stays in all of them if it stays at that number in one. A null doc_id is
     replaced by a hash of the text. Words are compared by 32 bits of hash:
-    two given lines of n and m words are misjudged with a probability below n * m / 2**32.
+    two given lines of n and m words are misjudged with a probability below n * m / 2**32; sets that can only match equal
+    ones (under four words at 80 percent) are compared by 64 bits.
     """
     rows = texts(docs, doc_id, text)
     lines = F.split("text", "\n")

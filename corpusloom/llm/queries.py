@@ -57,7 +57,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents")).drop("k")
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), least=1).drop("k")
 
 
 QUERIES = {

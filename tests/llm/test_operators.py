@@ -121,6 +121,35 @@ def test_line_dedup_equals_brute_force(docs, local):
     assert kept == {i: t for i, t in left.items() if re.search(SPACE, t) or not re.search(SPACE, texts[i])}
 
 
+def test_line_dedup_of_short_lines(spark, sf, local):
+    """The registered query and the pipeline's stage exempt no line with a word in it; four words can match five."""
+    import corpus_pipeline
+    from corpusloom.llm import queries
+
+    def removed(texts):
+        seen, out = set(), {}
+        for i, t in sorted(texts):
+            for j, line in enumerate(t.split("\n")):
+                s = frozenset(re.findall(SPACE, line.lower()))
+                if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                    out.setdefault(i, []).append(j)
+                seen |= {s} if s else set()
+        return out
+
+    by_id = lambda rows: {r["doc_id"]: [int(x) for x in r["removed"].split(",")] for r in rows.collect() if r["removed"]}
+    assert by_id(queries.op10_line_dedup(spark, sf)) == removed(local)
+    rows = [
+        (1, "Subscribe now\na b c d e\n\n这是一个完整的句子。\nx y z"), (2, "subscribe NOW\nd c b a\nx y z w\n\n这是一个完整的句子。"),
+        (3, "Now subscribe now\na b c\n \nanother"), (4, "\n"), (5, "another\n\t another"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = removed(rows)
+    assert want == {2: [0, 1, 4], 3: [0], 5: [0, 1]}
+    assert by_id(line_dedup.line_report(d, least=1)) == want
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, d, sf).collect()}
+    assert kept == {1: rows[0][1], 2: "x y z w\n", 3: "a b c\n \nanother", 4: "\n"}
+
+
 def test_packing_round_trip(docs, local):
     rows = packing.pack(docs).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
