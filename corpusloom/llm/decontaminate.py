@@ -147,9 +147,9 @@ def contaminated_pairs(
     """
     rows = texts(docs, doc_id, text)
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(item_text, F.lit("")).alias("item"))
-    n_seeds = items.agg(F.sum(F.size(F.split("item", r"\W+")))).first()[0] or 0
+    n_seeds = items.agg(F.sum(F.size(F.split("item", r"(?U)\W+")))).first()[0] or 0
     found = _by_broadcast(rows, items, k, coverage) if n_seeds <= broadcast_seeds else _by_join(rows, items, k, coverage)
-    best = F.max_by(F.struct("doc_id", "item_words", "matched_words", "n_tiles", "coverage"), F.struct("coverage", F.negate("n_tiles")))
+    best = F.max_by(F.struct("doc_id", "item_words", "matched_words", "n_tiles", "coverage"), F.struct("coverage", F.negate("n_tiles"), "matched_words"))
     return found.groupBy("k", "item_id").agg(best.alias("x")).select("k", "item_id", "x.*")
 
 
@@ -172,19 +172,22 @@ def _by_broadcast(rows: DataFrame, items: DataFrame, k: int, coverage: float) ->
 
 
 def _by_join(rows: DataFrame, items: DataFrame, k: int, coverage: float) -> DataFrame:
+    # rows of one id and text are one passage; others that share an id, or have none, are told apart
+    items = items.withColumn("row", F.xxhash64("item_id", "item")).dropDuplicates(["row"])
+
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             for i, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = words(whole, cache)
-                h = windows(w, k)
+                h, times = np.unique(windows(w, k), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array([min(k, len(w))] * len(h), pa.int64()), pa.array([len(w)] * len(h), pa.int64())],
-                    ["item_id", "h", "size", "n"],
+                    [pa.array([i] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(times), pa.array([min(k, len(w))] * len(h), pa.int64()), pa.array([len(w)] * len(h), pa.int64())],
+                    ["row", "h", "times", "size", "n"],
                 )
             cache.trim()
 
-    of_items = items.mapInArrow(seeds, "item_id long, h long, size long, n long").distinct()
+    of_items = items.select("row", "item").mapInArrow(seeds, "row long, h long, times long, size long, n long")
     sizes = [r[0] for r in of_items.select("size").distinct().collect()]  # at most k values
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +200,10 @@ def _by_join(rows: DataFrame, items: DataFrame, k: int, coverage: float) -> Data
             cache.trim()
 
     met = rows.select("k", "text").mapInArrow(of_docs, "k long, h long").distinct().join(of_items, "h")
-    # each seed covers at most `size` words of the passage
-    pairs = met.groupBy("k", "item_id").agg((F.count("*") * F.first("size")).alias("most"), F.first("n").alias("n"))
-    pairs = pairs.where(F.col("most") >= coverage * F.col("n")).select("k", "item_id")
-    both = rows.join(pairs, "k").join(items, "item_id").select("k", "doc_id", "text", "item_id", "item")
+    # each place of a seed in the passage covers at most `size` words of it
+    pairs = met.groupBy("k", "row", "size", "n").agg((F.sum("times") * F.col("size")).alias("most"))
+    pairs = pairs.where(F.col("most") >= coverage * F.col("n")).select("k", "row")
+    both = rows.join(pairs, "k").join(items, "row").select("k", "doc_id", "text", "item_id", "item")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()

@@ -197,6 +197,30 @@ def test_tiles_catch_reordered_passages_and_both_paths_agree(spark, benchmark):
     assert {(r["doc_id"], r["item_id"], r["matched_words"]) for r in other} == {(*k, r["matched_words"]) for k, r in found.items()}
 
 
+def test_both_paths_agree_on_repetitive_null_and_foreign_passages(spark, monkeypatch):
+    refrain = "row row row your boat gently down the stream "
+    greek = "ἐν ἀρχῇ ἦν ὁ λόγος καὶ ὁ λόγος ἦν πρὸς τὸν θεόν καὶ θεὸς ἦν ὁ λόγος"
+    russian = "в начале было слово и слово было у бога и слово было бог"
+    items = [
+        (1, refrain * 12), (None, greek), (None, russian), (2, "alpha beta gamma delta epsilon zeta eta theta"), (2, "one two three four five six seven eight nine ten eleven"),
+        (2, "one two three"), (3, None), (3, ""), (4, refrain * 12), (2, "alpha beta gamma delta epsilon zeta eta theta"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(i, f"before {t} after") for i, (_, t) in enumerate(items) if t] + [(100, refrain * 3), (101, "nothing of it in here"), (None, greek), (102, "one two three four five six"), (0, russian)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near, far = (set(decontaminate.contaminated_pairs(d, benchmark, broadcast_seeds=n).collect()) for n in (1_000_000, 0))
+    assert near == far
+    found = {(r["doc_id"], r["item_id"]) for r in far}
+    assert {(0, 1), (0, 4), (8, 1), (1, None), (None, None), (2, None), (0, None), (3, 2), (4, 2), (5, 2)} <= found and not {(101, 1), (100, 1)} & found
+    # words of other alphabets count: 29 of these passages are more than 20 seeds
+    used = []
+    for name in ("_by_broadcast", "_by_join"):
+        own = getattr(decontaminate, name)
+        monkeypatch.setattr(decontaminate, name, lambda *a, own=own, name=name: used.append(name) or own(*a))
+    decontaminate.contaminated_pairs(d, benchmark.where("item_id is null"), broadcast_seeds=20)
+    assert used == ["_by_join"]
+
+
 def test_tiling_equals_greedy_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(40):
