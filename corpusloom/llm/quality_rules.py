@@ -16,34 +16,51 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .keys import texts
 
-#: Transformed statistics: word length, symbols, repeated words, words.
-FEATURES = ("f0", "f1", "f2", "f3")
-D = len(FEATURES)
-PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+#: Transformed statistics: word length, symbols, repeated words, words, repeated lines.
+FEATURES = ("f0", "f1", "f2", "f3", "f4")
 KEEP = 0.75  # share of a group that an estimate rests on
-FLOOR = 0.3  # least standard deviation of a statistic: what is constant in a group is still taken to vary this much
+FLOOR = 0.01  # least standard deviation of a statistic, against singular matrices only
+#: Statistics that are 0 in most documents have no scatter to estimate: they are taken to vary this much at least.
+COUNTED, COUNTED_FLOOR = ("f1", "f2", "f4"), 0.3
 BINS = 16  # distance bins to a factor of e
 
 
-def _chi2(x: float, half: int) -> float:
-    """P(chi-squared with 2 * half degrees of freedom <= x)."""
-    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(half))
+def _chi2(x: float, d: int) -> float:
+    """P(chi-squared with d degrees of freedom <= x)."""
+    beyond, i = (math.erfc(math.sqrt(x / 2)), 1) if d % 2 else (math.exp(-x / 2), 2)
+    while i < d:
+        beyond += (x / 2) ** (i / 2) * math.exp(-x / 2) / math.gamma(i / 2 + 1)
+        i += 2
+    return 1 - beyond
 
 
-def _quantile(p: float, half: int) -> float:
+def _quantile(p: float, d: int) -> float:
     low, high = 0.0, 1000.0
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if _chi2(mid, half) < p else (low, mid)
+        low, high = (mid, high) if _chi2(mid, d) < p else (low, mid)
     return low
 
 
-#: What makes the scatter of the nearest KEEP of normal data consistent.
-CONSISTENCY = KEEP / _chi2(_quantile(KEEP, D // 2), D // 2 + 1)
+def _consistency(d: int) -> float:
+    """What makes the scatter of the nearest KEEP of normal data of d statistics consistent."""
+    return KEEP / _chi2(_quantile(KEEP, d), d + 2)
+
+
+CONSISTENCY = _consistency(4)  # without repeated lines
+
+
+def _used(columns: list[str]) -> list[str]:
+    """The statistics that rows (f0, ...) or estimates (m0, ...) have."""
+    return [f for f in FEATURES if f in columns or f.replace("f", "m") in columns]
+
+
+def _pairs(d: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(d) for j in range(i + 1)]
 
 
 def word_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """`k, doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words` of whole texts."""
+    """`k, doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words` of whole texts."""
     rows = texts(docs, doc_id, text, F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"))
     rows = rows.select("*", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("w"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -53,6 +70,7 @@ def word_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(F.size("w") >= 4, F.expr("sort_array(transform(slice(w, 1, size(w) - 2), (x, i) -> struct(xxhash64(x, w[i + 1], w[i + 2]) as h, i as i)))")).alias("t"),
     )
@@ -72,14 +90,15 @@ def transformed(stats: DataFrame) -> DataFrame:
         F.log1p(100 * F.col("n_symbols") / F.greatest(c, F.lit(1))).alias("f1"),
         F.log1p(10 * F.col("n_repeat_words") / F.greatest(n, F.lit(1))).alias("f2"),
         F.log1p(n.cast("double")).alias("f3"),
+        F.log1p(10 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("f4"),
     )
 
 
-def _distance(estimate: str = "e") -> Column:
+def _distance(used: tuple[str, ...] | list[str] = FEATURES, estimate: str = "e") -> Column:
     """Squared Mahalanobis distance by forward substitution in the Cholesky factor of the joined estimate."""
     y: list[Column] = []
-    for i in range(D):
-        rest = F.col(FEATURES[i]) - F.col(f"{estimate}.m{i}")
+    for i in range(len(used)):
+        rest = F.col(used[i]) - F.col(f"{estimate}.m{i}")
         for j in range(i):
             rest = rest - F.col(f"{estimate}.l{i}{j}") * y[j]
         y.append(rest / F.col(f"{estimate}.l{i}{i}"))
@@ -87,53 +106,59 @@ def _distance(estimate: str = "e") -> Column:
 
 
 def _factored(estimates: DataFrame) -> DataFrame:
-    """`g, e`: the mean m and the Cholesky factor l of the covariance c with the floor added to its diagonal."""
-    known = estimates
-    for i, j in PAIRS:
-        value = F.col(f"c{i}{j}") + (FLOOR * FLOOR if i == j else 0.0)
+    """`g, e`: the mean m and the Cholesky factor l of the covariance c, whose diagonal is at least the floor."""
+    known, used = estimates, _used(estimates.columns)
+    for i, j in _pairs(len(used)):
+        value = F.col(f"c{i}{j}")
+        if i == j:
+            value = F.greatest(value, F.lit(COUNTED_FLOOR**2 if used[i] in COUNTED else FLOOR**2))
         for p in range(j):
             value = value - F.col(f"l{i}{p}") * F.col(f"l{j}{p}")
-        known = known.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{j}{j}"))
-    return known.select("g", F.struct(*[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS]).alias("e"))
+        known = known.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOOR**2))) if i == j else value / F.col(f"l{j}{j}"))
+    return known.select("g", F.struct(*[f"m{i}" for i in range(len(used))], *[f"l{i}{j}" for i, j in _pairs(len(used))]).alias("e"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in FEATURES])
+    used = _used(rows.columns)
+    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in used])
     return quartiles.select(
         "g",
-        *[F.col(f)[1].alias(f"m{i}") for i, f in enumerate(FEATURES)],
-        *[(F.pow((F.col(FEATURES[i])[2] - F.col(FEATURES[i])[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS],
+        *[F.col(f)[1].alias(f"m{i}") for i, f in enumerate(used)],
+        *[(F.pow((F.col(used[i])[2] - F.col(used[i])[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs(len(used))],
     )
 
 
 def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """Mean and covariance of the nearest KEEP of each group."""
-    near = rows.join(_factored(estimates), "g").withColumn("d", _distance())
+    used = _used(rows.columns)
+    scale = _consistency(len(used))
+    near = rows.join(_factored(estimates), "g").withColumn("d", _distance(used))
     bins = near.groupBy("g", F.floor(F.log(F.col("d") + 1e-9) * BINS).alias("bin")).agg(
-        F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)],
-        *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS],
+        F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(used)],
+        *[F.sum(F.col(used[i]) * F.col(used[j])).alias(f"q{i}{j}") for i, j in _pairs(len(used))],
     )
     # whole bins, from the nearest, until they hold enough
     ranked = bins.selectExpr("*", "sum(n) over (partition by g order by bin) - n as before", "sum(n) over (partition by g) as whole")
     kept = ranked.where(f"before < {KEEP} * whole").groupBy("g").agg(
-        F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(D)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS]
+        F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(used))], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in _pairs(len(used))]
     )
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(D)]
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(len(used))]
     return kept.select(
-        "g", *[mean[i].alias(f"m{i}") for i in range(D)],
-        *[(CONSISTENCY * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j])).alias(f"c{i}{j}") for i, j in PAIRS],
+        "g", *[mean[i].alias(f"m{i}") for i in range(len(used))],
+        *[(scale * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j])).alias(f"c{i}{j}") for i, j in _pairs(len(used))],
     )
 
 
 def quality_verdicts(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
-    least_words: int = 50, most_repeat: int = 50, steps: int = 4, least_group: int = 30, tail: float = 1e-6,
+    least_words: int = 50, most_repeat: int = 50, steps: int = 4, least_group: int = 30, tail: float = 1e-3,
 ) -> DataFrame:
     """`k, doc_id`, the word statistics, `base_failed, distance, kept` for every row.
 
     base_failed: fewer than least_words words, or 100 * n_repeat_words > most_repeat * n_words. The other documents are
-    estimated per (lang, source), null being a value of its own; a group under least_group joins the rest of its
-    language, and if that is still smaller, its documents are kept (no estimate, null distance). A document is rejected
+    estimated per (lang, source), null being a value of its own; a group under least_group is judged by the estimate of
+    its whole language, and if that is smaller too, of the whole table (in a table under least_group there is none: null
+    distance, all kept). A document is rejected
     if its squared distance is beyond the chi-squared quantile of 1 - tail. Null and blank texts fail the base rules.
     Repeated rows are judged each and weigh in as many times.
     """
@@ -141,16 +166,21 @@ def quality_verdicts(
         "base_failed", F.expr(f"n_words < {least_words} or 100 * n_repeat_words > {most_repeat} * n_words")
     ))
     counts = stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    # every group's name and whether it is large enough
-    named = counts.select("*", F.when(F.col("n") >= least_group, F.xxhash64("lang", "source")).otherwise(F.xxhash64("lang")).alias("g"))
-    enough = named.groupBy("g").agg(F.sum("n").alias("n")).where(f"n >= {least_group}").select("g")
-    named = named.select("lang", "source", "g").join(enough, "g")
-    rows = stats.where("not base_failed").join(named, ["lang", "source"]).select("g", *FEATURES)
+    per_lang = counts.groupBy("lang").agg(F.sum("n").alias("of_lang"))
+    counts = counts.join(per_lang, "lang").crossJoin(counts.agg(F.sum("n").alias("of_all")))
+    # the estimate that judges each group: its own, its language's or the table's
+    level = F.when(F.col("n") >= least_group, 0).when(F.col("of_lang") >= least_group, 1).when(F.col("of_all") >= least_group, 2)
+    name = [F.xxhash64(F.lit(0), "lang", "source"), F.xxhash64(F.lit(1), "lang"), F.xxhash64(F.lit(2))]
+    g = F.when(level == 0, name[0]).when(level == 1, name[1]).when(level == 2, name[2])
+    named = staged(counts.select("lang", "source", g.alias("g")).where("g is not null"))
+    # every group is part of its own estimate, its language's and the table's, so far as these judge any
+    parts = counts.select("lang", "source", F.explode(F.array(*name)).alias("g")).join(named.select("g").distinct(), "g", "left_semi")
+    rows = stats.where("not base_failed").join(parts, ["lang", "source"]).select("g", *FEATURES)
     estimates = staged(_start(rows))
     for _ in range(steps):
         estimates = staged(_step(rows, estimates))
     judged = stats.join(named, ["lang", "source"], "left").join(_factored(estimates), "g", "left")
-    bound = _quantile(1 - tail, D // 2)
+    bound = _quantile(1 - tail, len(FEATURES))
     distance = F.when(~F.col("base_failed"), _distance())
     return judged.select(
         "k", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),

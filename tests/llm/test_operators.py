@@ -324,6 +324,19 @@ def test_covariance_steps_equal_numpy(spark):
     assert max(abs(near).max(1)) < 6  # the planted cluster is outside
 
 
+def test_quality_outliers_by_one_statistic_and_in_small_groups(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n, size=5: [" ".join("".join(rng.choice(list("abcdefghij"), size + int(rng.integers(-2, 3)))) for _ in range(8)) for _ in range(n)]
+    rows = [(i, "\n".join(text(int(rng.integers(8, 40)))), "en", "a") for i in range(200)]
+    lined = "\n".join(x + "\nMenu" for x in text(20))  # repeated lines without a repeated window of three words
+    rows += [(1000, lined, "en", "a"), (1001, "\n".join(text(20, 15)), "en", "a"), (1002, "\n".join(x + " $&|*<>##$$" for x in text(20)), "en", "a")]
+    rows += [(2000, "\n".join(text(20, 15)), "en", "small"), (2001, "\n".join(text(20)), "en", "small"), (2002, "\n".join(text(20, 15)), "rare", "b"), (2003, "\n".join(text(20)), "rare", "b")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] or r["distance"] is None for r in got.values())
+    assert sorted(i for i in got if i >= 1000 and got[i]["kept"]) == [2001, 2003]
+    assert sum(got[i]["kept"] for i in range(200)) >= 190
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
