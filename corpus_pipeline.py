@@ -43,7 +43,7 @@ STAGES = [
     ("benchmark_decontamination", clean_of_benchmark),
     ("packing", pack),
 ]
-#: Tokenising and packing have no SQL form; the pipeline is tested against a brute-force version.
+#: Tokenising and packing have no SQL form. The stages' operators are tested one by one, the chain only for columns and counts.
 ORACLE_SQL = None
 
 
