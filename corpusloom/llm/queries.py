@@ -42,7 +42,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
