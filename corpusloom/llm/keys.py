@@ -21,3 +21,13 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more: Co
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         *more,
     )
+
+
+def whole_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """`row`, a struct of all columns whatever their names, beside the keys to join by; see `rows_back`."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
+def rows_back(joined: DataFrame) -> DataFrame:
+    """The columns of `row` again."""
+    return joined.select("row.*")

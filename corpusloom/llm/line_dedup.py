@@ -1,13 +1,17 @@
 """Line dedup (10), native: exact set-similarity join of lines by word sets; later matches go.
 
-A line is the set of its words. Words are ordered by rarity over all documents (the logarithm of the count for the most
-frequent words, the rest before them, then by hash), so that two sets of Jaccard 0.8 or more share a word within their
-first n - ceil(0.8 n) + 1. Equal sets are first reduced to the earliest line, which settles those of so few words
-that only an equal set reaches the bound. The rest meet on prefix words, filtered by
-length, by position (what can still be common behind the places of the word) and by a 64-bit parity sketch (which the
-symmetric difference bounds). Sets that have a partner verify the exact Jaccard, first with the earliest set that has one
-at the same word, one pair a set and leader, then the rest in a semi-join that stops at the first earlier match. No join
-puts out more than a row for each prefix word. The sets lie in a table bucketed by their hash and are shuffled once.
+A line is the set of its words (64-bit hashes). Words are ordered by rarity over all distinct lines (the logarithm of the
+count for the most frequent words, the rest before them, then by hash), so that two sets of Jaccard 0.8 or more share a
+word within their first n - ceil(0.8 n) + 1.
+
+1. Equal sets are one, placed where it is met first. The sets lie in a table bucketed by their hash; they are shuffled once.
+2. Every set is posted at its prefix words. Postings of a word meet in a semi-join, filtered by length, by position (what
+   can still be common behind the places of the word) and by a 128-bit parity sketch, which the symmetric difference
+   bounds. It stops at the first partner, so it puts out each posting once at most, however large a group is.
+3. Of what is left, each set is verified (exact Jaccard) with the earliest set at the same word: one pair a set and
+   leader. Sets that no leader matches are then probed against all earlier ones, again up to the first match.
+
+Intermediate tables are dropped as soon as they have been read.
 """
 from __future__ import annotations
 
@@ -17,18 +21,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bucketed, staged
-from .keys import doc_key, texts
+from ..session import Scratch
+from .keys import doc_key, texts, whole_rows
 
-#: Words whose count the order tells apart, and the slots of the table that holds their classes by hash: fixed numbers.
-#: Words that share a slot share a class; that moves them in the order, which is one order for all lines all the same.
-RANKED, SLOTS = 32768, 1 << 18
-
-
-def line_words(line: Column) -> Column:
-    """Words of a (lower-cased) line; the cheap cut at single blanks serves where there is no other white space."""
-    cut = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
-    return F.array_remove(cut, "")
+#: Words are counted by the low bits of their hash, in a table of fixed size; those that share a slot share a class. That
+#: moves them in the order, which is one order for all lines all the same.
+SLOTS = 1 << 17
+#: Sets of so many words have the wide sketch.
+WIDE = 80
 
 
 def may_differ(n: Column, percent: int) -> Column:
@@ -36,76 +36,117 @@ def may_differ(n: Column, percent: int) -> Column:
     return 100 * n >= percent * (n + 1)
 
 
-def rarity_classes(rows: DataFrame) -> list[int]:
-    """A class for each slot: 0, or a logarithm of the count of a frequent word. From the counts of all words."""
-    lines = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("t"))
-    word = lines.select(F.explode(F.transform(line_words(F.col("t")), lambda w: F.hash(w))).alias("x"))
-    most = word.groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(RANKED).collect()
+def plain_lines(text: Column) -> Column:
+    """Lines, lower-cased, with blanks as their only white space."""
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\v") | text.contains("\f")
+    return F.split(F.lower(F.when(odd, F.translate(text, "\t\r\v\f", "    ")).otherwise(text)), "\n")
+
+
+def has_words(line: Column, least: int) -> Column:
+    """Whether a line (of any white space) has at least `least` words."""
+    if least == 1:
+        return F.ltrim(line, F.lit(" \t\n\v\f\r")) != ""
+    return line.rlike(rf"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{least - 1}}}[^\x20\x09-\x0D]")
+
+
+def line_sets(rows: DataFrame, least: int) -> DataFrame:
+    """`h, k, line, w`: every distinct set of word hashes, and the first line that has it."""
+    lines = rows.select("k", F.posexplode(plain_lines(F.col("text"))).alias("line", "t")).where(has_words(F.col("t"), least))
+    words = F.array_remove(F.transform(F.split("t", " "), lambda x: F.xxhash64(x)), F.xxhash64(F.lit("")))
+    lines = lines.select("k", "line", F.sort_array(F.array_distinct(words)).alias("w"))
+    lines = lines.select(F.xxhash64("w").alias("h"), F.struct("k", "line", "w").alias("m"))
+    return lines.groupBy("h").agg(F.min("m").alias("m")).select("h", "m.k", "m.line", "m.w")
+
+
+def rarity_classes(sets: DataFrame) -> list[int]:
+    """A class for each slot: twice the logarithm of how often its words occur in all sets. SLOTS rows at most."""
+    counts = sets.select(F.explode("w").alias("x")).groupBy(F.col("x").bitwiseAND(SLOTS - 1).alias("slot")).count()
     classes = [0] * SLOTS
-    for r in most:
-        slot = r["x"] % SLOTS
-        classes[slot] = max(classes[slot], 1 + int(4 * math.log2(r["n"])))
+    for slot, n in counts.collect():
+        classes[slot] = int(2 * math.log2(n))
     return classes
 
 
-def line_sets(rows: DataFrame, percent: int, least: int) -> DataFrame:
-    """`h, at, w`: every distinct set, its word hashes in the order, and the first line that has it.
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """`h, n, p, q, prefix`: of each set that can match another, its size, its sketch and its first words.
 
-    Sets too small to match any but an equal one are told apart by 64 bits of their words: 32 are too few for one word.
+    A word is its class above 56 bits of its hash here, so that its order is the order by rarity. Words that share both
+    only cost a verification more. Parity sketch: each word flips one of 128 bits, the lower half in p, the upper in q;
+    for sets of under WIDE words the halves lie on each other in p.
     """
-    classes = F.from_json(F.lit(json.dumps(rarity_classes(rows))), "array<bigint>")
-    lines = rows.select("k", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "t"))
-    lines = lines.select("k", "line", line_words(F.col("t")).alias("w")).where(F.size("w") >= least)
-    # one long a word, its class above its hash: the order of longs is the order by rarity
-    ranked = F.transform("w", lambda x: F.shiftleft(F.get(classes, F.pmod(F.hash(x), F.lit(SLOTS))), 32) + F.hash(x) + (1 << 31))
-    distinct = F.array_distinct("w")
-    short = F.when(~may_differ(F.size(distinct), percent), F.xxhash64(F.sort_array(distinct)))
-    lines = lines.select("k", "line", F.sort_array(F.array_distinct(ranked)).alias("w"), short.alias("s"))
-    lines = lines.select("k", "line", "s", F.expr("transform(w, x -> int((x & 4294967295) - 2147483648))").alias("w"))
-    lines = lines.select(F.coalesce("s", F.xxhash64("w")).alias("h"), F.struct("k", "line").alias("at"), "w")
-    return lines.groupBy("h").agg(F.min("at").alias("at"), F.first("w").alias("w"))
+    classes = F.from_json(F.lit(json.dumps([c << 56 for c in rarity_classes(sets)])), "array<bigint>")
+    ranked = F.transform("w", lambda x: F.get(classes, x.bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(x.bitwiseAND((1 << 56) - 1)))
+    flip = "s ^ shiftleft(1L, int(x & 63))"
+    p = f"if(n < {WIDE}, aggregate(w, 0L, (s, x) -> {flip}), aggregate(w, 0L, (s, x) -> if(x & 64 = 0, {flip}, s)))"
+    q = f"if(n < {WIDE}, 0L, aggregate(w, 0L, (s, x) -> if(x & 64 = 0, s, {flip})))"
+    prefix = f"slice(r, 1, int(n - (n * {percent} + 99) div 100 + 1))"
+    found = sets.where(may_differ(F.size("w"), percent)).select("h", "w", F.size("w").alias("n"))
+    found = found.select("h", "n", F.expr(p).alias("p"), F.expr(q).alias("q"), F.sort_array(ranked).alias("r"))
+    return found.select("h", "n", "p", "q", F.expr(prefix).alias("prefix"))
 
 
-def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
-    """`(k, line)` of the lines that stay, of those with at least `least` words."""
-    sets = bucketed(line_sets(rows, percent, least), "h")
-    firsts = sets.select("h", "at")
-    prefix = f"slice(w, 1, int(size(w) - (size(w) * {percent} + 99) div 100 + 1))"
-    posted = sets.where(may_differ(F.size("w"), percent)).select(
-        "h", F.expr("size(w)").alias("n"), F.expr("aggregate(w, 0L, (p, x) -> p ^ shiftleft(1L, x & 63))").alias("p"),
-        F.posexplode(F.expr(prefix)).alias("i", "x"),
-    ).select("h", "p", F.expr("bigint(x) * 4294967296 + bigint(least(n, 65535)) * 65536 + least(i, 65535)").alias("xni"))
-    # read back from a table, so that both sides of the self-join are one shuffle
-    posted = staged(posted)
-    a, b = (posted.select(*[F.col(c).alias(side + c) for c in posted.columns]) for side in "ab")
-    n, m, i, j = "((axni >> 16) & 65535)", "((bxni >> 16) & 65535)", "(axni & 65535)", "(bxni & 65535)"
-    common = f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
-    near = (
-        f"(axni >> 32) = (bxni >> 32) and ah <> bh and (greatest({n}, {m}) = 65535 or ("  # longer sets: verified alone
-        f"100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n}"
-        f" and bit_count(ap ^ bp) <= {n} + {m} - 2 * {common}"
-        f" and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {common}))"
+def postings(found: DataFrame) -> DataFrame:
+    """`h, x, p, q, at`: a row for each prefix word x; `at` holds the set's size and the place of x in it."""
+    posted = found.select("h", "n", "p", "q", F.posexplode("prefix").alias("i", "x"))
+    return posted.select("h", "x", "p", "q", F.expr("(bigint(least(n, 65535)) << 16) | least(i, 65535)").alias("at"))
+
+
+def _near(percent: int) -> str:
+    """The filters on postings a and b of two sets at one word, as SQL; true wherever the sets can match.
+
+    Sets of n and m words that match differ in at most (n + m) * (100 - percent) / (100 + percent) words.
+    """
+    n, m, i, j = "(a.at >> 16)", "(b.at >> 16)", "(a.at & 65535)", "(b.at & 65535)"
+    few = f"* {100 + percent} <= {100 - percent} * ({n} + {m})"
+    return (
+        f"a.x = b.x and bit_count(a.p ^ a.q ^ b.p ^ b.q) {few}"
+        f" and (least({n}, {m}) < {WIDE} or (bit_count(a.p ^ b.p) + bit_count(a.q ^ b.q)) {few})"
+        f" and 100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n}"
+        f" and (greatest({n}, {m}) = 65535"  # the place is not known in longer sets
+        f" or (least({i}, {j}) + least({n} - {i}, {m} - {j})) * {100 + percent} >= {percent} * ({n} + {m})) and a.h <> b.h"
     )
-    # the prefix words at which a set has a partner; each row with the earliest set that has one at the same word
-    partnered = a.join(b.hint("merge"), F.expr(near), "left_semi").select(F.col("ah").alias("h"), F.expr("axni >> 32").alias("x"))
-    placed = partnered.join(sets.select("h", "at").hint("merge"), "h").selectExpr("h", "x", "at", "min(struct(at, h)) over (partition by x) as first")
-    placed = staged(placed.select("h", "x", "at", F.col("first.h").alias("g")))
-    sets = sets.select("h", "w")
-    whole = lambda side: sets.select(F.col("h").alias(side), F.col("w").alias(side + "w")).hint("merge")
-    same = "size(array_intersect(hw, gw))"
-    alike = (
-        f"100 * size(hw) >= {percent} * size(gw) and 100 * size(gw) >= {percent} * size(hw)"
-        f" and 100 * {same} >= {percent} * (size(hw) + size(gw) - {same})"
+
+
+def _alike(percent: int) -> str:
+    same = "size(array_intersect(a.w, b.w))"
+    return (
+        f"100 * size(a.w) >= {percent} * size(b.w) and 100 * size(b.w) >= {percent} * size(a.w)"
+        f" and 100 * {same} >= {percent} * (size(a.w) + size(b.w) - {same})"
     )
-    # most sets match that earliest one: a pair for each set and leader, not for each two sets
-    pairs = placed.where("h <> g").select("h", "g").distinct()
-    gone = staged(pairs.join(whole("h"), "h").join(whole("g"), "g").where(alike).select("h").distinct())
+
+
+def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
+    """`(k, line)` of the lines that stay, of those with at least `least` words."""
+    scratch = Scratch(rows.sparkSession)
+    sets = scratch.bucketed(line_sets(rows, least), "h")
+    found = scratch.staged(prefixes(sets, percent))
+    near = F.expr(_near(percent))
+    # both sides have the same columns, so that they are one shuffle
+    some = scratch.staged(postings(found).alias("a").join(postings(found).alias("b").hint("merge"), near, "left_semi"))
+    scratch.drop(found)
+    # from here on only sets that have a partner matter
+    table = scratch.bucketed(sets.join(some.select("h").distinct().hint("merge"), "h", "left_semi"), "h")
+    met = scratch.staged(some.join(table.select("h", "k", "line").hint("merge"), "h"))
+    words = table.select("h", "w").hint("merge")
+    # most match the earliest one at a word: a pair for each set and leader, not for each two sets
+    first = met.groupBy("x").agg(F.min(F.struct("k", "line", "h", "p", "q", "at")).alias("m"))
+    first = first.select("x", "m.h", "m.p", "m.q", "m.at").alias("b").hint("merge")
+    led = met.alias("a").join(first, near).select(F.col("a.h").alias("h"), F.col("b.h").alias("g"))
+    pairs = led.groupBy("h").agg(F.collect_set("g").alias("g")).join(words, "h")
+    leaders = words.withColumnRenamed("h", "g").hint("merge")
+    pairs = pairs.select("h", "w", F.explode("g").alias("g")).alias("a").join(leaders.alias("b"), "g")
+    gone = scratch.staged(pairs.where(_alike(percent)).select("h").distinct())
     # the others are probed against all earlier sets at the same word, up to the first match
-    open_rows = placed.where("h <> g").join(gone.hint("merge"), "h", "left_anti").select("h", "x", "at")
-    earlier = placed.join(open_rows.select("x").distinct().hint("merge"), "x", "left_semi").select(F.col("h").alias("g"), F.col("x").alias("y"), F.col("at").alias("b"))
-    left, right = open_rows.join(whole("h"), "h"), earlier.join(whole("g"), "g")
-    more = left.join(right.hint("merge"), F.expr(f"x = y and b < at and {alike}"), "left_semi").select("h").distinct()
-    return firsts.join(gone.unionByName(more).distinct().hint("merge"), "h", "left_anti").select("at.k", "at.line")
+    follows = f"{_near(percent)} and (b.k < a.k or b.k = a.k and b.line < a.line)"
+    left = met.join(gone.hint("merge"), "h", "left_anti").alias("a")
+    left = scratch.staged(left.join(met.alias("b").hint("merge"), F.expr(follows), "left_semi"))
+    right = met.alias("b").join(left.alias("a").hint("merge"), F.expr(follows), "left_semi").join(words, "h")
+    match = F.expr(f"{follows} and {_alike(percent)}")
+    more = left.join(words, "h").alias("a").join(right.alias("b").hint("merge"), match, "left_semi")
+    kept = sets.select("h", "k", "line").join(gone.unionByName(more.select("h")).distinct().hint("merge"), "h", "left_anti")
+    kept = scratch.staged(kept.select("k", "line"))
+    scratch.drop(sets, some, table, met, gone, left)
+    return kept
 
 
 def _judged(rows: DataFrame, percent: int, least: int) -> DataFrame:
@@ -117,36 +158,33 @@ def line_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """`k, doc_id, n_lines, n_removed, removed` for every row; `removed` lists line numbers from 0.
 
     Lines are cut at newlines; a line goes if an earlier one (by doc_id, then line number) has a word set with
-    100 * |A & B| >= percent * |A | B|, whether or not that one stays. Lines of fewer than `least` words always stay;
-    with least=1, as the registered queries have it, only lines without a word do. Case is dropped; null and empty texts have one empty line. Rows that repeat a
-    doc_id count as one document: a line stays in all of them if it stays at that number in one. A null doc_id is
-    replaced by a hash of the text. Words are compared by 32 bits of hash:
-    two given lines of n and m words are misjudged with a probability below n * m / 2**32; sets that can only match equal
-    ones (under four words at 80 percent) are compared by 64 bits.
+    100 * |A & B| >= percent * |A | B|, whether or not that one stays; so of lines that tie in everything but their place,
+    the first stays. Lines of fewer than `least` words always stay; with least=1, as the registered queries have it, only
+    lines without a word do. Case is dropped. Null and empty texts have one empty line; very long texts are judged
+    whole, line by line. Rows that repeat a doc_id count as one document: a line stays in all of them if it stays at
+    that number in one. A null doc_id is replaced by a hash of the text. An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     rows = texts(docs, doc_id, text)
-    lines = F.split("text", "\n")
-    words = rf"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{least - 1}}}[^\x20\x09-\x0D]"
-    long = F.filter(F.transform(lines, lambda t, i: F.when(t.rlike(words), i)), lambda i: i.isNotNull())
-    per_doc = rows.select("k", "doc_id", F.size(lines).cast("long").alias("n_lines"), long.alias("long"))
+    long = F.filter(F.transform("lines", lambda t, i: F.when(has_words(t, least), i)), lambda i: i.isNotNull())
+    per_doc = rows.select("k", "doc_id", F.split("text", "\n").alias("lines"))
+    per_doc = per_doc.select("k", "doc_id", F.size("lines").cast("long").alias("n_lines"), long.alias("long"))
     gone = F.array_except("long", F.coalesce("kept", F.array().cast("array<int>")))
     out = per_doc.join(_judged(rows, percent, least), "k", "left").select("k", "doc_id", "n_lines", F.array_sort(gone).alias("gone"))
     return out.select("k", "doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, least: int = 5) -> DataFrame:
-    """`docs` with repeated lines taken out of `text`; all columns stay. See line_report for which lines go.
+    """`docs` with repeated lines taken out of `text`; all columns stay, whatever their names. See line_report for which
+    lines go, and for nulls, ties, repeated rows and empty tables.
 
     A document left without a word by it goes; one that had none before stays.
     """
-    judged = _judged(texts(docs, doc_id, text), percent, least).select(F.col("k").alias("_k"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumn("_key", doc_key(doc_id, text)).join(judged, F.col("_key") == F.col("_k"), "left")
-    stays = F.filter(
-        F.split(text, "\n"),
-        lambda t, i: (F.size(line_words(F.lower(t))) < least) | F.coalesce(F.array_contains("_kept", i), F.lit(False)),
-    )
-    new = F.array_join(stays, "\n")
-    word = r"[^\x20\x09-\x0D]"
-    left = keyed.withColumn("_new", F.when(F.col(text).isNotNull(), new))
-    left = left.where(F.coalesce(F.col("_new").rlike(word) | ~F.col(text).rlike(word), F.lit(True)))
-    return left.withColumn(text, F.col("_new")).drop("_key", "_k", "_kept", "_new")
+    judged = _judged(texts(docs, doc_id, text), percent, least)
+    both = whole_rows(docs, k=doc_key(doc_id, text)).join(judged, "k", "left")
+    whole = F.col("row").getField(text)
+    short = F.exists(F.split(whole, "\n"), lambda t: has_words(t, 1) & ~has_words(t, least)) if least > 1 else F.lit(False)
+    left = both.where(F.coalesce(F.col("kept").isNotNull() | ~has_words(whole, 1) | short, F.lit(True)))
+    stays = F.filter(F.split(whole, "\n"), lambda t, i: ~has_words(t, least) | F.coalesce(F.array_contains("kept", i), F.lit(False)))
+    new = F.when(whole.isNotNull(), F.array_join(stays, "\n"))
+    return left.select(*[(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
