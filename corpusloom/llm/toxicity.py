@@ -1,17 +1,17 @@
 """Toxicity (5): compression-distance classification with two zstandard dictionaries.
 
-One dictionary is trained on ordinary text. The other is the same but for its end, which is trained on toxic text: the
-words that toxic documents hold far more often than ordinary ones. A window (a run of words) is compressed with both; the
-share of its length that only the toxic dictionary saves is its distance score. As both share their ordinary part,
-ordinary windows score about 0. Thresholds on windows and then on documents are calibrated on labelled rows that the
-dictionaries have not seen.
+Texts are cut into windows of a few words. The ordinary dictionary is trained on the windows of ordinary documents. The
+toxic one has the ordinary one in front and then a dictionary trained on windows of toxic documents: as toxic documents
+are ordinary for the most part, those windows that the ordinary dictionary compresses worst, and in further rounds those
+that the toxic dictionary so far makes shorter. So ordinary windows cost about the same with both, and the bytes that only
+the toxic dictionary saves are a window's score. The threshold on windows and the weights and cut of the document's score
+are calibrated on labelled rows that the dictionaries have not seen.
 """
 from __future__ import annotations
 
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,75 +26,66 @@ _WORD = re.compile(r"\w+")
 #: Behind every window and at the end of both dictionaries: zstandard finds no match in the last bytes of its input.
 FRAME = b"#0123456789@abcdefghij#KLMNOPQRSTUVWXYZ#"
 CUT = 0.7  # the score from which a document is predicted toxic
+WINDOW = 3  # words
+ROUNDS, HARD, SAVED, FEWEST = 4, 0.5, 4, 50  # trainings after the first, share of windows that is hard to compress, bytes a window must save, windows to train on
+THRESHOLDS = range(3, 10)  # bytes
 
 
-def windows(text: str, size: int) -> list[str]:
+def windows(text: str, size: int = WINDOW) -> list[bytes]:
     words = _WORD.findall(text.lower())
-    return words if size == 1 else [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+    return [" ".join(words[i : i + size]).encode() for i in range(0, len(words), size)]
+
+
+def compressor(content: bytes):
+    """Length of a window compressed with a dictionary of this content."""
+    plain = zs.ZstdCompressionParameters(
+        window_log=17, chain_log=14, hash_log=15, search_log=6, min_match=4, target_length=16, strategy=zs.STRATEGY_LAZY,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=plain)
+    compress = zs.ZstdCompressor(dict_data=d, compression_params=plain).compress
+    return lambda window: len(compress(b" " + window + b" " + FRAME))
 
 
 class Dictionaries:
-    """The two dictionaries; calling it gives a window's score, remembered within bounds."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes, limit: int = 300_000):
-        self.ordinary, self.toxic, self.limit = ordinary, toxic, limit
-
-    def __reduce__(self):
-        return Dictionaries, (self.ordinary, self.toxic, self.limit)
-
-    def prepare(self) -> Dictionaries:
-        plain = zs.ZstdCompressionParameters(
-            window_log=17, chain_log=14, hash_log=15, search_log=6, min_match=4, target_length=16, strategy=zs.STRATEGY_LAZY,
-            write_content_size=False, write_checksum=False, write_dict_id=False,
-        )
-        both = []
-        for content in (self.ordinary, self.toxic):
-            d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=plain)
-            both.append(zs.ZstdCompressor(dict_data=d, compression_params=plain).compress)
-        base = len(both[0](FRAME))
-
-        class Scores(dict):
-            def __missing__(self, window: str) -> float:
-                data = b" " + window.encode() + b" " + FRAME
-                a, b = (len(f(data)) for f in both)
-                s = self[window] = (a - b) / max(4, a - base)
-                return s
-
-        self.scores = Scores()
-        return self
-
-    def of(self, found: list[str]) -> np.ndarray:
-        out = np.fromiter(map(self.scores.__getitem__, found), np.float64, len(found))
-        if len(self.scores) > self.limit:
-            self.scores.clear()
-        return out
-
-
-def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 16384, least_z: float = 2.5, least_odds: float = 8.0, most_words: int = 64) -> Dictionaries:
-    """The toxic part holds, most telling last, the most_words words whose odds are raised most, in deviations."""
-    t, o = Counter(), Counter()
-    for counts, group in ((t, toxic), (o, ordinary)):
-        for x in set(group):
-            counts.update(set(_WORD.findall(x.lower())))
-    nt, no = max(1, len(set(toxic))), max(1, len(set(ordinary)))
-    z = {}
-    for w, n in t.items():
-        a, b = n + 0.5, o[w] + 0.5
-        odds = math.log(a / (nt - n + 0.5)) - math.log(b / (no - o[w] + 0.5))
-        score = odds / math.sqrt(1 / a + 1 / b)
-        if score >= least_z and odds >= math.log(least_odds):
-            z[w] = score
-    kept = sorted(sorted(z), key=z.get)[-most_words:]
-    end = (" " + " ".join(kept) + " ").encode()[-size // 2 :]
-    samples = [" ".join(x.lower().split()[i : i + 8]).encode() for x in ordinary for i in range(0, len(x.split()), 8)]
-    samples = [s for s in samples if len(s) >= 8][:40_000]
+    """The two dictionaries; `of` gives windows' scores: the bytes that the toxic one saves."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = ordinary, toxic
+        self.lengths = compressor(ordinary), compressor(toxic)
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        a, b = self.lengths
+        return np.fromiter((a(w) - b(w) for w in found), np.float64, len(found))
+
+
+def _trained(samples: list[bytes], size: int, k: int) -> bytes:
     try:
-        base = zs.train_dictionary(size, samples, k=64, d=6).as_bytes()
+        return zs.train_dictionary(size, samples, k=k, d=6).as_bytes()
     except zs.ZstdError:  # too little text to train on: its own content is the dictionary
-        base = b" ".join(samples)
-    base = (b" " * size + base)[-size:]
-    return Dictionaries(base + FRAME, base[: size - len(end)] + end + FRAME)
+        return b" ".join(samples)[-size:]
+
+
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], size: int = 32768, toxic_size: int = 1536) -> Dictionaries:
+    """From windows of toxic and of ordinary documents."""
+    base = _trained(ordinary, size, 64)
+    length = compressor(base + FRAME)
+    share = np.array([length(w) / (len(w) + 4) for w in toxic])
+    chosen = [w for w, x in zip(toxic, share, strict=True) if x >= np.quantile(share, 1 - HARD)] if toxic else []
+    for _ in range(1 + ROUNDS):
+        found = Dictionaries(base + FRAME, base + _trained(chosen, toxic_size, 16) + FRAME)
+        # what the toxic part saves in ordinary windows belongs into the ordinary one
+        wrong = [w for w, x in zip(ordinary, found.of(ordinary), strict=True) if x >= SAVED]
+        better = [w for w, x in zip(toxic, found.of(toxic), strict=True) if x >= SAVED]
+        if len(wrong) >= FEWEST:
+            base = _trained(wrong, toxic_size, 16) + base
+            found = Dictionaries(base + FRAME, base + _trained(chosen, toxic_size, 16) + FRAME)
+            better = [w for w, x in zip(better, found.of(better), strict=True) if x >= SAVED]
+        if len(better) < FEWEST:
+            break
+        chosen = better
+    return found
 
 
 def _features(scores: np.ndarray, threshold: float) -> list[float]:
@@ -105,16 +96,16 @@ def _features(scores: np.ndarray, threshold: float) -> list[float]:
 class Model:
     """Dictionaries, the window threshold, and the weights of the document score."""
 
-    def __init__(self, toxic: list[tuple[int, str]], ordinary: list[tuple[int, str]], window: int):
-        """Pairs of (fold, text); fold 0 trains the dictionaries, the other calibrates."""
-        self.window = window
+    def __init__(self, toxic: list[tuple[int, list[bytes]]], ordinary: list[tuple[int, list[bytes]]]):
+        """Pairs of (fold, windows of a document); fold 0 trains the dictionaries, the other calibrates."""
         fit = lambda rows, fold: [x for f, x in rows if f == fold] or [x for _, x in rows]
-        self.dictionaries = train_dictionaries(fit(toxic, 0), fit(ordinary, 0)).prepare()
+        flat = lambda rows: [w for x in fit(rows, 0) for w in x]
+        self.dictionaries = train_dictionaries(flat(toxic), flat(ordinary))
         rows = [(1, x) for x in fit(toxic, 2)] + [(0, x) for x in fit(ordinary, 2)]
         y = np.array([a for a, _ in rows], float)
-        scored = [self.dictionaries.of(windows(x, window)) for _, x in rows]
-        best = (-1.0, 0.5, None, None)
-        for threshold in np.arange(0.3, 0.96, 0.05):
+        scored = [self.dictionaries.of(x) for _, x in rows]
+        best = (-1.0, float(THRESHOLDS[0]), None, None)
+        for threshold in THRESHOLDS:
             x = np.array([_features(s, threshold) for s in scored]).reshape(-1, 4)
             w = _logistic(x, y)
             f1, cut = _best_cut(x @ w, y)
@@ -127,7 +118,7 @@ class Model:
         self.weights = weights.tolist()
 
     def score(self, text: str) -> float:
-        x = sum(a * b for a, b in zip(self.weights, _features(self.dictionaries.of(windows(text, self.window)), self.threshold), strict=True))
+        x = sum(a * b for a, b in zip(self.weights, _features(self.dictionaries.of(windows(text)), self.threshold), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -141,11 +132,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 
 def _best_cut(s: np.ndarray, y: np.ndarray) -> tuple[float, float | None]:
-    """The best F1 of any cut, and the cut: half way to the next lower value."""
+    """The best F score of any cut, precision weighing more than recall (beta 0.5), and the cut: half way to the next lower value."""
     order = np.argsort(-s, kind="stable")
     s, y = s[order], y[order]
     hit = np.cumsum(y)
-    f1 = np.where(np.append(s[:-1] > s[1:], True), 2 * hit / (np.arange(1, len(y) + 1) + max(1.0, y.sum())), -1)
+    f1 = np.where(np.append(s[:-1] > s[1:], True), 1.25 * hit / (np.arange(1, len(y) + 1) + 0.25 * max(1.0, y.sum())), -1)
     if not len(y):
         return 0.0, None
     i = int(np.argmax(f1))
@@ -153,13 +144,17 @@ def _best_cut(s: np.ndarray, y: np.ndarray) -> tuple[float, float | None]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-                 per_class: int = 4000, most_chars: int = 100_000, window: int = 1) -> Model:
+                 per_class: int = 1500, per_text: int = 400) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    The sample is bounded: at most per_class rows of either label, by hash of doc_id, and of those the texts of at most
-    most_chars characters. Labels other than 0 and 1, null ids and texts are left out.
+    The sample is bounded by two parameters, for the model's training alone: at most per_class rows of either label, by
+    hash of doc_id, and of each text per_text windows at most, evenly spread over the whole of it; so the driver gets
+    2 * per_class * per_text windows (some 80 MB) at the very most. Labels other than 0 and 1 and null ids are left out; a null
+    text has no windows; of labels that repeat an id, one counts. An empty table gives a model that scores all alike.
     """
-    fold = F.pmod(F.crc32(F.col(doc_id).cast("long").cast("string")), F.lit(3))
+    crc = F.crc32(F.col(doc_id).cast("long").cast("string"))
+    # a quarter of what isn't held out calibrates
+    fold = F.when(crc % 3 == 1, 1).when(F.floor(crc / 3) % 4 == 0, 2).otherwise(0)
     given = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"), fold.alias("fold"))
     given = given.where("fold <> 1 and y in (0, 1)").dropDuplicates(["doc_id"])
     sample = None
@@ -167,24 +162,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
         part = given.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
     # at most 2 * per_class rows
-    rows = texts(docs, doc_id, text).where(f"length(text) <= {most_chars}").join(F.broadcast(sample), "doc_id")
-    rows = sorted((r["doc_id"], r["y"], r["fold"], r["text"]) for r in rows.select("doc_id", "y", "fold", "text").collect())
-    return Model(*([(f, x) for _, a, f, x in rows if a == y] for y in (1, 0)), window=window)
+    rows = texts(docs, doc_id, text).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "fold", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = windows(batch.column(3)[i].as_py())
+                if len(found) > per_text:
+                    found = [found[j] for j in np.linspace(0, len(found) - 1, per_text).astype(int)]
+                ids = [batch.column(c).slice(i, 1) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array([found], pa.list_(pa.binary()))], ["doc_id", "y", "fold", "windows"])
+
+    found = rows.mapInArrow(cut, "doc_id long, y int, fold int, windows array<binary>").toArrow()
+    found = found.sort_by([(c, "ascending") for c in ("doc_id", "y", "fold")])
+    kept = list(zip(*(found.column(c).to_pylist() for c in ("y", "fold", "windows")), strict=True))
+    return Model(*([(f, x) for a, f, x in kept if a == y] for y in (1, 0)))
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`k, doc_id, held_out, score, predicted` for every row, from its whole text alone.
 
-    Null and empty texts have no window and get the score of that. held_out: crc32(doc_id as text) mod 3 is 1 (false for
-    a null id). Repeated rows are scored each.
+    Null and empty texts have no window and get the score of that; very long ones are scored whole. held_out: crc32(doc_id
+    as text) mod 3 is 1 (false for a null id). Equal texts tie; repeated rows are scored each. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     d = model.dictionaries
-    shared = docs.sparkSession.sparkContext.broadcast((d.ordinary, d.toxic, model.threshold, model.weights, model.window))
+    shared = docs.sparkSession.sparkContext.broadcast((d.ordinary, d.toxic, model.threshold, model.weights))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
-        ordinary, toxic, own.threshold, own.weights, own.window = shared.value
-        own.dictionaries = Dictionaries(ordinary, toxic).prepare()
+        ordinary, toxic, own.threshold, own.weights = shared.value
+        own.dictionaries = Dictionaries(ordinary, toxic)
         for batch in batches:
             ids = batch.column(1).to_pylist()
             scores = [own.score(x) for x in batch.column(2).to_pylist()]
