@@ -1,20 +1,20 @@
 """URL filters (9): rules first, then naive Bayes over words into which host names are segmented.
 
 A unigram model of words comes from the text of all pages. A host name's labels are split into its most probable words
-(Viterbi); path segments are cut at all but letters and split alike. Multinomial naive Bayes over these tokens is
-trained on the pages that a rule decides, and judges the others.
+(Viterbi); path segments are cut at all but letters and split alike. Every distinct name is split once, with the counts of
+those of its substrings that are words, which a join brings; so no list of words is sent around. Multinomial naive Bayes
+over these tokens is trained on the pages that a rule decides, and judges the others; tokens meet their odds in a join.
 """
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import Scratch
 
 #: The rules of the contract (verdict, host and path).
 RULES = (
@@ -41,13 +41,34 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def word_model(pages: DataFrame, html: str, most: int) -> dict[str, float]:
-    """Log probabilities of the `most` most frequent words of all pages' text: the bound of what is collected."""
-    text = F.regexp_replace(F.lower(F.coalesce(F.col(html), F.lit(""))), r"<(script|style)[^>]*>.*?</\1>|<[^>]*>|&\w+;", " ")
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, 24))
-    counts = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()
-    total = sum(r["n"] for r in counts)
-    return {r["w"]: math.log(r["n"] / total) for r in counts}
+LONGEST = 24  # letters of a word of the model, two at least
+
+
+def word_counts(pages: DataFrame, html: str) -> DataFrame:
+    """`w, n`: how often each word occurs in the text of all pages."""
+    text = F.regexp_replace(F.lower(F.coalesce(F.col(html), F.lit(""))), r"(?s)<(script|style)[^>]*>.*?</\1>|<[^>]*>|&\w+;", " ")
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, LONGEST))
+    return words.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """`name, words` for every distinct name, of any length."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    size = F.length("name")
+    substrings = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda n: F.substr("name", i, n))))
+    pieces = names.select("name", F.explode(F.array_distinct(substrings)).alias("w")).where(F.length("w") > 1)
+    per_name = pieces.join(counts, "w").groupBy("name").agg(F.collect_list("w").alias("w"), F.collect_list("n").alias("n"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = []
+            for name, w, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                model = {x: math.log(y / total) for x, y in zip(w or (), n or (), strict=True)}
+                words.append(segment(name, model, LONGEST))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
+
+    return names.join(per_name, "name", "left").select("name", "w", "n").mapInArrow(split, "name string, words array<string>")
 
 
 def segment(name: str, model: dict[str, float], longest: int) -> list[str]:
@@ -66,73 +87,49 @@ def segment(name: str, model: dict[str, float], longest: int) -> list[str]:
 
 
 def filter_urls(
-    pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES, most_words: int = 50_000,
-    most_tokens: int = 100_000, smoothing: float = 1.0,
+    pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES, smoothing: float = 1.0
 ) -> DataFrame:
     """`page_id, host, path, rule, verdict, block_odds, tokens` for every row.
 
     verdict is the rule's or, where no rule fits, block if the log odds of naive Bayes are above 0 and else allow; so a
     null url, or one without `://` (host and path empty), gets the verdict of no tokens at all: the prior's. If no page
     is decided by a rule, or all alike, the rest follow the prior. Rows that repeat a page are judged each and weigh in
-    as many times. Features beyond the most_tokens most frequent count as unseen; an unseen token tells nothing.
+    as many times. A token of no ruled page tells nothing. Of rules that tie in length the first by text wins, of
+    splits that tie the one with the later cut. Very long urls and texts are read whole. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
+    scratch = Scratch(pages.sparkSession)
     host, path = host_and_path(F.col(url))
     parsed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    parsed = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    model = word_model(pages, html, most_words)
-    context = pages.sparkSession.sparkContext
-    shared = context.broadcast((model, max(map(len, model), default=1)))
-    kept = ["page_id", "host", "path", "rule", "ruled"]
-
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, longest = shared.value
-        known: dict[str, list[str]] = {}
-
-        def split(text: str) -> list[str]:
-            out = []
-            for name in re.findall(r"[^\W\d_]+", text.lower()):
-                if name not in known:
-                    known[name] = segment(name, words, longest) if len(name) <= 200 else [name]
-                out += known[name]
-            return out
+    # rows are numbered once: what is written keeps its numbers
+    parsed = scratch.staged(parsed.select(
+        F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled")
+    ))
+    sides = F.explode(F.array(F.struct(F.lit("h").alias("side"), F.col("host").alias("text")), F.struct(F.lit("p").alias("side"), F.col("path").alias("text"))))
+    names = parsed.select("row", sides.alias("x")).select(
+        "row", "x.side", F.posexplode(F.regexp_extract_all(F.lower("x.text"), F.lit(r"\p{L}+"), F.lit(0))).alias("at", "name")
+    )
+    counts = scratch.staged(word_counts(pages, html))
+    words = scratch.staged(segmented(names.select("name").distinct(), counts))
+    tokens = names.join(words, "name").select(
+        "row", "side", "at", F.transform("words", lambda w: F.concat("side", F.lit(":"), w)).alias("words")
+    )
+    tokens = tokens.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("side", "at", "words"))), lambda x: x["words"])).alias("tokens"))
+    rows = scratch.staged(parsed.join(tokens, "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))))
+    scratch.drop(parsed, counts, words)
 
-        for batch in batches:
-            at = [batch.schema.get_field_index(c) for c in kept]
-            tokens = [
-                ["h:" + w for w in split(h)] + ["p:" + w for w in split(p)]
-                for h, p in zip(batch.column(at[1]).to_pylist(), batch.column(at[2]).to_pylist(), strict=True)
-            ]
-            if len(known) > 200_000:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(tokens, pa.list_(pa.string()))], [*kept, "tokens"])
-
-    kinds = dict(parsed.dtypes)
-    columns = ", ".join(f"{c} {kinds[c]}" for c in kept)
-    rows = staged(parsed.mapInArrow(tokenise, f"{columns}, tokens array<string>"))
     ruled = rows.where("ruled is not null")
     pages_of = {r["ruled"]: r["n"] for r in ruled.groupBy("ruled").agg(F.count("*").alias("n")).collect()}
-    seen = ruled.select("ruled", F.explode("tokens").alias("t")).groupBy("t").agg(
+    seen = ruled.select("ruled", F.explode("tokens").alias("token")).groupBy("token").agg(
         F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a")
     )
     sums = seen.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("v")).first()
-    most = seen.orderBy(F.desc(F.col("a") + F.col("b")), "t").limit(most_tokens).collect()
-    bottom = [(sums[x] or 0) + smoothing * (sums["v"] or 1) for x in "ab"]
-    odds = {r["t"]: math.log((r["b"] + smoothing) / bottom[1]) - math.log((r["a"] + smoothing) / bottom[0]) for r in most}
+    bottom = {x: (sums[x] or 0) + smoothing * (sums["v"] or 1) for x in "ab"}
+    odds = seen.select("token", (F.log((F.col("b") + smoothing) / bottom["b"]) - F.log((F.col("a") + smoothing) / bottom["a"])).alias("odds"))
     prior = math.log(pages_of.get("block", 0) + smoothing) - math.log(pages_of.get("allow", 0) + smoothing)
-    weights = context.broadcast((prior, odds))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, per_token = weights.value
-        for batch in batches:
-            at = [batch.schema.get_field_index(c) for c in (*kept, "tokens")]
-            score = [round(start + sum(per_token.get(t, 0.0) for t in x), 9) for x in batch.column(at[5]).to_pylist()]
-            verdict = [r or ("block" if s > 0 else "allow") for r, s in zip(batch.column(at[4]).to_pylist(), score, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in at[:4]), pa.array(verdict, pa.string()), pa.array(score, pa.float64()), batch.column(at[5])],
-                ["page_id", "host", "path", "rule", "verdict", "block_odds", "tokens"],
-            )
-
-    return rows.mapInArrow(
-        judge, f"page_id {kinds['page_id']}, host string, path string, rule string, verdict string, block_odds double, tokens array<string>"
-    )
+    score = rows.select("row", F.explode("tokens").alias("token")).groupBy("row", "token").count().join(odds, "token")
+    score = score.groupBy("row").agg(F.sum(F.col("count") * F.col("odds")).alias("score"))
+    out = rows.join(score, "row", "left").withColumn("block_odds", F.round(F.lit(prior) + F.coalesce("score", F.lit(0.0)), 9))
+    judged = F.coalesce("ruled", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", judged.alias("verdict"), "block_odds", "tokens")
