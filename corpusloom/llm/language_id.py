@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .keys import doc_key
+from .keys import doc_key, rows_back, whole_rows
 
 BUCKETS = 1 << 15  # trigram hash values, a fixed table
 NONE = "und"  # no known language
@@ -48,11 +48,13 @@ def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def train_trigrams(rows: DataFrame, classes: int) -> tuple[list[str], np.ndarray]:
-    """The `classes` languages declared most, and their log probabilities of each bucket (and of NONE: uniform)."""
+def train_trigrams(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All declared languages, most declared first, and their log probabilities of each bucket (and of NONE: uniform).
+
+    The table has BUCKETS values a language: 26 MB for 200 of them.
+    """
     names = [
-        r[0] for r in rows.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "declared").limit(classes).collect()
+        r[0] for r in rows.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").collect()
     ]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +66,7 @@ def train_trigrams(rows: DataFrame, classes: int) -> tuple[list[str], np.ndarray
                 bucket, counts, bounds = _trigrams(part.column(0))
                 lang = np.array([place.get(x, -1) for x in part.column(1).to_pylist()])
                 lang = np.repeat(lang, np.diff(bounds))
-                for j in range(len(names)):
+                for j in np.unique(lang[lang >= 0]):
                     total[j] += np.bincount(bucket[counts & (lang == j)], minlength=BUCKETS)
         at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -74,7 +76,7 @@ def train_trigrams(rows: DataFrame, classes: int) -> tuple[list[str], np.ndarray
     table = np.full((len(names), BUCKETS), 0.5)
     if names:
         got = rows.select("text", "declared").mapInArrow(count, "lang int, bucket int, n long")
-        got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most classes * BUCKETS rows
+        got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
         table[got["lang"], got["bucket"]] += got["n"]
     table = np.log(table / table.sum(axis=1, keepdims=True))
     return [*names, NONE], np.vstack([table, np.full((1, BUCKETS), -np.log(BUCKETS))])
@@ -111,36 +113,57 @@ def address_parts(url: Column) -> tuple[Column, Column, Column]:
     return host, F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.element_at(labels, -1)
 
 
+def _subtag(declared: Column) -> Column:
+    """The language alone of a declaration such as `en-GB`, in lower case."""
+    return F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]*)", 1))
+
+
+def page_evidence(url: Column, html: Column) -> dict[str, Column]:
+    """What a web page declares: the language of its markup, and host, registered domain and suffix of its address."""
+    host, domain, suffix = address_parts(url)
+    declared = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?\s*([A-Za-z]+)""", 1)
+    return {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page: what lies outside of tags, scripts and styles."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ")
+
+
 def identify_language(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", declared: Column | None = None, host: Column | None = None,
-    domain: Column | None = None, suffix: Column | None = None, classes: int = 32, per_text: int = 200, prior: float = 20.0,
+    domain: Column | None = None, suffix: Column | None = None, per_text: int = 200, prior: float = 20.0,
     least: float = 0.5,
 ) -> DataFrame:
     """`k, doc_id, text_hash, language, probability, text_language, kept` for every row.
 
-    declared, host, domain and suffix are string columns, null or empty where there is no such evidence. kept is false
+    declared, host, domain and suffix are string columns (of a declared `en-GB`, `en` counts), null or empty where there is no such evidence. kept is false
     for a text without a trigram of letters (null and empty ones too), and where the most probable class is NONE or less
     probable than `least`. `prior` is the weight, in rows, with which each level of hosts is drawn to the one above.
-    Repeated rows are judged each.
+    Repeated rows are judged each; of classes that tie, the first in the list of languages wins. Very long texts are read
+    whole. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     empty = F.lit("")
     evidence = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
     rows = docs.select(
         doc_key(doc_id, text).alias("k"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), empty).alias("text"),
         F.xxhash64(F.coalesce(F.col(text), empty)).alias("text_hash"),
-        *[F.coalesce(c, empty).alias(n) if c is not None else empty.alias(n) for n, c in evidence.items()],
+        *[F.coalesce(_subtag(c) if n == "declared" else c, empty).alias(n) if c is not None else empty.alias(n) for n, c in evidence.items()],
     )
-    names, table = train_trigrams(rows, classes)
+    names, table = train_trigrams(rows)
     m = len(names)
     scored = cut(_log_likelihoods(rows, table, per_text).withColumn("best", F.expr("int(array_position(ll, array_max(ll)) - 1)")))
     sure = scored.where("n_trigrams > 0")
 
     def counted(*by: str) -> DataFrame:
         """Verdicts of the text alone, per group: an array of m counts, combined before the shuffle."""
-        return sure.groupBy(*by).agg(F.array(*[F.count_if(F.col("best") == i) for i in range(m)]).alias("c"))
+        per = sure.groupBy(*by, "best").agg(F.count("*").alias("n"))
+        met = per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("c"))
+        return met.withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0).cast("bigint"))))
 
     zero = F.array(*[F.lit(0)] * m).cast("array<bigint>")
-    whole = counted().first()["c"]
+    verdicts = {r["best"]: r["n"] for r in sure.groupBy("best").agg(F.count("*").alias("n")).collect()}  # one row a class
+    whole = [verdicts.get(i, 0) for i in range(m)]
     total = sum(whole)
     top = F.array(*[F.lit((x + 1.0) / (total + m)) for x in whole])
     mixed = lambda c, up: F.expr(
@@ -179,8 +202,7 @@ def identify_language(
 
 
 def keep_identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, whose language is identified. Rows of equal id and text are kept or not as one."""
-    bad = identify_language(docs, doc_id=doc_id, text=text, **options).where("not kept")
-    bad = bad.select(F.col("k").alias("_k"), F.col("text_hash").alias("_h")).distinct()
-    keyed = docs.withColumn("_key", doc_key(doc_id, text)).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return keyed.join(bad, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_anti").drop("_key", "_hash")
+    """The rows of `docs`, all columns whatever their names, whose language is identified. Rows of equal id and text are kept or not as one."""
+    bad = identify_language(docs, doc_id=doc_id, text=text, **options).where("not kept").select("k", "text_hash").distinct()
+    keyed = whole_rows(docs, k=doc_key(doc_id, text), text_hash=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return rows_back(keyed.join(bad, ["k", "text_hash"], "left_anti"))

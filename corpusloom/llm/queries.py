@@ -60,6 +60,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"), least=1).drop("k")
 
 
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID with all its evidence: markup, host, registered domain and address suffix of web pages."""
+    html = F.col("html")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html", language_id.page_text(html).alias("text"))
+    found = language_id.identify_language(pages, doc_id="page_id", **language_id.page_evidence(F.col("url"), html))
+    return found.select(F.col("doc_id").alias("page_id"), "language", "probability", "text_language", "kept")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -71,6 +79,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "language_id_of_pages": language_id_of_pages,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secrets_sql.sql(),
