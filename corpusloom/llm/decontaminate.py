@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import texts
+from .keys import doc_key, rows_back, texts, whole_rows
 from .shingles import WordHashes, windows
 
 _WORD = re.compile(r"\w+")
@@ -29,35 +29,32 @@ def words(text: str, cache: WordHashes) -> np.ndarray:
     return cache.of(_WORD.findall(text.lower()))
 
 
-def _longest(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, list[tuple[int, int]]]:
-    """Longest window in low..high that both have unmarked (0 marks), and where: (start in a, start in b)."""
-    best, found = 0, []
+def _longest(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, tuple | None]:
+    """Longest window in low..high that both have unmarked (0 marks), and where; see _common."""
+    best, found = 0, None
     while low <= high:
         size = (low + high) // 2
-        hits = _common(a, b, size)
-        if hits:
+        if hits := _common(a, b, size):
             best, found, low = size, hits, size + 1
         else:
             high = size - 1
     return best, found
 
 
-def _common(a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, int]]:
+def _common(a: np.ndarray, b: np.ndarray, size: int) -> tuple | None:
+    """Windows of `size` unmarked words that both have: their starts in a and, for each, from where to where b's starts lie
+    in the last array. b's starts are listed once, however often a has the window."""
     if min(len(a), len(b)) < size:
-        return []
+        return None
     at = []
     for x in (a, b):
         marked = np.append(0, np.cumsum(x == 0))
         at.append(np.flatnonzero(marked[size:] == marked[:-size]))
     hash_a, hash_b = windows(a, size)[at[0]], windows(b, size)[at[1]]
     order = np.argsort(hash_b, kind="stable")
-    left, right = np.searchsorted(hash_b[order], hash_a, "left"), np.searchsorted(hash_b[order], hash_a, "right")
-    return [
-        (int(at[0][i]), int(at[1][j]))
-        for i in np.flatnonzero(right > left)
-        for j in order[left[i] : right[i]]
-        if np.array_equal(a[at[0][i] : at[0][i] + size], b[at[1][j] : at[1][j] + size])
-    ]
+    left, right = (np.searchsorted(hash_b[order], hash_a, side) for side in ("left", "right"))
+    hit = np.flatnonzero(right > left)
+    return (at[0][hit], left[hit], right[hit], at[1][order]) if len(hit) else None
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -68,11 +65,22 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
         size, found = _longest(item, doc, least, min(size, len(doc)))
         if not size:
             break
-        for i, j in found:
-            if item[i : i + size].all() and doc[j : j + size].all():
-                item[i : i + size] = 0
-                doc[j : j + size] = 0
-                tiles.append((i, j, size))
+        before, starts = len(tiles), found[3]
+        next_of: dict[int, int] = {}  # what is marked stays marked: no start in the doc is tried twice
+        for i, left, right in zip(*(x.tolist() for x in found[:3]), strict=True):
+            if not item[i : i + size].all():
+                continue
+            p = next_of.get(left, left)
+            while p < right:
+                j = int(starts[p])
+                p += 1
+                if doc[j : j + size].all() and np.array_equal(item[i : i + size], doc[j : j + size]):
+                    item[i : i + size] = 0
+                    doc[j : j + size] = 0
+                    tiles.append((i, j, size))
+                    break
+            next_of[left] = p
+        size -= len(tiles) == before  # hashes alone were equal
     return tiles
 
 
@@ -99,17 +107,21 @@ class Seeds:
             if len(doc) < size:
                 continue
             hashes, which, start, some = self.by_size[size]
-            own = windows(doc, size)
-            at = np.flatnonzero(some[(own >> np.uint64(44)).astype(np.int64)])
+            met = windows(doc, size)
+            at = np.flatnonzero(some[(met >> np.uint64(44)).astype(np.int64)])
             if not len(at):
                 continue
-            left, right = np.searchsorted(hashes, own[at], "left"), np.searchsorted(hashes, own[at], "right")
+            left, right = np.searchsorted(hashes, met[at], "left"), np.searchsorted(hashes, met[at], "right")
             n = right - left
+            if not n.any():
+                continue
             seeds = np.unique(np.repeat(left - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()))
             under = (at[n > 0][:, None] + np.arange(size)).ravel()
             masked = None
-            for i in np.unique(which[seeds]):
-                covered = np.unique((start[seeds[which[seeds] == i]][:, None] + np.arange(size)).ravel())
+            seeds = seeds[np.argsort(which[seeds], kind="stable")]
+            items, first = np.unique(which[seeds], return_index=True)
+            for i, own in zip(items, np.split(seeds, first[1:]), strict=True):
+                covered = np.unique((start[own][:, None] + np.arange(size)).ravel())
                 if len(covered) >= coverage * len(self.items[i][1]):
                     if masked is None:
                         # stretches under seeds, a 0 between them
@@ -143,7 +155,9 @@ def contaminated_pairs(
     Words are runs of letters, digits and `_`, lower-cased. A passage of fewer than k words counts as one stretch of its
     own length; one without words, or null, matches nothing; so do null and empty documents. Repeated rows (same id and
     text) give one row for each passage; with the same id and other text, the best coverage is kept. Passages of equal
-    text are separate items. A null doc_id is told apart by a hash of the text (`k`).
+    text are separate items. A null doc_id is told apart by a hash of the text (`k`). Very long texts are scanned whole. Of
+    tiles that tie in length, the first in the passage and then in the document is marked. Either table empty: no pairs.
+    Other columns are ignored, whatever their names.
     """
     rows = texts(docs, doc_id, text)
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(item_text, F.lit("")).alias("item"))
@@ -220,7 +234,7 @@ def _by_join(rows: DataFrame, items: DataFrame, k: int, coverage: float) -> Data
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, whose text doesn't hold a passage of `benchmark`; see contaminated_pairs."""
-    bad = contaminated_pairs(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("k").alias("_bad")).distinct()
-    key = F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    """The rows of `docs`, all columns whatever their names, whose text doesn't hold a passage of `benchmark`; see
+    contaminated_pairs, also for nulls, repeated rows and empty tables."""
+    bad = contaminated_pairs(docs, benchmark, doc_id=doc_id, text=text, **options).select("k").distinct()
+    return rows_back(whole_rows(docs, k=doc_key(doc_id, text)).join(bad, "k", "left_anti"))
