@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .components import connected_components
-from .keys import doc_key, texts
+from .keys import doc_key, rows_back, texts, whole_rows
 from .shingles import WordHashes, shingle_set
 
 #: A shingle met this often in one batch is reported; the sum over batches ranks frequent shingles.
@@ -235,7 +235,8 @@ def ngram_jaccard_classes(
     Two documents link when 100 * |A & B| >= percent * |A | B|; component_id is the smallest doc_id reachable. A text of
     fewer than k words is one shingle; a null or blank text is an empty set, linked with nothing. Rows of equal text
     (copies, repeated rows) share a component. A null doc_id never names a component unless no row in it has one; then a
-    hash of the text does. An empty table gives an empty result; other columns are ignored.
+    hash of the text does. Very long texts are shingled whole. Sets that tie share all, so no order among them matters. An
+    empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = texts(docs, doc_id, text)
     sets = staged(shingle_sets(rows, k, percent))
@@ -251,12 +252,11 @@ def ngram_jaccard_classes(
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, all columns, with one document of each component: the one that names it.
+    """The rows of `docs`, all columns whatever their names, with one document of each component: the one that names it.
 
     Of rows that repeat both id and text, one stays. See ngram_jaccard_classes for links, nulls and empty texts.
     """
     classes = ngram_jaccard_classes(docs, doc_id=doc_id, text=text, **options)
-    stay = classes.where("k = component_id").select(F.col("k").alias("_k")).distinct()
-    keyed = docs.withColumn("_key", doc_key(doc_id, text)).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = keyed.join(stay, F.col("_key") == F.col("_k"), "left_semi")
-    return kept.dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
+    stay = classes.where("k = component_id").select("k").distinct()
+    keyed = whole_rows(docs, k=doc_key(doc_id, text), hash=F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return rows_back(keyed.join(stay, "k", "left_semi").dropDuplicates(["k", "hash"]))
