@@ -33,7 +33,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
-    return packing.pack(docs).drop("ids")
+    return packing.pack(docs, with_ids=False)
 
 
 STAGES = [
