@@ -30,9 +30,19 @@ def grounded_windows(quotes: DataFrame, evidence: DataFrame, width: int = 20, st
     return d.join(q, "w").select("quote_id", "doc_id").distinct()
 
 
+#: What stands behind a book's name where a sentence attributes something to it.
+ATTRIBUTIONS = (
+    r"के\s+अनुसार|के\s+मुताबिक|में\s+(?:कहा|लिखा|बताया)\s+गया\s+है\s+कि|में\s+वर्णित\s+है\s+कि|according\s+to|says\s+that|states\s+that"
+)
+
+
 def verify_answers(answers: DataFrame, evidence: DataFrame, names: DataFrame) -> DataFrame:
     """answers (id, text) with quotes that the evidence (id, book, text) doesn't hold removed line by line, and
-    attributions to books (name, book) that aren't among it: `(id, text, quotes, citations)`."""
+    attributions to books (name, book) that aren't among it: `(id, text, quotes, citations)`.
+
+    All ungrounded names that a line holds lose their attribution. A citation behind a dash at the line's end goes if
+    it holds an ungrounded name and no grounded one, compared as normalised text.
+    """
     ground = evidence.groupBy("id").agg(
         norm_evidence(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("book", "text"))), lambda x: x["text"]), " ")).alias("ev"), F.collect_set("book").alias("books"))
     lines = answers.select("id", F.posexplode(F.split("text", "\n")).alias("i", "line")).join(ground, "id", "left")
@@ -40,19 +50,25 @@ def verify_answers(answers: DataFrame, evidence: DataFrame, names: DataFrame) ->
     has = F.col("line").rlike(r'["“”«»]([^"“”«»\n]{10,400})["“”«»]')
     lines = lines.withColumn("bad", has & ~quote_in(quote, F.coalesce("ev", F.lit(""))))
     named = names.where(F.length("name") >= 4)
-    # names that a line holds and that aren't grounded; the longest is taken out
-    met = lines.where("not bad").join(named, F.contains(F.col("line"), F.col("name"))).where(
-        ~F.coalesce(F.array_contains(F.coalesce("books", F.array().cast("array<string>")), F.col("book")), F.lit(False)))
-    longest = met.groupBy("id", "i").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
-    lines = lines.join(longest, ["id", "i"], "left")
+    cited = F.regexp_extract("line", r"\s*[—–]\s*([^\n—–]{3,60})\s*$", 1)
+    # the names that a line holds, the longest first, and whether its book is grounded
+    met = lines.where("not bad").join(named, F.contains(F.col("line"), F.col("name")) | F.contains(norm_evidence(cited), norm_evidence("name")))
+    grounded = F.coalesce(F.array_contains(F.coalesce("books", F.array().cast("array<string>")), F.col("book")), F.lit(False))
+    in_tail = F.contains(norm_evidence(cited), norm_evidence("name"))
     escaped = F.regexp_replace("name", r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    attribution = F.concat(F.lit("(?i)"), escaped, F.lit(r"\s*(?:के\s+अनुसार|के\s+मुताबिक|according\s+to|says\s+that|states\s+that)\s*[,:—-]?\s*"))
-    tail = F.concat(F.lit(r"\s*[—–]\s*(?=[^\n—–]{3,60}\s*$)[^\n—–]*"), escaped, F.lit(r"[^\n—–]*$"))
-    new = F.when(F.col("name").isNull(), F.col("line")).otherwise(F.regexp_replace(F.regexp_replace("line", attribution, F.lit("")), tail, F.lit("")))
-    lines = lines.withColumn("new", new)
+    by_length = F.array_sort(F.collect_set(F.when(~grounded, F.struct((-F.length("name")).alias("n"), escaped.alias("name")))))
+    per = met.groupBy("id", "i").agg(by_length.alias("wrong"), F.bool_or(in_tail & grounded).alias("kept"), F.bool_or(in_tail & ~grounded).alias("dropped"))
+    lines = lines.join(per, ["id", "i"], "left")
+    either = F.array_join(F.transform("wrong", lambda x: x["name"]), "|")
+    attribution = F.concat(F.lit("(?i)("), either, F.lit(rf")\s*(?:{ATTRIBUTIONS})\s*[,:—-]?\s*"))
+    any_wrong = F.coalesce(F.size("wrong") > 0, F.lit(False))
+    found = F.when(any_wrong, F.size(F.array_distinct(F.regexp_extract_all("line", attribution, F.lit(1))))).otherwise(0)
+    new = F.when(any_wrong, F.regexp_replace("line", attribution, F.lit(""))).otherwise(F.col("line"))
+    tail = F.coalesce(F.col("dropped") & ~F.col("kept"), F.lit(False))
+    lines = lines.withColumn("n", found + tail.cast("int")).withColumn("new", F.when(tail, F.regexp_replace(new, r"\s*[—–]\s*[^\n—–]{3,60}\s*$", "")).otherwise(new))
     out = lines.groupBy("id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("bad"), F.struct("i", "new")))), lambda x: x["new"]), "\n").alias("text"),
-        F.count_if("bad").alias("quotes"), F.count_if(~F.col("bad") & (F.col("new") != F.col("line"))).alias("citations"))
+        F.count_if("bad").alias("quotes"), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)).alias("citations"))
     return out.withColumn("text", F.trim(F.regexp_replace("text", r"\n{3,}", "\n\n")))
 
 
