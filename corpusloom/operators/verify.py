@@ -1,6 +1,10 @@
 """Grounding: quotes and citations of answers against the evidence, footers, topic rules and scorecards."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,19 +19,61 @@ def quote_in(quote: Column, evidence: Column, width: int = 20, stride: int = 4,
     return (F.length(quote) < least) | F.contains(evidence, quote) | ((F.length(quote) > width) & part)
 
 
-def grounded_windows(quotes: DataFrame, evidence: DataFrame, width: int = 20, stride: int = 4) -> DataFrame:
+def _window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows along the last axis of code points."""
+    n = codes.shape[-1] - width + 1
+    out = np.zeros((*codes.shape[:-1], n), np.uint64)
+    for j in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[..., j : n + j]
+    return out ^ (out >> np.uint64(32))
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _scanned(texts: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+    """`(doc_id, w)`: the windows that stand in a text (doc_id, t), found by their hashes; nothing else leaves the scan."""
+    wanted = [r["w"] for r in windows.select("w").distinct().collect()]
+    hashes = np.unique(_window_hashes(_codes(wanted).reshape(-1, width), width)) if wanted else np.zeros(0, np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(hashes)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = shared.value
+        some = np.zeros(1 << 20, bool)
+        some[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        for batch in batches:
+            docs, found = [], []
+            for doc, t in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                own = _window_hashes(_codes([t]), width)
+                at = np.flatnonzero(some[(own >> np.uint64(44)).astype(np.int64)])
+                at = at[np.isin(own[at], hashes)]
+                met = {t[i : i + width] for i in at.tolist()}
+                docs += [doc] * len(met)
+                found += met
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.string())], ["doc_id", "w"])
+
+    return texts.select(F.col("doc_id").cast("long"), "t").mapInArrow(scan, "doc_id long, w string")
+
+
+def _spread(texts: DataFrame, width: int, block: int = 2000) -> DataFrame:
+    """`(doc_id, w)`: every window of the texts. They are cut into blocks first, so that substr stays short."""
+    starts = F.sequence(F.lit(0), F.floor((F.length("t") - width) / block))
+    cut = texts.select("doc_id", F.explode(F.transform(starts, lambda b: F.substr("t", (b * block + 1).cast("int"), F.lit(block + width - 1)))).alias("b"))
+    return cut.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("b") - width + 1), lambda i: F.substr("b", i, F.lit(width)))).alias("w"))
+
+
+def grounded_windows(quotes: DataFrame, evidence: DataFrame, width: int = 20, stride: int = 4, most: int = 1_000_000) -> DataFrame:
     """`(quote_id, doc_id)` where a window of the quote (at the stride) stands in the document: all documents at once.
 
-    Windows of quotes (quote_id, text) are joined by hash with windows at every place of documents (doc_id, text), so
-    no pair of texts is compared that shares nothing; both are normalised first."""
+    Both are normalised first. Up to `most` windows of quotes (quote_id, text) go to the scan of the documents (doc_id,
+    text), which puts out only those it finds; more of them are joined with the windows at every place of the documents.
+    Either way windows meet as texts in the end, so the pairs are the same."""
     q = quotes.select("quote_id", norm_evidence("text").alias("t")).where(F.length("t") >= width)
     q = q.select("quote_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - width + 1, F.lit(stride)), lambda i: F.substr("t", i, F.lit(width)))).alias("w"))
     d = evidence.select("doc_id", norm_evidence("text").alias("t")).where(F.length("t") >= width)
-    # windows of a document at the places a quote could begin: cut into blocks first, so that substr stays short
-    block = 2000
-    d = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - width) / block)), lambda b: F.substr("t", (b * block + 1).cast("int"), F.lit(block + width - 1)))).alias("b"))
-    d = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("b") - width + 1), lambda i: F.substr("b", i, F.lit(width)))).alias("w"))
-    return d.join(q, "w").select("quote_id", "doc_id").distinct()
+    found = _scanned(d, q, width) if q.count() <= most else _spread(d, width)
+    return found.join(q, "w").select("quote_id", "doc_id").distinct()
 
 
 #: What stands behind a book's name where a sentence attributes something to it.

@@ -10,6 +10,7 @@ from ..operators import search as S
 from ..operators import vectors as X
 from ..operators import verify as V
 from ..profiles import LATIN
+from ..session import staged
 from .base import ASKED, CHUNKS, POSTINGS, SCORES, STOP, L, asked, chunks, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -30,7 +31,8 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return S.keyword_scores(asked(spark, sf), postings(spark, sf), chunks(spark, sf), LATIN)
+    # the index is read three times: built once, as a store would be
+    return S.keyword_scores(asked(spark, sf), staged(postings(spark, sf)), chunks(spark, sf), LATIN)
 
 
 @query("s04_index_shards", f"WITH {CHUNKS}, {POSTINGS} SELECT CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 8 AS INT) AS shard, count(DISTINCT word) AS words, count(*) AS postings FROM postings GROUP BY 1")
@@ -183,9 +185,9 @@ def j08(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, sf: str) -> DataFrame:
-    """All sources, the gate, diversity, neighbours and packing; the reranker is the share of the query's terms that a
+    """The keyword source and its best of each book, the gate, diversity, neighbours and packing; the reranker is the share of the query's terms that a
     passage holds (a stand-in for a model)."""
-    found, text = scores(spark, sf), chunks(spark, sf)
+    found, text = staged(scores(spark, sf)), chunks(spark, sf)
     union = S.priority_union([(found, 20), (S.top_k(found, 3, "book").drop("rank"), 20)])
     ready = S.rerank_candidates(union.drop("rank", "source"), _hinted(spark, sf)).join(text.select("id", "text", "page"), "id")
     from ..functions.text import query_terms
@@ -194,7 +196,7 @@ def retrieved(spark: SparkSession, sf: str) -> DataFrame:
     share = F.size(F.filter("w", lambda x: F.contains(F.lower("text"), x))) / F.greatest(F.size("w"), F.lit(1))
     gated = ready.join(words, "query_id").withColumn("rerank", F.round(share, 6)).where("rerank >= 0.5")
     kept = S.diversity_cap(gated, 3).select("query_id", "id", "book", F.col("rerank").alias("score"))
-    wide = S.add_neighbours(S.top_k(kept, 12), text).join(text.select("id", "text", "page"), "id").withColumn("rerank", F.col("score"))
+    wide = S.add_neighbours(staged(S.top_k(kept, 12)), text).join(text.select("id", "text", "page"), "id").withColumn("rerank", F.col("score"))
     flagged = V.grounded_flags(wide, LATIN)
     return S.pack_context(flagged, [F.col("rank"), F.col("offset")])
 

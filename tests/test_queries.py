@@ -182,3 +182,25 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 50"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_quote_windows_are_found_alike_by_scan_and_join(spark):
+    docs = [(1, "Indeed, the river flows to the sea forever."), (2, "nothing of the kind stands here at all, not a word"), (3, None), (4, "short"), (5, "THE RIVER — flows to the sea forever 😀 नदी समुद्र की ओर बहती है सदा के लिए")]
+    quotes = [(10, "the river flows to the sea forever"), (11, "नदी समुद्र की ओर बहती है सदा के लिए"), (12, "tiny"), (13, None), (10, "the river flows to the sea forever")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(quotes, "quote_id long, text string")
+    found = lambda most: sorted((r["quote_id"], r["doc_id"]) for r in verify.grounded_windows(q, d, most=most).collect())
+    assert found(1_000_000) == found(0) == [(10, 1), (10, 5), (11, 5)]
+
+
+def test_health_questions_in_either_script(spark):
+    rows = [("बुखार का इलाज", True), ("bimari ki dawa", True), ("Sugar level", True), ("sugary tea", False), ("", False), (None, False)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select(text.is_health_query("t").alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_all_ungrounded_names_of_a_line_go(spark):
+    answers = spark.createDataFrame([(1, "Book Two says that Book Four में वर्णित है कि all is well\nfine — BOOK-TWO (p.3)\nboth — Book One, Book Two")], "id int, text string")
+    evidence = spark.createDataFrame([(1, "one", "Indeed.")], "id int, book string, text string")
+    names = spark.createDataFrame([("Book One", "one"), ("Book Two", "two"), ("Book Four", "four")], "name string, book string")
+    r = verify.verify_answers(answers, evidence, names).first()
+    assert (r["text"], r["quotes"], r["citations"]) == ("all is well\nfine\nboth — Book One, Book Two", 0, 3)
