@@ -1,15 +1,15 @@
 """Vector search over a table of queries, quantisation, pooling and score statistics."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A query block is broadcast up to so many vectors; more queries are taken in that many at a time.
-BLOCK = 4096
+#: Queries that meet a part of the vectors at once, vectors of a part, and vectors of one matrix product.
+BLOCK, PART, SLICE = 4096, 50_000, 2048
 
 
 def l2_normalise(v: Column) -> Column:
@@ -31,47 +31,55 @@ def dequantised_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a["q"], b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) * a["scale"] / 127
 
 
+def _met(queries: DataFrame, vectors: DataFrame, by: list[str]):
+    """Blocks of queries cogrouped with parts of the vectors: every query meets every vector once, in (block, part).
+
+    Both are dealt by hash, so blocks and parts grow in number with the tables and not in size; nothing goes through the
+    driver but two counts.
+    """
+    blocks = max(1, math.ceil(queries.count() / BLOCK))
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(vectors.count() / PART))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = F.col("v").cast("array<double>").alias("v")
+    q = queries.select(deal("query_id", blocks).alias("block"), every(parts).alias("part"), F.col("query_id").cast("long"), v, *by)
+    own = vectors.select(every(blocks).alias("block"), deal("id", parts).alias("part"), F.col("id").cast("long"), v, *by)
+    return q.groupBy("block", "part").cogroup(own.groupBy("block", "part"))
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The column v as rows of length 1; zero vectors stay."""
+    flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    m = flat.reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1))
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same_book: bool = False) -> DataFrame:
     """`(query_id, id, score, rank)`: k best by cosine, ties by id, over all vectors (id, v[, book]).
 
-    queries (query_id, v[, book]) are taken in blocks of BLOCK, each a matrix product per Arrow batch. A batch gives its
-    own k best per query, so the shuffle moves k rows per query and batch, never all scores. Zero vectors score 0.
+    queries: (query_id, v[, book]), any number of them. Blocks of queries meet parts of the vectors as matrix products; a
+    part gives its own k best per query, so the last shuffle moves k rows per query and part, never all scores. Zero
+    vectors score 0.
     """
-    columns = ["query_id", "v"] + ["book"] * same_book
-    asked = sorted(queries.select(*columns).toLocalIterator(), key=lambda r: r["query_id"])
-    parts = []
-    for i in range(0, max(1, len(asked)), BLOCK):
-        block = asked[i : i + BLOCK]
-        m = np.array([r["v"] for r in block], np.float64)
-        if len(block):
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (np.array([r["query_id"] for r in block], np.int64), m, np.array([str(r["book"]) for r in block]) if same_book else None)
-        )
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q, books = shared.value
-            for batch in batches:
-                if not len(names) or not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                scores = np.round(q @ v.T, 9)
-                if books is not None:
-                    own = np.array([str(x) for x in batch.column(2).to_pylist()])
-                    scores = np.where(books[:, None] == own[None, :], scores, -np.inf)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                top = np.take_along_axis(scores, order, 1)
-                good = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, good.sum(axis=1))), pa.array(ids[order][good]), pa.array(top[good])], ["query_id", "id", "score"]
-                )
-
-        parts.append(vectors.select("id", "v", *["book"] * same_book).mapInArrow(best, "query_id long, id long, score double"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+
+    def best(asked: pa.Table, part: pa.Table) -> pa.Table:
+        names, ids = (t[c].to_numpy() for t, c in ((asked, "query_id"), (part, "id")))
+        q, v = _matrix(asked), _matrix(part)
+        books = [np.array([str(x) for x in t["book"].to_pylist()]) for t in (asked, part)] if same_book else None
+        out: list[tuple] = []
+        for i in range(0, len(ids) if len(names) else 0, SLICE):
+            own = ids[i : i + SLICE]
+            scores = np.round(q @ v[i : i + SLICE].T, 9)
+            if books:
+                scores = np.where(books[0][:, None] == books[1][None, i : i + SLICE], scores, -np.inf)
+            order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+            top = np.take_along_axis(scores, order, 1)
+            good = np.isfinite(top)
+            out.append((np.repeat(names, good.sum(axis=1)), own[order][good], top[good]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "id", "score"), columns, strict=True)))
+
+    every = _met(queries, vectors, ["book"] * same_book).applyInArrow(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -79,29 +87,23 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same_book: bool
 def score_moments(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Per query over all vectors: mean and population deviation of the scores, z of the best and of the best three.
 
-    Sums and the three best are combined per Arrow batch; queries must fit one block."""
-    asked = queries.select("query_id", "v").limit(BLOCK + 1).collect()
-    if len(asked) > BLOCK:
-        raise ValueError(f"at most {BLOCK} queries at a time")
-    m = np.array([r["v"] for r in asked], np.float64)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    shared = queries.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked], np.int64), m))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                v = np.array(batch.column(0).to_pylist(), np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = q @ v.T
-                top = -np.sort(-s, axis=1)[:, :3]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array([batch.num_rows] * len(names)), pa.array(s.sum(axis=1)), pa.array((s * s).sum(axis=1)), pa.array(list(top), pa.list_(pa.float64()))],
-                    ["query_id", "n", "s", "q", "top"],
-                )
-
-    part = vectors.select("v").mapInArrow(sums, "query_id long, n long, s double, q double, top array<double>")
-    # three values a batch come together
+    Sums and the three best are combined per block of queries and part of the vectors; any number of queries."""
+
+    def sums(asked: pa.Table, part: pa.Table) -> pa.Table:
+        q, v = _matrix(asked), _matrix(part)
+        n = asked.num_rows if part.num_rows else 0
+        s, squares, top = np.zeros(n), np.zeros(n), np.full((n, 0), 0.0)
+        for i in range(0, part.num_rows if n else 0, SLICE):
+            scores = q @ v[i : i + SLICE].T
+            s, squares = s + scores.sum(axis=1), squares + (scores * scores).sum(axis=1)
+            top = -np.sort(-np.hstack([top, scores]), axis=1)[:, :3]
+        return pa.table({
+            "query_id": asked["query_id"].slice(0, n), "n": pa.array([part.num_rows] * n, pa.int64()), "s": s, "q": squares,
+            "top": pa.array(list(top), pa.list_(pa.float64())),
+        })
+
+    part = _met(queries, vectors, []).applyInArrow(sums, "query_id long, n long, s double, q double, top array<double>")
+    # three values a part come together
     whole = part.groupBy("query_id").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
         F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, 3).alias("top"),
