@@ -1,6 +1,10 @@
 """Page-level operators: near-duplicate pages, structure, parts, summaries, samples, resume and merge."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,26 +28,32 @@ def jaccard(a: Column, b: Column) -> Column:
 def flag_duplicate_pages(pages: DataFrame, threshold: float = 0.85, mode: str = "last_accepted") -> DataFrame:
     """`pages` (book, page, text, usable) with `duplicate`.
 
-    previous: like the page before it. last_accepted: like the last page of the book that was usable and no duplicate; a
-    fold over the book's pages in order, which needs the trigram hashes of one book in one row.
+    previous: like the page before it. last_accepted: like the last page of the book that was usable and no duplicate: one
+    pass over the sorted pages of each book, which holds the trigram hashes of that last page alone.
     """
     grams = pages.withColumn("_t", word_trigrams("text"))
     if mode == "previous":
         w = Window.partitionBy("book").orderBy("page")
         return grams.withColumn("duplicate", F.coalesce(jaccard(F.col("_t"), F.lag("_t").over(w)) > threshold, F.lit(False))).drop("_t")
-    ordered = F.array_sort(F.collect_list(F.struct("page", "usable", "_t")))
-    empty = F.array().cast("array<struct<page:bigint,duplicate:boolean>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        dup = jaccard(acc["last"], x["_t"]) > threshold
-        return F.struct(
-            F.when(x["usable"] & ~dup, x["_t"]).otherwise(acc["last"]).alias("last"),
-            F.concat(acc["out"], F.array(F.struct(x["page"].cast("bigint").alias("page"), dup.alias("duplicate")))).alias("out"),
-        )
-
-    start = F.struct(F.array().cast("array<bigint>").alias("last"), empty.alias("out"))
-    folded = grams.groupBy("book").agg(F.aggregate(ordered, start, step, lambda acc: acc["out"]).alias("o"))
-    flags = folded.select("book", F.explode("o").alias("o")).select("book", "o.page", "o.duplicate")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), np.zeros(0, np.int64)
+        for batch in batches:
+            flags = []
+            for i, (book, usable) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if book != now:
+                    now, last = book, np.zeros(0, np.int64)
+                found = batch.column(3)[i].values
+                own = np.sort(found.to_numpy(zero_copy_only=False)) if found is not None else np.zeros(0, np.int64)
+                both = len(np.intersect1d(own, last, assume_unique=True))
+                flags.append(bool(both) and both / (len(own) + len(last) - both) > threshold)
+                if usable and not flags[-1]:
+                    last = own
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.bool_())], ["book", "page", "duplicate"])
+
+    kinds = dict(pages.dtypes)
+    ordered = grams.select("book", "page", "usable", "_t").repartition("book").sortWithinPartitions("book", "page")
+    flags = ordered.mapInArrow(fold, f"book {kinds['book']}, page {kinds['page']}, duplicate boolean")
     return pages.join(flags, ["book", "page"])
 
 

@@ -60,6 +60,36 @@ def top_k(scores: DataFrame, k: int = 10, *by: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def search_filters(scores: DataFrame, chunks: DataFrame, **wanted) -> DataFrame:
+    """Scores of the chunks whose columns (book, tradition, chapter, ...) equal what is wanted, before any limit.
+
+    None wants nothing. The filter reaches the scan of the chunks; scores keep their columns."""
+    asked = {c: v for c, v in wanted.items() if v is not None}
+    if not asked:
+        return scores
+    fits = chunks
+    for c, v in asked.items():
+        fits = fits.where(F.col(c) == F.lit(v))
+    return scores.join(fits.select("id"), "id", "left_semi")
+
+
+def best_per_book(results: DataFrame, score: str = "rerank", least: float = 0.5) -> DataFrame:
+    """`(query_id, book, best, passes)`: the best score of each book, and whether it reaches the gate."""
+    best = results.groupBy("query_id", "book").agg(F.max(score).alias("best"))
+    return best.withColumn("passes", F.coalesce(F.col("best") >= least, F.lit(False)))
+
+
+def ordered_reads(chunks: DataFrame, book: str, chapter: int | None = None) -> DataFrame:
+    """The chunks of a book, or of one of its chapters, sorted by page and id."""
+    own = chunks.where(F.col("book") == F.lit(book))
+    return (own if chapter is None else own.where(F.col("chapter") == F.lit(chapter))).orderBy("page", "id")
+
+
+def point_lookup(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunk of each id (a table of them); nulls where there is none."""
+    return ids.select("id").join(chunks, "id", "left")
+
+
 def priority_union(sources: list[tuple[DataFrame, int]]) -> DataFrame:
     """(results, quota) in order of precedence: each cut to its quota by its own scale, the first source owns an id."""
     cut = [top_k(df, quota).withColumn("source", F.lit(i)) for i, (df, quota) in enumerate(sources)]

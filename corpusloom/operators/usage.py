@@ -1,6 +1,9 @@
 """Usage policy over event tables, conversation turns, and almanac-free calendar picks."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,26 +25,37 @@ def quota_decisions(events: DataFrame, limits: Column, *, exempt: Column | None
 
 
 def rate_limit(events: DataFrame, key: str, *, limit: int = 20, ttl: int = 60, mode: str = "kv") -> DataFrame:
-    """events (event_id, key, ts) with `accepted`, by a fold over each key's events in order.
+    """`(key, event_id, accepted)` of events (event_id, key, ts), by each key's events in order of time and id.
 
     kv: an accepted hit renews a counter for ttl seconds, a rejected one touches nothing. fixed: a window opens at the
-    first hit and a new one at the first hit more than ttl later. A key's (time, id) pairs are in one row of the fold."""
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id"))))
-    empty = F.array().cast("array<struct<event_id:bigint,accepted:boolean>>")
+    first hit and a new one at the first hit more than ttl later. One pass over the sorted events holds a key's last time
+    and count alone, however many events it has."""
     span = ttl * 1_000_000
 
-    def step(acc: Column, x: Column) -> Column:
-        alive = (x["t"] - acc["at"] < span) if mode == "kv" else (x["t"] - acc["at"] <= span)
-        n = F.when(alive, acc["n"]).otherwise(0)
-        ok = n < limit
-        at = F.when(ok, x["t"]).otherwise(acc["at"]) if mode == "kv" else F.when(alive, acc["at"]).otherwise(x["t"])
-        return F.struct(
-            at.alias("at"), F.when(ok, n + 1).otherwise(n).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), ok.alias("accepted")))).alias("out"),
-        )
-
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("at"), F.lit(0).alias("n"), empty.alias("out"))
-    return events.groupBy(key).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("o")).select(key, F.explode("o").alias("o")).select(key, "o.*")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, n = object(), None, 0
+        for batch in batches:
+            accepted = []
+            for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != now:
+                    now, at, n = own, None, 0
+                alive = at is not None and (t - at < span if mode == "kv" else t - at <= span)
+                if not alive:
+                    n = 0
+                    if mode != "kv":
+                        at = t
+                ok = n < limit
+                if ok:
+                    n += 1
+                    if mode == "kv":
+                        at = t
+                accepted.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(accepted, pa.bool_())], [key, "event_id", "accepted"])
+
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    kinds = dict(events.dtypes)
+    schema = f"`{key}` {kinds[key]}, event_id {kinds['event_id']}, accepted boolean"
+    return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInArrow(fold, schema)
 
 
 def reading_progress(events: DataFrame) -> DataFrame:

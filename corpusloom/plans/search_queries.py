@@ -118,6 +118,27 @@ def j04(spark: SparkSession, sf: str) -> DataFrame:
     return S.top_k(S.keyword_scores(asked(spark, sf), postings(spark, sf), chunks(spark, sf), LATIN, synonyms), 10)
 
 
+@query("p15_search_filters", f"WITH {CHUNKS}, {ASKED}, {POSTINGS}, {SCORES} SELECT * FROM (SELECT s.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scores s JOIN (SELECT id, book_title, chapter FROM chunks) c USING (id) WHERE c.book_title = 'Title src3' AND c.chapter = 1) WHERE rank <= 5")
+def p15(spark: SparkSession, sf: str) -> DataFrame:
+    return S.top_k(S.search_filters(scores(spark, sf), chunks(spark, sf), book_title="Title src3", chapter=1), 5)
+
+
+@query("a13_best_per_book", f"WITH {CHUNKS}, {ASKED}, {POSTINGS}, {SCORES} SELECT query_id, book, max(score) AS best, max(score) >= 0.1 AS passes FROM scores GROUP BY ALL")
+def a13(spark: SparkSession, sf: str) -> DataFrame:
+    return S.best_per_book(scores(spark, sf), "score", 0.1)
+
+
+@query("t07_ordered_reads", f"WITH {CHUNKS} SELECT id, page, chapter FROM chunks WHERE book = 'src3' AND chapter = 1 ORDER BY page, id")
+def t07(spark: SparkSession, sf: str) -> DataFrame:
+    return S.ordered_reads(chunks(spark, sf), "src3", 1).select("id", "page", "chapter")
+
+
+@query("t08_point_lookup", f"WITH {CHUNKS}, i AS (SELECT item_id * 100 AS id FROM benchmark) SELECT id, book, md5(text) AS digest FROM i LEFT JOIN chunks USING (id)")
+def t08(spark: SparkSession, sf: str) -> DataFrame:
+    ids = table(spark, sf, "benchmark").select((F.col("item_id") * 100).alias("id"))
+    return S.point_lookup(ids, chunks(spark, sf)).select("id", "book", F.md5("text").alias("digest"))
+
+
 @query("w02_cross_book_search", f"WITH {CHUNKS}, {ASKED}, {POSTINGS}, {SCORES} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, book ORDER BY score DESC, id) AS INT) AS rank FROM scores) WHERE rank <= 3")
 def w02(spark: SparkSession, sf: str) -> DataFrame:
     return S.top_k(scores(spark, sf), 3, "book")
