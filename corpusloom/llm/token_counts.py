@@ -49,19 +49,22 @@ def count_words(words: list[str], vocabulary: Pieces) -> dict[str, int]:
     """Tokens of each word (marked) in its best segmentation; of equal scores the one with fewer tokens."""
     counts = {}
     root, per_byte = vocabulary.root, vocabulary.per_byte
-    # per depth: best score, its token count, and the vocabulary nodes of pieces that are still being read
-    score, tokens, active = [0.0], [0], [[(root, 0.0, 0)]]
-    before = ""
-    for word in sorted(words):
-        shared, most = 0, min(len(before), len(word))
-        while shared < most and before[shared] == word[shared]:
-            shared += 1
-        del score[shared + 1 :], tokens[shared + 1 :], active[shared + 1 :]
-        for c in word[shared:]:
+    # per depth: best score, its token count, and the vocabulary nodes of pieces that are still being read. The stack
+    # holds the nodes that the next word shares: a long word leaves no more behind than that
+    stack = [(0.0, 0, [(root, 0.0, 0)])]
+    ordered, shared = sorted(words), 0
+    for word, after in zip(ordered, [*ordered[1:], ""], strict=True):
+        keep, most = 0, min(len(word), len(after))
+        while keep < most and word[keep] == after[keep]:
+            keep += 1
+        del stack[shared + 1 :]
+        score, tokens, active = stack[shared]
+        for at in range(shared, len(word)):
+            c = word[at]
             n = len(c.encode("utf-8", "surrogatepass"))
-            best, fewest = score[-1] + per_byte * n, tokens[-1] + n  # byte fallback
+            best, fewest = score + per_byte * n, tokens + n  # byte fallback
             going = []
-            for node, s, t in active[-1]:
+            for node, s, t in active:
                 node = node.get(c)
                 if node is None:
                     continue
@@ -70,11 +73,11 @@ def count_words(words: list[str], vocabulary: Pieces) -> dict[str, int]:
                 if own is not None and (s + own > best or s + own == best and t < fewest):
                     best, fewest = s + own, t + 1
             going.append((root, best, fewest))
-            score.append(best)
-            tokens.append(fewest)
-            active.append(going)
-        counts[word] = tokens[-1]
-        before = word
+            score, tokens, active = best, fewest, going
+            if at < keep:
+                stack.append((score, tokens, active))
+        counts[word] = tokens
+        shared = keep
     return counts
 
 
@@ -83,7 +86,9 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Pieces are those of a public vocabulary; a piece's log score is minus the log of its rank plus 2 (ranks are by merge
     order there, so by falling frequency: Zipf's law). A character in no piece counts its UTF-8 bytes. Words are what
-    str.split() gives, a word mark before each. Null and blank texts have 0 tokens. Repeated rows are counted each.
+    str.split() gives, a word mark before each. Null and blank texts have 0 tokens. Very long texts and words are counted
+    whole. Of segmentations that tie, the one with fewer tokens counts. Repeated rows are counted each. An empty table
+    gives no rows; other columns are ignored, whatever their names.
     `cache` bounds the counts that a task remembers between batches.
     """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
