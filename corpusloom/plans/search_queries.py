@@ -83,10 +83,10 @@ def a09(spark: SparkSession, sf: str) -> DataFrame:
     return I.build_lexicon(I.word_frequency(chunks(spark, sf), LATIN), roman=F.lower("word"))
 
 
-@query("a10_doc_keywords", rf"""WITH {CHUNKS}, c AS (SELECT id, word, count(*) AS freq FROM (SELECT id, unnest(regexp_extract_all(lower(text), '\b[a-z]{{4,}}\b')) AS word FROM chunks WHERE language = 'en')
+@query("a10_doc_keywords", rf"""WITH {CHUNKS}, c AS (SELECT id, word, count(*) AS freq FROM (SELECT id, unnest(regexp_extract_all(lower(text), '\b[a-z]{{4,}}\b')) AS word FROM chunks)
  WHERE NOT list_contains({STOP}, word) GROUP BY ALL) SELECT id, word, freq, rnk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY freq DESC, word) AS INT) AS rnk FROM c) WHERE rnk <= 14""")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    return I.doc_keywords(chunks(spark, sf).where("language = 'en'"), LATIN.stopwords)
+    return I.doc_keywords(chunks(spark, sf), LATIN.stopwords)
 
 
 @query("a14_source_probe", rf"""WITH {CHUNKS}, c AS (SELECT book, length(text) AS n, regexp_extract_all(text, '[{L}]+') AS w, len(regexp_extract_all(text, '[^\x00-\x7F]')) AS o FROM chunks),

@@ -225,11 +225,11 @@ def f20(spark: SparkSession, sf: str) -> DataFrame:
     return V.verify_answers(answers, d.select("id", "book", "text"), names).select("id", F.md5("text").alias("digest"), "quotes", "citations")
 
 
-@query("a19_repair_scorecard", rf"""WITH {CHUNKS}, p AS (SELECT text AS a, regexp_replace(text, '[A-Za-z0-9]', '', 'g') AS b FROM chunks WHERE language = 'fr'), n AS (SELECT a, b,
+@query("a19_repair_scorecard", rf"""WITH {CHUNKS}, p AS (SELECT text AS a, regexp_replace(text, '[A-Za-z0-9]', '', 'g') AS b FROM chunks), n AS (SELECT a, b,
  len(list_filter(string_split_regex(a, '\s+'), lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9]{{0,12}}$'))) AS x, len(list_filter(string_split_regex(b, '\s+'), lambda x: regexp_matches(x, '^[A-Za-z][A-Za-z0-9]{{0,12}}$'))) AS y FROM p)
  SELECT CAST(sum(x) AS BIGINT) AS bad_before, CAST(sum(y) AS BIGINT) AS bad_after, round(100 * (sum(x) - sum(y)) / greatest(sum(x), 1), 4) AS improved_percent, count(*) FILTER (WHERE abs(length(b) - length(a)) > 0.2 * length(a)) AS length_changed FROM n""")
 def a19(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = chunks(spark, sf).where("language = 'fr'").select(F.col("text").alias("before"), F.regexp_replace("text", "[A-Za-z0-9]", "").alias("after"))
+    pairs = chunks(spark, sf).select(F.col("text").alias("before"), F.regexp_replace("text", "[A-Za-z0-9]", "").alias("after"))
     return V.repair_scorecard(pairs, T.bad_token_count("before"), T.bad_token_count("after"))
 
 
