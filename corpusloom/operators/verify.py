@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_sentences, looks_garbled, norm_evidence
+from ..functions.text import disclaims, has_sentences, is_health_query, looks_garbled, norm_evidence, strip_self_citation
+from ..functions.translit import repair_homoglyphs
 from ..profiles import ScriptProfile
+from .usage import drop_repeat_lines
 
 
 def quote_in(quote: Column, evidence: Column, width: int = 20, stride: int = 4, least: int = 12) -> Column:
@@ -130,6 +132,29 @@ def citations(grounded: DataFrame, most: int = 4, pages: int = 2) -> DataFrame:
     return per.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", text.alias("x")))), lambda y: y["x"]), " · ").alias("footer"))
 
 
+#: The mark of a footer, and the note under an answer about health.
+FOOTER, NOTE = "📚 *Aadhaar: ", "_⚕️ This is what the scriptures say — not medical advice. Please do consult a doctor._"
+
+
+def answer_audit(answers: DataFrame, evidence: DataFrame, names: DataFrame, grounded: DataFrame, note: str = NOTE) -> DataFrame:
+    """`(id, text, quotes, citations)` of answers (id, question, text), as they may be shown.
+
+    Look-alike letters are repaired, self-citations and repeated lines dropped, and quotes and attributions that the
+    evidence (id, book, text) doesn't hold removed. An answer with grounded passages (id, rank, title, page) gets their
+    footer, unless it admits to have found nothing or cites itself; one to a question about health gets the note.
+    """
+    repaired, _ = repair_homoglyphs("text")
+    clean = drop_repeat_lines(answers.select("id", "question", strip_self_citation(repaired).alias("text")))
+    checked = verify_answers(clean.select("id", "text"), evidence, names)
+    about = clean.select("id", is_health_query("question").alias("health"), disclaims("text").alias("nothing"))
+    out = checked.join(about, "id").join(citations(grounded), "id", "left")
+    text = F.coalesce("text", F.lit(""))
+    foot = F.when(F.col("footer").isNotNull() & ~F.col("nothing") & ~text.contains("📚 Aadhaar"), F.concat(F.lit("\n\n---\n" + FOOTER), "footer", F.lit("*")))
+    advice = F.when(F.col("health") & ~text.contains("⚕️"), F.lit("\n\n" + note))
+    shown = F.when(text != "", F.concat(text, F.coalesce(foot, F.lit("")), F.coalesce(advice, F.lit("")))).otherwise("")
+    return out.select("id", shown.alias("text"), "quotes", "citations")
+
+
 def grounded_flags(rows: DataFrame, p: ScriptProfile, least: float = 0.5) -> DataFrame:
     """rows (rerank, text) with `grounded`: passed the gate, holds sentences, isn't garbled. A null rerank never is."""
     return rows.withColumn("grounded", F.coalesce(F.col("rerank") >= least, F.lit(False)) & has_sentences("text", p) & ~looks_garbled("text", p))

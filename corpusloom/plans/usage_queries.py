@@ -1,7 +1,7 @@
 """Pages, usage policy, conversation turns, grounding and the almanac."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -217,6 +217,19 @@ def j09(spark: SparkSession, sf: str) -> DataFrame:
     return V.grounded_windows(quotes, table(spark, sf, "documents"))
 
 
+@query("q09_answer_audit")
+def q09(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistants' turns as answers, the turn before as the question, the document of the conversation's number as evidence."""
+    turns = table(spark, sf, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = turns.withColumn("question", before).where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "question", "text")
+    d = chunks(spark, sf)
+    passages = said.select("id", "conv_id").join(d.withColumnRenamed("id", "conv_id"), "conv_id").select("id", "book", "text", "page", F.col("book_title").alias("title"), F.lit(1).alias("rank"))
+    names = d.select(F.col("book_title").alias("name"), "book").distinct()
+    found = V.answer_audit(said.select("id", "question", "text"), passages.select("id", "book", "text"), names, passages.select("id", "rank", "title", "page"))
+    return found.select("id", F.md5("text").alias("digest"), "quotes", "citations")
+
+
 @query("f20_verify_answers")
 def f20(spark: SparkSession, sf: str) -> DataFrame:
     d = chunks(spark, sf)

@@ -204,3 +204,18 @@ def test_all_ungrounded_names_of_a_line_go(spark):
     names = spark.createDataFrame([("Book One", "one"), ("Book Two", "two"), ("Book Four", "four")], "name string, book string")
     r = verify.verify_answers(answers, evidence, names).first()
     assert (r["text"], r["quotes"], r["citations"]) == ("all is well\nfine\nboth — Book One, Book Two", 0, 3)
+
+
+def test_answer_audit(spark):
+    answers = [
+        (1, "बुखार का इलाज?", "नарам text\n“an invented line that nobody wrote”\nthis line is long enough to be dropped when it is repeated\nthis line is long enough to be dropped when it is repeated\n\n📚 Aadhaar: made up"),
+        (2, "why?", "I couldn't find any direct verse."), (3, "why?", None),
+    ]
+    a = spark.createDataFrame(answers, "id int, question string, text string")
+    evidence = spark.createDataFrame([(1, "one", "Indeed."), (2, "one", "Indeed.")], "id int, book string, text string")
+    grounded = spark.createDataFrame([(1, 1, "Book One", 3), (2, 1, "Book One", 4)], "id int, rank int, title string, page int")
+    names = spark.createDataFrame([("Book One", "one")], "name string, book string")
+    got = {r["id"]: (r["text"], r["quotes"]) for r in verify.answer_audit(a, evidence, names, grounded).collect()}
+
+    assert got[1][0].endswith("\n\n---\n📚 *Aadhaar: Book One (p.3)*\n\n" + verify.NOTE) and "invented" not in got[1][0] and got[1][0].count("long enough") == 1
+    assert got[2] == ("I couldn't find any direct verse.", 0)
