@@ -84,9 +84,10 @@ def doc_keywords(docs: DataFrame, stop: tuple[str, ...], n: int = 14) -> DataFra
     return counts.withColumn("rnk", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("freq"), "word"))).where(F.col("rnk") <= n)
 
 
-def doc_stats(docs: DataFrame) -> DataFrame:
+def doc_stats(docs: DataFrame, *more: str) -> DataFrame:
+    """`(id, words, minutes)` of each document, and further columns of it."""
     words = F.regexp_count("text", F.lit(r"\S+"))
-    return docs.select("id", words.alias("words"), F.ceil(words / 200).alias("minutes"))
+    return docs.select("id", words.alias("words"), F.ceil(words / 200).alias("minutes"), *more)
 
 
 def probe_sources(pages: DataFrame, p: ScriptProfile) -> DataFrame:

@@ -191,16 +191,20 @@ def daily_pick(items: DataFrame, day: Column, mode: str = "dayofyear") -> DataFr
 
 def resolve_files(registry: DataFrame, files: DataFrame) -> DataFrame:
     """`(expected, file)`: the exact name, else the only file that is equal but for case and marks, else the only one that
-    holds all the expected name's words, else null. Both are small dimension tables."""
-    norm = lambda c: F.regexp_replace(F.replace(F.lower(c), F.lit(".pdf"), F.lit("")), "[^a-z0-9]", "")
-    tokens = lambda c: F.array_remove(F.split(F.replace(F.lower(c), F.lit(".pdf"), F.lit("")), "[^a-z0-9]+"), "")
-    both = registry.join(files, F.lit(True)).select(
-        "expected", "file", (F.col("expected") == F.col("file")).alias("e"), (norm("expected") == norm("file")).alias("n"),
-        ((F.size(tokens("expected")) > 0) & (F.size(F.array_except(tokens("expected"), tokens("file"))) == 0)).alias("s"),
-    )
-    only = lambda c: F.when(F.count_if(c) == 1, F.max(F.when(F.col(c), F.col("file"))))
-    got = both.groupBy("expected").agg(F.coalesce(F.max(F.when(F.col("e"), F.col("file"))), only("n"), only("s")).alias("file"))
-    return registry.select("expected").join(got, "expected", "left")
+    holds all the expected name's words, else null. Names meet by equality of what is compared: no pair is tried that
+    shares nothing."""
+    plain = lambda c: F.replace(F.lower(c), F.lit(".pdf"), F.lit(""))
+    norm = lambda c: F.regexp_replace(plain(c), "[^a-z0-9]", "")
+    tokens = lambda c: F.array_distinct(F.array_remove(F.split(plain(c), "[^a-z0-9]+"), ""))
+    exact = registry.join(files, F.col("expected") == F.col("file")).groupBy("expected").agg(F.max("file").alias("file"), F.lit(1).alias("way"))
+    equal = registry.join(files, norm("expected") == norm("file")).groupBy("expected").agg(F.max("file").alias("file"), F.count("*").alias("n"))
+    asked = registry.select("expected", F.size(tokens("expected")).alias("size"), F.explode(tokens("expected")).alias("t"))
+    held = asked.join(files.select("file", F.explode(tokens("file")).alias("t")), "t").groupBy("expected", "size", "file").agg(F.countDistinct("t").alias("c"))
+    held = held.where("c = size").groupBy("expected").agg(F.max("file").alias("file"), F.count("*").alias("n"))
+    every = exact
+    for way, found in ((2, equal), (3, held)):
+        every = every.unionByName(found.where("n = 1").select("expected", "file", F.lit(way).alias("way")))
+    return registry.select("expected").join(every.groupBy("expected").agg(F.min_by("file", "way").alias("file")), "expected", "left")
 
 
 def ocr_words_to_pages(words: DataFrame, least: float = 40) -> DataFrame:

@@ -170,7 +170,7 @@ def context_block(rows: DataFrame) -> DataFrame:
 
 def topic_flags(df: DataFrame, rules: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """`(key, topic)`: the first topic (topic, pattern, prio: a small table) with a pattern that the text contains."""
-    met = df.select(key, F.lower(text).alias("t")).join(F.broadcast(rules), F.contains(F.col("t"), F.lower("pattern")))
+    met = df.select(key, F.lower(text).alias("t")).join(rules, F.contains(F.col("t"), F.lower("pattern")))
     return met.groupBy(key).agg(F.min_by("topic", "prio").alias("topic"))
 
 

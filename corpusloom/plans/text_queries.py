@@ -222,7 +222,7 @@ def f19(spark: SparkSession, sf: str) -> DataFrame:
 @query("f23_document_profile", rf"""WITH {CHUNKS} SELECT id, CAST(len(regexp_extract_all(text, '\S+')) AS INT) AS words, CAST(ceil(len(regexp_extract_all(text, '\S+')) / 200) AS BIGINT) AS minutes,
  md5('=== DOCUMENT ' || id || ' ===' || chr(10) || 'Words: ~' || len(regexp_extract_all(text, '\S+')) || chr(10) || substr(text, 1, 28000)) AS context FROM chunks""")
 def f23(spark: SparkSession, sf: str) -> DataFrame:
-    stats = I.doc_stats(chunks(spark, sf)).join(chunks(spark, sf).select("id", "text"), "id")
+    stats = I.doc_stats(chunks(spark, sf), "text")
     context = F.concat(F.lit("=== DOCUMENT "), F.col("id").cast("string"), F.lit(" ===\nWords: ~"), F.col("words").cast("string"), F.lit("\n"), F.substring("text", 1, 28000))
     return stats.select("id", "words", "minutes", F.md5(context).alias("context"))
 
