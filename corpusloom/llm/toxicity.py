@@ -27,7 +27,7 @@ _WORD = re.compile(r"\w+")
 FRAME = b"#0123456789@abcdefghij#KLMNOPQRSTUVWXYZ#"
 CUT = 0.7  # the score from which a document is predicted toxic
 WINDOW = 3  # words
-ROUNDS, HARD, SAVED, FEWEST = 4, 0.5, 4, 50  # trainings after the first, share of windows that is hard to compress, bytes a window must save, windows to train on
+ROUNDS, HARD, SAVED, FEWEST = 6, 0.5, 4, 50  # trainings after the first, share of windows that is hard to compress, bytes a window must save, windows to train on
 THRESHOLDS = range(3, 10)  # bytes
 
 
@@ -67,12 +67,13 @@ def _trained(samples: list[bytes], size: int, k: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], size: int = 32768, toxic_size: int = 1536) -> Dictionaries:
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], size: int = 32768, toxic_size: int = 2560) -> Dictionaries:
     """From windows of toxic and of ordinary documents."""
     base = _trained(ordinary, size, 64)
     length = compressor(base + FRAME)
     share = np.array([length(w) / (len(w) + 4) for w in toxic])
-    chosen = [w for w, x in zip(toxic, share, strict=True) if x >= np.quantile(share, 1 - HARD)] if toxic else []
+    hard = np.quantile(share, 1 - HARD) if toxic else 0.0
+    chosen = [w for w, x in zip(toxic, share, strict=True) if x >= hard]
     for _ in range(1 + ROUNDS):
         found = Dictionaries(base + FRAME, base + _trained(chosen, toxic_size, 16) + FRAME)
         # what the toxic part saves in ordinary windows belongs into the ordinary one
@@ -96,8 +97,9 @@ def _features(scores: np.ndarray, threshold: float) -> list[float]:
 class Model:
     """Dictionaries, the window threshold, and the weights of the document score."""
 
-    def __init__(self, toxic: list[tuple[int, list[bytes]]], ordinary: list[tuple[int, list[bytes]]]):
-        """Pairs of (fold, windows of a document); fold 0 trains the dictionaries, the other calibrates."""
+    def __init__(self, toxic: list[tuple[int, list[bytes]]], ordinary: list[tuple[int, list[bytes]]], weight: float = 1.0):
+        """Pairs of (fold, windows of a document); fold 0 trains the dictionaries, the other calibrates. Where one in so
+        many ordinary rows was sampled, each counts `weight` times as much as a toxic one."""
         fit = lambda rows, fold: [x for f, x in rows if f == fold] or [x for _, x in rows]
         flat = lambda rows: [w for x in fit(rows, 0) for w in x]
         self.dictionaries = train_dictionaries(flat(toxic), flat(ordinary))
@@ -108,7 +110,7 @@ class Model:
         for threshold in THRESHOLDS:
             x = np.array([_features(s, threshold) for s in scored]).reshape(-1, 4)
             w = _logistic(x, y)
-            f1, cut = _best_cut(x @ w, y)
+            f1, cut = _best_cut(x @ w, y, weight)
             if f1 > best[0]:
                 best = (f1, float(threshold), w, cut)
         self.threshold, weights, cut = best[1:]
@@ -131,12 +133,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def _best_cut(s: np.ndarray, y: np.ndarray) -> tuple[float, float | None]:
+def _best_cut(s: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[float, float | None]:
     """The best F score of any cut, precision weighing more than recall (beta 0.5), and the cut: half way to the next lower value."""
     order = np.argsort(-s, kind="stable")
     s, y = s[order], y[order]
     hit = np.cumsum(y)
-    f1 = np.where(np.append(s[:-1] > s[1:], True), 1.25 * hit / (np.arange(1, len(y) + 1) + 0.25 * max(1.0, y.sum())), -1)
+    f1 = np.where(np.append(s[:-1] > s[1:], True), 1.25 * hit / (np.cumsum(np.where(y > 0, 1.0, weight)) + 0.25 * max(1.0, y.sum())), -1)
     if not len(y):
         return 0.0, None
     i = int(np.argmax(f1))
@@ -176,7 +178,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     found = rows.mapInArrow(cut, "doc_id long, y int, fold int, windows array<binary>").toArrow()
     found = found.sort_by([(c, "ascending") for c in ("doc_id", "y", "fold")])
     kept = list(zip(*(found.column(c).to_pylist() for c in ("y", "fold", "windows")), strict=True))
-    return Model(*([(f, x) for a, f, x in kept if a == y] for y in (1, 0)))
+    shares = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sampled = {y: min(shares.get(y, 0), per_class) or 1 for y in (0, 1)}
+    weight = (shares.get(0, 0) / sampled[0]) / (shares.get(1, 0) / sampled[1] or 1.0) or 1.0
+    return Model(*([(f, x) for a, f, x in kept if a == y] for y in (1, 0)), weight)
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
