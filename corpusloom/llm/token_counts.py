@@ -53,7 +53,7 @@ def count_words(words: list[str], vocabulary: Pieces) -> dict[str, int]:
     # holds the nodes that the next word shares: a long word leaves no more behind than that
     stack = [(0.0, 0, [(root, 0.0, 0)])]
     ordered, shared = sorted(words), 0
-    for word, after in zip(ordered, [*ordered[1:], ""], strict=True):
+    for word, after in zip(ordered, [*ordered, ""][1:], strict=True):
         keep, most = 0, min(len(word), len(after))
         while keep < most and word[keep] == after[keep]:
             keep += 1
