@@ -52,7 +52,10 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Intermediate tables in the shared checkpoint folder, which ``drop`` removes as soon as their readers are done."""
+    """Intermediate tables in the shared checkpoint folder, which ``drop`` removes as soon as their readers are done.
+
+    As a context it drops what is left when it ends, by an error too; what is returned from it is to be ``cut`` before.
+    """
 
     def __init__(self, spark: SparkSession):
         ensure_checkpoint_dir(spark)
@@ -61,10 +64,19 @@ class Scratch:
     def _path(self) -> str:
         return f"{self.spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
 
+    @contextmanager
+    def _written(self, path: str, name: str | None = None) -> Iterator[None]:
+        """A write that fails leaves nothing."""
+        try:
+            yield
+        except BaseException:
+            self._remove(path, name)
+            raise
+
     def staged(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read back."""
         path = self._path()
-        with _shuffles_dropped(self.spark):
+        with _shuffles_dropped(self.spark), self._written(path):
             df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = back, path, None
@@ -74,7 +86,7 @@ class Scratch:
         """``df`` written as a table bucketed by ``key``: joins on it don't shuffle it again."""
         path, name = self._path(), f"staged_{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        with _shuffles_dropped(self.spark):
+        with _shuffles_dropped(self.spark), self._written(path, name):
             df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(name)
         back = self.spark.table(name)
         self.paths[id(back)] = back, path, name
@@ -83,8 +95,17 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that this object wrote; nothing may read them later."""
         for table in tables:
-            _, path, name = self.paths.pop(id(table))
-            if name:
-                self.spark.sql(f"DROP TABLE {name}")
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._remove(*self.paths.pop(id(table))[1:])
+
+    def _remove(self, path: str, name: str | None) -> None:
+        if name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        while self.paths:
+            self._remove(*self.paths.popitem()[1][1:])
