@@ -4,7 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, secrets, secrets_sql, token_counts, toxicity, url_filter
+from . import (
+    decontaminate, importance, jaccard_join, language_id, lexical_search, lexical_sql, line_dedup, packing, quality_rules, secrets, secrets_sql,
+    substring_dedup, token_counts, toxicity, url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +63,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"), least=1).drop("k")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language ID with all its evidence: markup, host, registered domain and address suffix of web pages."""
     html = F.col("html")
@@ -79,8 +94,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_importance_resampling": op13_importance_resampling,
     "language_id_of_pages": language_id_of_pages,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_secret_scan": secrets_sql.sql(),
+    "op12_ranked_lexical_search": lexical_sql.SQL,
 }
