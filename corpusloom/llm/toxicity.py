@@ -28,6 +28,7 @@ FRAME = b"#0123456789@abcdefghij#KLMNOPQRSTUVWXYZ#"
 CUT = 0.7  # the score from which a document is predicted toxic
 WINDOW = 3  # words
 THRESHOLDS = range(3, 12)  # bytes
+LEAST = 0.02  # weight of a feature that tells nothing
 ORDINARY = 32768  # bytes of the ordinary dictionary
 #: Trainings of the toxic dictionary to choose from: in how many documents a word must be at least, how many times as common it
 #: must be among toxic ones, bytes of the dictionary, and the trainer's segment and match lengths.
@@ -118,7 +119,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 
 def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of which only the first may be negative: more hits never lower a score."""
+    """Weights of which only the first may be under LEAST: more hits never lower a score, and texts without any are in
+    order of their best window."""
     on = np.ones(x.shape[1], bool)
     while True:
         w = np.zeros(x.shape[1])
@@ -126,7 +128,7 @@ def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         low = w < 0
         low[0] = False
         if not low.any():
-            return w
+            return np.append(w[:1], np.maximum(w[1:], LEAST))
         on &= ~low
 
 
