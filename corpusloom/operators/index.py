@@ -17,7 +17,11 @@ def term_frequencies(chunks: DataFrame, p: ScriptProfile, least: int = 3) -> Dat
 
 def build_postings(chunks: DataFrame, p: ScriptProfile, top: int = 300) -> DataFrame:
     """`(word, id, tf, rnk, df)`: the `top` chunks of each word by tf, then id; df counts the kept postings."""
-    tf = term_frequencies(chunks, p)
+    return rank_postings(term_frequencies(chunks, p), top)
+
+
+def rank_postings(tf: DataFrame, top: int = 300) -> DataFrame:
+    """The postings of term counts (word, id, tf), as build_postings gives them."""
     ranked = tf.withColumn("rnk", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("tf"), "id")))
     return ranked.where(F.col("rnk") <= top).withColumn("df", F.count("*").over(Window.partitionBy("word")))
 

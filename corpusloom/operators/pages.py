@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Col, _c
+from ..session import Scratch, cut
+from .ranks import ordered, places
 
 
 def word_trigrams(c: Col) -> Column:
@@ -33,8 +35,9 @@ def flag_duplicate_pages(pages: DataFrame, threshold: float = 0.85, mode: str =
     """
     grams = pages.withColumn("_t", word_trigrams("text"))
     if mode == "previous":
-        w = Window.partitionBy("book").orderBy("page")
-        return grams.withColumn("duplicate", F.coalesce(jaccard(F.col("_t"), F.lag("_t").over(w)) > threshold, F.lit(False))).drop("_t")
+        with Scratch(pages.sparkSession) as scratch:
+            met = previous_page(grams, "_t", scratch)
+            return cut(met.withColumn("duplicate", F.coalesce(jaccard(F.col("_t"), F.col("before")) > threshold, F.lit(False))).drop("_t", "before"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = object(), np.zeros(0, np.int64)
@@ -81,37 +84,121 @@ def classify_lines(pages: DataFrame, chapter=CHAPTER, section=SECTION, verse=VER
     return lines.select("*", kind.alias("kind"), num.alias("num"))
 
 
-def running_structure(lines: DataFrame, mode: str = "increment") -> DataFrame:
+#: What a stretch of lines does to the state before it: the last number read for chapter and section and what was added
+#: since, the last title, and whether section and verse began anew in it.
+CHANGE = "c_val int, c_add int, title string, s_new boolean, s_val int, s_add int, v_new boolean, v_add int"
+
+
+def _changes(mode: str):
+    """A fold over sorted lines (book, page, line, kind, num, title): to each what its book's lines have done since the
+    range began, and whether its book is the range's first, which may go on from the range before."""
+    from pyspark import TaskContext
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        book, first = object(), None
+        for batch in batches:
+            out = []
+            for own, kind, num, title in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
+                if own != book:
+                    first = first is None
+                    book, c_val, c_add, name, s_new, s_val, s_add, v_new, v_add = own, None, 0, None, False, None, 0, False, 0
+                if mode == "strict":
+                    c_val = num if kind in ("C", "S") and num is not None else c_val
+                elif kind == "C":
+                    c_val, c_add = (num, 0) if num is not None else (c_val, c_add + 1)
+                    name, s_new, s_val, s_add, v_new, v_add = title, True, None, 0, True, 0
+                elif kind == "S":
+                    s_val, s_add = (num, 0) if num is not None else (s_val, s_add + 1)
+                    v_new, v_add = True, 0
+                elif kind == "V":
+                    v_add += 1
+                out.append((part, at, first, c_val, c_add, name, s_new, s_val, s_add, v_new, v_add))
+                at += 1
+            columns = zip(*out, strict=True) if out else [()] * 11
+            kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *made], ["book", "page", "line", "_part", "_at", "_first", *(x.split()[0] for x in CHANGE.split(", "))])
+
+    return fold
+
+
+def _after(c: dict, before: tuple) -> tuple:
+    """The state (chapter, title, section, verse) behind a stretch of lines, from the one before it."""
+    chapter, title, section, verse = before
+    section, verse = None if c["s_new"] else section, None if c["v_new"] else verse
+    grown = lambda old, add: (old or 0) + add if add else old
+    return (
+        grown(chapter if c["c_val"] is None else c["c_val"], c["c_add"]), c["title"] if c["title"] is not None else title,
+        grown(section if c["s_val"] is None else c["s_val"], c["s_add"]), grown(verse, c["v_add"]),
+    )
+
+
+def _scanned_structure(lines: DataFrame, mode: str, scratch: Scratch) -> DataFrame:
+    """`book, page, line, chapter, chapter_title, section, verse` of lines (book, page, line, kind, num, title).
+
+    A prefix scan over ranges of (book, page, line): every range notes in each line what its lines have done so far. How
+    a stretch changes the state is one small record, and records follow each other, so the state that a range begins with
+    comes from the last record of each range before it: one row a range goes to the driver. It is joined to the lines of
+    the range's first book alone; a book of any size runs in many tasks.
+    """
+    ranges = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = dict(lines.dtypes)
+    laid = lines.select("book", "page", "line", "kind", "num", "title").repartitionByRange(ranges, "book", "page", "line").sortWithinPartitions("book", "page", "line")
+    schema = f"book {kinds['book']}, page {kinds['page']}, line {kinds['line']}, _part int, _at long, _first boolean, {CHANGE}"
+    seen = scratch.staged(laid.mapInArrow(_changes(mode), schema))
+    ends = seen.groupBy("_part").agg(F.max_by(F.struct("book", "_first", *(x.split()[0] for x in CHANGE.split(", "))), "_at").alias("e"), F.min_by("book", "_at").alias("opens"))
+    carried, book, state = [], None, (None,) * 4
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):  # a row for each range
+        goes_on = r["opens"] == book and book is not None
+        if goes_on:
+            carried.append((r["_part"], True, *state))
+        # the range's last book begins in it, unless it is its first one too
+        state = _after(r["e"].asDict(), state if r["e"]["_first"] and goes_on else (None,) * 4)
+        book = r["e"]["book"]
+    table = lines.sparkSession.createDataFrame(carried, "_part int, _first boolean, _c int, _title string, _s int, _v int")
+    out = seen.join(F.broadcast(table), ["_part", "_first"], "left")
+    grown = lambda old, add: F.when(F.col(add) > 0, F.coalesce(old, F.lit(0)) + F.col(add)).otherwise(old)
+    section = F.coalesce("s_val", F.when(~F.col("s_new"), F.col("_s")))
+    return out.select(
+        "book", "page", "line", grown(F.coalesce("c_val", "_c"), "c_add").alias("chapter"), F.coalesce("title", "_title").alias("chapter_title"),
+        grown(section, "s_add").alias("section"), grown(F.when(~F.col("v_new"), F.col("_v")), "v_add").alias("verse"),
+    )
+
+
+def _marks(lines: DataFrame) -> DataFrame:
+    """Lines with what a scan needs of them."""
+    return lines.withColumn("title", F.when(F.col("kind") == "C", F.substring(F.trim("text"), 1, 120)))
+
+
+def running_structure(lines: DataFrame, mode: str = "increment", scratch: Scratch | None = None) -> DataFrame:
     """Lines (book, page, line, text, kind, num) with the running chapter, chapter_title, section and verse.
 
     increment: a number that can't be read is one more than the last; strict: sections count as chapters and such a
-    heading is passed over. Windows run within a book.
+    heading is passed over, and there is a chapter alone. See _scanned_structure for how; without `scratch` the result is
+    written to the checkpoint folder. A null book has no state carried between ranges.
     """
-    w = Window.partitionBy("book").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
-    k, n = F.col("kind"), F.col("num")
+    if scratch is None:
+        with Scratch(lines.sparkSession) as own:
+            return cut(running_structure(lines, mode, own))
+    state = _scanned_structure(_marks(lines), mode, scratch)
     if mode == "strict":
-        return lines.withColumn("chapter", F.last(F.when(k.isin("C", "S"), n), ignorenulls=True).over(w))
-    out = lines.withColumn("_c", F.count(F.when(k == "C", 1)).over(w)).withColumn("_pc", F.count(F.when((k == "C") & n.isNotNull(), 1)).over(w))
-    in_run = Window.partitionBy("book", "_pc").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
-    anchor = F.last(F.when(k == "C", n), ignorenulls=True).over(w)
-    loose = F.count(F.when((k == "C") & n.isNull(), 1)).over(in_run)
-    out = out.withColumn("chapter", F.when(F.col("_c") > 0, F.coalesce(anchor, F.lit(0)) + loose))
-    out = out.withColumn("chapter_title", F.last(F.when(k == "C", F.substring(F.trim("text"), 1, 120)), ignorenulls=True).over(w))
-    in_c = Window.partitionBy("book", "_c").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("_ps", F.count(F.when((k == "S") & n.isNotNull(), 1)).over(in_c)).withColumn("_s", F.count(F.when(k == "S", 1)).over(in_c))
-    in_s = Window.partitionBy("book", "_c", "_ps").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
-    anchor = F.last(F.when(k == "S", n), ignorenulls=True).over(in_c)
-    out = out.withColumn("section", F.when(F.col("_s") > 0, F.coalesce(anchor, F.lit(0)) + F.count(F.when((k == "S") & n.isNull(), 1)).over(in_s)))
-    in_v = Window.partitionBy("book", "_c", "_s").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
-    verse = F.count(F.when(k == "V", 1)).over(in_v)
-    return out.withColumn("verse", F.when(verse > 0, verse)).drop("_c", "_pc", "_ps", "_s")
-
-
-def page_structure(pages: DataFrame, **patterns) -> DataFrame:
-    """Per page, the state after its last line; a page without text carries that of the page before."""
-    state = running_structure(classify_lines(pages, **patterns))
-    at = F.struct("chapter", "chapter_title", "section", "verse")
-    return state.groupBy("book", "page").agg(F.max_by(at, "line").alias("s")).select("book", "page", "s.*")
+        state = state.drop("chapter_title", "section", "verse")
+    return lines.join(state, ["book", "page", "line"])
+
+
+def page_structure(pages: DataFrame, scratch: Scratch | None = None, mode: str = "increment", **patterns) -> DataFrame:
+    """Per page, the state after its last line; a page without text carries that of the page before.
+
+    Only lines that mark something are scanned, and one row for the end of each page."""
+    if scratch is None:
+        with Scratch(pages.sparkSession) as own:
+            return cut(page_structure(pages, own, mode, **patterns))
+    last = (1 << 31) - 1
+    marks = _marks(classify_lines(pages, **patterns)).where("kind is not null").select("book", "page", "line", "kind", "num", "title")
+    none = F.lit(None)
+    ends = pages.select("book", "page", F.lit(last).alias("line"), none.cast("string").alias("kind"), none.cast("int").alias("num"), none.cast("string").alias("title"))
+    return _scanned_structure(marks.unionByName(ends), mode, scratch).where(F.col("line") == last).drop("line")
 
 
 def detect_sections(docs: DataFrame, heading: str = r"(?i)^(?:chapter|section|part|unit|topic|module|lesson)\s+(\d+|[ivxlc]+)[:.]\s*(.+)",
@@ -167,26 +254,56 @@ def merge_latest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def even_sample(chunks: DataFrame, n: int, least: int = 450) -> DataFrame:
-    """Per book every step-th chunk over `least` characters, step being their number over n (at least 1)."""
-    good = chunks.where(F.length("text") > least)
-    placed = good.select("*", (F.row_number().over(Window.partitionBy("book").orderBy("page", "id")) - 1).alias("i"), F.count("*").over(Window.partitionBy("book")).alias("c"))
-    return placed.where((F.pmod("i", F.greatest(F.floor(F.col("c") / n), F.lit(1))) == 0)).drop("i", "c")
+def _placed(df: DataFrame, scratch: Scratch) -> DataFrame:
+    return places(df, "book", "page", "id", scratch=scratch).drop("row")
+
+
+def even_sample(chunks: DataFrame, n: int, least: int = 450, scratch: Scratch | None = None) -> DataFrame:
+    """Per book every step-th chunk over `least` characters, step being their number over n (at least 1); of a book that
+    has none of that length, its 2n longest chunks.
+
+    Without `scratch` the result is written to the checkpoint folder."""
+    if scratch is None:
+        with Scratch(chunks.sparkSession) as own:
+            return cut(even_sample(chunks, n, least, own))
+    long = F.length("text") > least
+    placed = _placed(chunks.where(long), scratch)
+    out = placed.where(F.pmod("i", F.greatest(F.floor(F.col("c") / n), F.lit(1))) == 0).drop("i", "c")
+    without = chunks.groupBy("book").agg(F.coalesce(F.max(long), F.lit(False)).alias("_l")).where("not _l").select("book")
+    ranked = chunks.join(without, "book", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("book").orderBy(F.desc(F.length("text")), "page", "id")))
+    return out.unionByName(ranked.where(F.col("_r") <= 2 * n).drop("_r"))
 
 
-def middle_sample(pages: DataFrame, n: int = 20) -> DataFrame:
+def middle_sample(pages: DataFrame, n: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """Per book pages between a quarter and three quarters of it, at a fixed step."""
-    placed = pages.select("*", (F.row_number().over(Window.partitionBy("book").orderBy("page", "id")) - 1).alias("i"), F.count("*").over(Window.partitionBy("book")).alias("c"))
+    if scratch is None:
+        with Scratch(pages.sparkSession) as own:
+            return cut(middle_sample(pages, n, own))
+    placed = _placed(pages, scratch)
     low, high = F.floor(F.col("c") / 4), F.floor(F.col("c") * 3 / 4)
     step = F.greatest(F.lit(1), F.floor((high - low) / n))
     return placed.where((F.col("i") >= low) & (F.col("i") < high) & (F.pmod(F.col("i") - low, step) == 0)).drop("i", "c")
 
 
-def daily_pick(items: DataFrame, day: Column, mode: str = "dayofyear") -> DataFrame:
-    """Per book the item whose place is the day of the year (or month) modulo their number."""
-    at = F.dayofyear(day) if mode == "dayofyear" else F.dayofmonth(day)
-    placed = items.select("*", (F.row_number().over(Window.partitionBy("book").orderBy("page", "id")) - 1).alias("i"), F.count("*").over(Window.partitionBy("book")).alias("c"))
-    return placed.where(F.col("i") == F.pmod(at, F.col("c"))).drop("i", "c")
+def daily_pick(items: DataFrame, day: Column, mode: str = "dayofyear", scratch: Scratch | None = None) -> DataFrame:
+    """Per book the item whose place is the day of the year modulo their number; mode dayofmonth: one item of all, by the
+    day of the month."""
+    if scratch is None:
+        with Scratch(items.sparkSession) as own:
+            return cut(daily_pick(items, day, mode, own))
+    if mode == "dayofmonth":
+        laid = ordered(items, "book", "page", "id", scratch=scratch)
+        n = laid.agg(F.count("*")).first()[0]
+        return laid.where(F.col("row") == F.pmod(F.dayofmonth(day), F.lit(max(n, 1)))).drop("row")
+    return _placed(items, scratch).where(F.col("i") == F.pmod(F.dayofyear(day), F.col("c"))).drop("i", "c")
+
+
+def previous_page(pages: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """`pages` (book, page) with `before`, the value of a column on the page before in the book; null on its first."""
+    laid = ordered(pages, "book", "page", scratch=scratch)
+    back = laid.select((F.col("row") + 1).alias("row"), F.col("book").alias("_b"), F.col(column).alias("before"))
+    met = laid.join(back, "row", "left")
+    return met.withColumn("before", F.when(F.col("book").eqNullSafe(F.col("_b")), F.col("before"))).drop("row", "_b")
 
 
 def resolve_files(registry: DataFrame, files: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def ordered(df: DataFrame, *order: Column | str, scratch: Scratch, row: str = "r
     return placed.withColumn(row, F.col("_before") + at).drop("_part", "_id", "_before")
 
 
-def places(df: DataFrame, group: str, *order: Column | str, scratch: Scratch) -> DataFrame:
-    """`df` with `i`, each row's place from 0 in its group by `order`, `c`, the group's rows, and `row`, the place in all.
+def places(df: DataFrame, group: str, *order: Column | str, scratch: Scratch, place: str = "i") -> DataFrame:
+    """`df` with `i` (or the name given), each row's place from 0 in its group by `order`, `c`, the group's rows, and `row`, the place in all.
 
     A group's first place and size are one row, combined before the shuffle; a hot group is the side that Spark can split.
     Null is a group of its own.
@@ -42,4 +42,4 @@ def places(df: DataFrame, group: str, *order: Column | str, scratch: Scratch) ->
     laid = ordered(df, group, *order, scratch=scratch)
     of = laid.groupBy(F.col(group).alias("_g")).agg(F.min("row").alias("_first"), F.count("*").alias("c"))
     placed = laid.join(of, F.col(group).eqNullSafe(F.col("_g")))
-    return placed.withColumn("i", F.col("row") - F.col("_first")).drop("_g", "_first")
+    return placed.withColumn(place, F.col("row") - F.col("_first")).drop("_g", "_first")

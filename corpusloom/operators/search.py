@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import density_multiplier, query_terms, real_words
 from ..profiles import ScriptProfile
+from ..session import Scratch, cut
+from .ranks import ordered, places
 
 #: Caps of the substring match, fixed values of its definition: index words, and postings, of one term.
 MOST_KEYS, MOST_POSTINGS = 400, 900
@@ -21,15 +23,55 @@ def query_term_table(queries: DataFrame, p: ScriptProfile) -> DataFrame:
     return queries.select("query_id", F.explode(query_terms("query", p)).alias("term"))
 
 
-def term_scores(terms: DataFrame, postings: DataFrame, p: ScriptProfile) -> DataFrame:
+#: Letters of the grams by which words are found that contain a term, and grams of a term that are intersected.
+GRAM, RAREST = 3, 3
+
+
+def grams(c: Column | str, size: int = GRAM) -> Column:
+    """The distinct stretches of `size` letters of a word, or of its two letters if it has no more."""
+    c = F.col(c) if isinstance(c, str) else c
+    n = F.least(F.length(c), F.lit(size))
+    cut = lambda size: F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substr(c, i, F.lit(size)))
+    return F.when(n >= 2, F.array_distinct(F.when(n >= size, cut(size)).otherwise(cut(2))))
+
+
+def word_grams(words: DataFrame, least_term: int = GRAM) -> DataFrame:
+    """`(gram, word, of)`: every gram of every distinct word, and in how many words it is.
+
+    Pairs of letters are there too where terms of two letters are asked for. The counts meet the rows by a join, so no
+    gram's words are gathered."""
+    w = words.select("word").distinct()
+    own = w.select(F.explode(grams("word")).alias("gram"), "word")
+    if least_term < GRAM:
+        own = own.unionByName(w.where(F.length("word") >= GRAM).select(F.explode(grams("word", 2)).alias("gram"), "word"))
+    return own.join(own.groupBy("gram").agg(F.count("*").alias("of")), "gram")
+
+
+def containing(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """`(term, word)`: the words that contain each term (of two letters or more), by an index of their grams.
+
+    A term's rarest grams are looked up, the words that have all of them kept, and these compared. Terms and words meet
+    by equality of a gram alone; a term with a gram that no word has is done at once."""
+    asked = terms.select("term", F.explode(grams("term")).alias("gram"))
+    counts = index.groupBy("gram").agg(F.max("of").alias("of"))
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("of", F.lit(0)), "gram"))
+    rare = asked.join(counts, "gram", "left").withColumn("rn", rank).where(F.col("rn") <= RAREST)
+    known = rare.groupBy("term").agg(F.count("*").alias("n"), F.count("of").alias("met")).where("n = met").select("term", "n")
+    met = rare.select("term", "gram").join(known, "term").join(index.select("gram", "word"), "gram")
+    both = met.groupBy("term", "word").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c = n")
+    return both.where(F.contains("word", "term")).select("term", "word")
+
+
+def term_scores(terms: DataFrame, postings: DataFrame, p: ScriptProfile, index: DataFrame | None = None) -> DataFrame:
     """`(term, id, gain)` of distinct terms: index words equal to the term, weight 1 / log2(4 + df); else index words that
-    contain it, the MOST_KEYS shortest, of which MOST_POSTINGS postings count, weight 0.85 / log2(4 + sum of df)."""
+    contain it, the MOST_KEYS shortest, of which MOST_POSTINGS postings count, weight 0.85 / log2(4 + sum of df).
+
+    index: the word_grams of the postings' words, built here if it isn't given."""
     asked = terms.select("term").distinct()
-    words = postings.select("word", "df").distinct()
+    words = postings.where("rnk = 1").select("word", "df")
     exact = asked.join(postings, asked.term == postings.word).select("term", "id", (1 / F.log2(4.0 + F.col("df"))).alias("gain"))
     rest = asked.join(words, asked.term == words.word, "left_anti").where(F.length("term") >= p.least_term)
-    # terms against distinct words alone, never against postings
-    near = words.join(rest, F.col("word").contains(F.col("term")))
+    near = containing(rest, word_grams(words, p.least_term) if index is None else index).join(words, "word")
     w = Window.partitionBy("term").orderBy(F.length("word"), "word")
     near = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= MOST_KEYS)
     near = near.withColumn("total", F.sum("df").over(Window.partitionBy("term"))).withColumn("before", F.sum("df").over(w) - F.col("df"))
@@ -41,16 +83,19 @@ def term_scores(terms: DataFrame, postings: DataFrame, p: ScriptProfile) -> Data
 
 
 def keyword_scores(queries: DataFrame, postings: DataFrame, chunks: DataFrame, p: ScriptProfile, synonyms: DataFrame | None = None,
-                   least_words: int = 8) -> DataFrame:
-    """`(query_id, id, book, score)`: summed gains over the number of (expanded) terms, by the chunk's word density."""
+                   least_words: int = 8, index: DataFrame | None = None) -> DataFrame:
+    """`(query_id, id, book, score)`: summed gains over the number of (expanded) terms, by the chunk's word density.
+
+    Words are counted in the chunks that were found alone. chunks may have those numbers (`real`) ready, as a store has."""
     terms = query_term_table(queries, p)
     if synonyms is not None:
         terms = expand_terms(terms, synonyms)
     asked = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     total = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    gains = asked.join(term_scores(terms, postings, p), "term")
+    gains = asked.join(term_scores(terms, postings, p, index), "term")
     summed = gains.groupBy("query_id", "id").agg(F.sum(F.col("gain") * F.col("times")).alias("gain")).join(total, "query_id")
-    good = chunks.where(real_words("text", p) >= least_words).select("id", "book", density_multiplier("text", p).alias("dense"))
+    counted = chunks if "real" in chunks.columns else chunks.withColumn("real", real_words("text", p))
+    good = counted.where(F.col("real") >= least_words).select("id", "book", density_multiplier("real").alias("dense"))
     return summed.join(good, "id").select("query_id", "id", "book", F.round(F.col("gain") / F.col("n_terms") * F.col("dense"), 9).alias("score"))
 
 
@@ -135,19 +180,23 @@ def detect_book(queries: DataFrame, hints: DataFrame) -> DataFrame:
     return met.groupBy("query_id").agg(F.min_by("book", "prio").alias("hinted"))
 
 
-def add_neighbours(kept: DataFrame, chunks: DataFrame, top: int = 3, least: int = 40) -> DataFrame:
+def add_neighbours(kept: DataFrame, chunks: DataFrame, top: int = 3, least: int = 40, scratch: Scratch | None = None) -> DataFrame:
     """kept (query_id, id, book, score, rank) with the chunks before and after its first `top` in book order.
 
     They follow their parent and inherit its score; one already there is not repeated, the first parent claims it.
-    chunks: (id, book, page, text); places in a book are found by page and id.
+    chunks: (id, book, page, text); places in a book are found by page and id. Places are those of the whole table; only
+    those beside a kept chunk are looked up. Without `scratch` the result is written to the checkpoint folder.
     """
-    order = Window.partitionBy("book").orderBy("page", "id")
-    placed = chunks.select("id", "book", F.length(F.trim("text")).alias("n"), F.lag("id").over(order).alias("prev"), F.lead("id").over(order).alias("next"))
-    parent = kept.where(F.col("rank") <= top).join(placed.select("id", "prev", "next"), "id")
-    near = parent.select("query_id", "book", "score", "rank", F.explode(F.array(
-        F.struct(F.lit(1).alias("offset"), F.col("prev").alias("id")), F.struct(F.lit(2).alias("offset"), F.col("next").alias("id"))
-    )).alias("x")).select("query_id", "book", "score", "rank", "x.offset", "x.id").where("id is not null")
-    near = near.join(placed.where(F.col("n") > least).select("id"), "id").join(kept.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    if scratch is None:
+        with Scratch(chunks.sparkSession) as own:
+            return cut(add_neighbours(kept, chunks, top, least, own))
+    own = chunks.select("book", "page", "id", F.length(F.trim("text")).alias("n"))
+    placed = ordered(own, "book", "page", "id", scratch=scratch).drop("page")
+    parent = kept.where(F.col("rank") <= top).join(placed.select("id", "row", F.col("book").alias("_b")), "id")
+    beside = parent.select("query_id", "book", "score", "rank", "_b", F.posexplode(F.array(F.col("row") - 1, F.col("row") + 1)).alias("_p", "row"))
+    near = beside.join(placed.where(F.col("n") > least).select("row", "id", F.col("book").alias("_near")), "row").where("_near = _b")
+    near = near.select("query_id", "book", "score", "rank", (F.col("_p") + 1).alias("offset"), "id")
+    near = near.join(kept.select("query_id", "id"), ["query_id", "id"], "left_anti")
     first = Window.partitionBy("query_id", "id").orderBy("rank", "offset")
     near = near.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn").withColumn("match_type", F.lit("neighbour"))
     out = kept.select("query_id", "book", "score", "rank", F.lit(0).alias("offset"), "id", F.lit("kept").alias("match_type"))
@@ -161,12 +210,17 @@ def pack_context(rows: DataFrame, order: list[Column], n: int = 12, long: int =
     return placed.withColumn("text", F.substr("text", F.lit(1), size))
 
 
-def book_overview(hints: DataFrame, candidates: DataFrame, chunks: DataFrame, least: int = 3, n: int = 6) -> DataFrame:
-    """Evenly spaced chunks (over 60 characters) of a hinted book for queries with fewer than `least` candidates of it."""
+def book_overview(hints: DataFrame, candidates: DataFrame, chunks: DataFrame, least: int = 3, n: int = 6, scratch: Scratch | None = None) -> DataFrame:
+    """Evenly spaced chunks (over 60 characters) of a hinted book for queries with fewer than `least` candidates of it.
+
+    Without `scratch` the result is written to the checkpoint folder."""
+    if scratch is None:
+        with Scratch(chunks.sparkSession) as own:
+            return cut(book_overview(hints, candidates, chunks, least, n, own))
     have = candidates.join(hints, "query_id").where("book = hinted").groupBy("query_id").agg(F.count("*").alias("c"))
     short = hints.join(have, "query_id", "left").where(F.coalesce("c", F.lit(0)) < least)
-    books = chunks.where(F.length(F.trim("text")) > 60)
-    order = Window.partitionBy("book").orderBy("page", "id")
-    spaced = books.select("id", "book", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy("book")).alias("c"))
-    spaced = spaced.where(F.pmod("i", F.greatest(F.lit(1), F.floor(F.col("c") / n))) == 0)
-    return short.join(spaced.drop("c"), F.col("hinted") == F.col("book")).select("query_id", "id", "book", F.lit(0.05).alias("score"))
+    wanted = short.select(F.col("hinted").alias("book")).distinct()
+    books = chunks.where(F.length(F.trim("text")) > 60).select("id", "book", "page").join(wanted, "book", "left_semi")
+    spaced = places(books, "book", "page", "id", scratch=scratch)
+    spaced = spaced.where(F.pmod("i", F.greatest(F.lit(1), F.floor(F.col("c") / n))) == 0).select("id", "book")
+    return short.join(spaced, F.col("hinted") == F.col("book")).select("query_id", "id", "book", F.lit(0.05).alias("score"))

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from ..profiles import LATIN
 
 
+#: A table of fewer bytes a core than this may be one row group, which is one task however many cores there are.
+SMALL = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; a small one of few files is dealt out to all cores, a large one is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1 << 20 < size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Index, manifests, keyword and vector search, fusion and evaluation."""
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..operators import search as S
 from ..operators import vectors as X
 from ..operators import verify as V
 from ..profiles import LATIN
-from ..session import staged
+from ..operators.store import Store
+from ..session import ensure_checkpoint_dir, staged
 from .base import ASKED, CHUNKS, POSTINGS, SCORES, STOP, L, asked, chunks, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -30,9 +33,33 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     return I.build_postings(chunks(spark, sf), LATIN)
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    # the index is read three times: built once, as a store would be
-    return S.keyword_scores(asked(spark, sf), staged(postings(spark, sf)), chunks(spark, sf), LATIN)
+_STORES: dict[str, Store] = {}
+
+
+def store(spark: SparkSession, sf: str) -> Store:
+    """The stored index of the documents, built where there is none of these very files (path, size, time) yet.
+
+    It lies in the session's shared folder, so the queries of a session share it."""
+    files = table(spark, sf, "documents").inputFiles()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    about = []
+    for f in sorted(files):
+        own = path(f)
+        status = own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own)
+        about.append((f, status.getLen(), status.getModificationTime()))
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{hashlib.md5(str(about).encode()).hexdigest()}"
+    if folder not in _STORES:
+        _STORES[folder] = Store(spark, folder, LATIN)
+    found = _STORES[folder]
+    if not found.versions():
+        found.build(chunks(spark, sf))
+    return found
+
+
+def scores(spark: SparkSession, sf: str, synonyms: DataFrame | None = None) -> DataFrame:
+    s = store(spark, sf)
+    return S.keyword_scores(asked(spark, sf), s.table("postings"), s.table("chunks"), LATIN, synonyms, index=s.table("grams"))
 
 
 @query("s04_index_shards", f"WITH {CHUNKS}, {POSTINGS} SELECT CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 8 AS INT) AS shard, count(DISTINCT word) AS words, count(*) AS postings FROM postings GROUP BY 1")
@@ -115,7 +142,7 @@ def j04(spark: SparkSession, sf: str) -> DataFrame:
     freq = I.word_frequency(chunks(spark, sf), LATIN).where("freq >= 50").select(F.lower("word").alias("w"), "freq").where(F.length("w") >= 4)
     heads = freq.groupBy(F.substring("w", 1, 4).alias("h")).agg(F.max_by("w", F.struct("freq", "w")).alias("expansion"))
     synonyms = freq.join(heads, F.substring("w", 1, 4) == F.col("h")).where("w <> expansion").select(F.col("w").alias("term"), "expansion").distinct()
-    return S.top_k(S.keyword_scores(asked(spark, sf), postings(spark, sf), chunks(spark, sf), LATIN, synonyms), 10)
+    return S.top_k(scores(spark, sf, synonyms), 10)
 
 
 @query("p15_search_filters", f"WITH {CHUNKS}, {ASKED}, {POSTINGS}, {SCORES} SELECT * FROM (SELECT s.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM scores s JOIN (SELECT id, book_title, chapter FROM chunks) c USING (id) WHERE c.book_title = 'Title src3' AND c.chapter = 1) WHERE rank <= 5")

@@ -13,6 +13,8 @@ from ..operators import pages as P
 from ..operators import usage as U
 from ..operators import verify as V
 from ..profiles import DEVANAGARI, LATIN
+from ..operators.ranks import places
+from ..session import Scratch, cut
 from .base import ASKED, CHUNKS, L, asked, chunks, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -155,10 +157,9 @@ def f05(spark: SparkSession, sf: str) -> DataFrame:
 @query("w07_chunk_positions", rf"""WITH RECURSIVE {CHUNKED}
  SELECT id, i, CAST(i + 1 AS INT) AS paragraph, CAST(row_number() OVER (PARTITION BY book ORDER BY page, i) - 1 AS INT) AS in_book FROM made JOIN chunks USING (id)""")
 def w07(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("book").orderBy("page", "i")) - 1
-    return chunked(spark, sf).select("id", "i", (F.col("i") + 1).alias("paragraph"), place.alias("in_book"))
+    with Scratch(spark) as scratch:
+        placed = places(chunked(spark, sf).select("id", "book", "page", "i"), "book", "page", F.col("i"), scratch=scratch, place="in_book")
+        return cut(placed.select("id", "i", (F.col("i") + 1).alias("paragraph"), F.col("in_book").cast("int").alias("in_book")))
 
 
 @query("f06_chunk_overlap")

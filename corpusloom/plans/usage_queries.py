@@ -10,6 +10,7 @@ from ..operators import pages as P
 from ..operators import usage as U
 from ..operators import verify as V
 from ..profiles import LATIN
+from ..session import Scratch, cut
 from .base import CHUNKS, L, chunks, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -32,11 +33,9 @@ GRAMS = r"""gr AS (SELECT book, page, CASE WHEN len(w) >= 3 THEN list_distinct(l
 @query("u03_trigram_jaccard", rf"""WITH {CHUNKS}, {GRAMS}, p AS (SELECT book, page, t, lag(t) OVER (PARTITION BY book ORDER BY page) AS b FROM gr)
  SELECT book, page, round(CASE WHEN len(t) > 0 AND len(b) > 0 THEN len(list_intersect(t, b)) / len(list_distinct(list_concat(t, b))) ELSE 0 END, 9) AS similarity FROM p WHERE b IS NOT NULL""")
 def u03(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("book").orderBy("page")
-    d = chunks(spark, sf).select("book", "page", P.word_trigrams("text").alias("t")).withColumn("b", F.lag("t").over(w)).where("b is not null")
-    return d.select("book", "page", F.round(P.jaccard(F.col("t"), F.col("b")), 9).alias("similarity"))
+    with Scratch(spark) as scratch:
+        d = P.previous_page(chunks(spark, sf).select("book", "page", P.word_trigrams("text").alias("t")), "t", scratch).where("before is not null")
+        return cut(d.select("book", "page", F.round(P.jaccard(F.col("t"), F.col("before")), 9).alias("similarity")))
 
 
 @query("w05_duplicate_of_previous", rf"""WITH {CHUNKS}, {GRAMS}, p AS (SELECT book, page, t, lag(t) OVER (PARTITION BY book ORDER BY page) AS b FROM gr)
