@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import density_multiplier, query_terms, real_words
 from ..profiles import ScriptProfile
 from ..session import Scratch, cut
+from .phrases import containing_phrases
 from .ranks import ordered, places
 
 #: Caps of the substring match, fixed values of its definition: index words, and postings, of one term.
@@ -175,8 +176,9 @@ def rerank_candidates(candidates: DataFrame, hints: DataFrame, n: int = 100) ->
 
 
 def detect_book(queries: DataFrame, hints: DataFrame) -> DataFrame:
-    """`(query_id, hinted)`: the hint (hint, book, prio) of lowest prio that the query contains. Hints are a small table."""
-    met = queries.join(hints, F.lower("query").contains(F.lower("hint")))
+    """`(query_id, hinted)`: the hint (hint, book, prio) of lowest prio that the query contains; any number of hints."""
+    own = hints.select(F.lower("hint").alias("phrase"), "book", "prio")
+    met = containing_phrases(queries.select("query_id", F.lower("query").alias("q")), F.col("q"), own, "phrase").join(own, "phrase")
     return met.groupBy("query_id").agg(F.min_by("book", "prio").alias("hinted"))
 
 

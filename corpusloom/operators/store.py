@@ -67,7 +67,7 @@ class Store:
         """A table of the newest version, with its buckets."""
         version = self.versions()[-1]
         if version != self._version:
-            self._close()
+            self.close()
             self._version = version
         if name not in self._open:
             where = f"{self.folder}/v{version}/{name}"
@@ -85,7 +85,8 @@ class Store:
     def _buckets(self, version: int) -> int:
         return self.spark.read.parquet(f"{self.folder}/v{version}/buckets").first()[0]
 
-    def _close(self) -> None:
+    def close(self) -> None:
+        """Forget the tables that are open; the files stay."""
         for name in [x for x in self._open if x.endswith("/")]:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._open[name]}")
         self._open.clear()
@@ -119,7 +120,7 @@ class Store:
             self._fs.delete(self._path(f"{self.folder}/v{version}"), True)
             raise
         finally:
-            self._close()
+            self.close()
         for old in self.versions()[:-2]:  # readers of the version before may still be at work
             self._fs.delete(self._path(f"{self.folder}/done-{old}"), False)
             self._fs.delete(self._path(f"{self.folder}/v{old}"), True)
@@ -135,7 +136,8 @@ class Store:
         changes nothing."""
         ids = new.select("id").distinct()
         terms = self.table("terms").join(ids, "id", "left_anti").unionByName(I.term_frequencies(new, self.p))
-        self._write(terms, merge_latest(self.table("chunks"), _served(new, self.p), "id"))
+        chunks = merge_latest(self.table("chunks"), _served(new, self.p), "id")
+        self._write(terms.select("word", "id", "tf"), chunks.select(*SERVED, "real"))
 
 
 MANIFESTS: dict[str, Callable[[DataFrame], DataFrame]] = {

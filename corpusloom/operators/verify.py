@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import disclaims, has_sentences, is_health_query, looks_garbled, norm_evidence, strip_self_citation
 from ..functions.translit import repair_homoglyphs
 from ..profiles import ScriptProfile
+from .phrases import containing_phrases
 from .usage import drop_repeat_lines
 
 
@@ -97,12 +98,15 @@ def verify_answers(answers: DataFrame, evidence: DataFrame, names: DataFrame) ->
     quote = norm_evidence(F.regexp_extract("line", r'["“”«»]([^"“”«»\n]{10,400})["“”«»]', 1))
     has = F.col("line").rlike(r'["“”«»]([^"“”«»\n]{10,400})["“”«»]')
     lines = lines.withColumn("bad", has & ~quote_in(quote, F.coalesce("ev", F.lit(""))))
-    named = names.where(F.length("name") >= 4)
+    named = names.where(F.length("name") >= 4).withColumn("normed", norm_evidence("name"))
     cited = F.regexp_extract("line", r"\s*[—–]\s*([^\n—–]{3,60})\s*$", 1)
-    # the names that a line holds, the longest first, and whether its book is grounded
-    met = lines.where("not bad").join(named, F.contains(F.col("line"), F.col("name")) | F.contains(norm_evidence(cited), norm_evidence("name")))
+    # the names that a line holds as they are, or as normalised text in what it cites at its end, by an automaton of each
+    good = lines.where("not bad").select("id", "i", "line", "books", norm_evidence(cited).alias("tail"))
+    plain = containing_phrases(good, F.col("line"), named, "name").withColumnRenamed("phrase", "name").join(named, "name")
+    behind = containing_phrases(good, F.col("tail"), named, "normed").withColumnRenamed("phrase", "normed").join(named, "normed")
+    met = plain.unionByName(behind).distinct()
     grounded = F.coalesce(F.array_contains(F.coalesce("books", F.array().cast("array<string>")), F.col("book")), F.lit(False))
-    in_tail = F.contains(norm_evidence(cited), norm_evidence("name"))
+    in_tail = F.contains("tail", "normed")
     escaped = F.regexp_replace("name", r"([.*+?^${}()|\[\]\\])", r"\\$1")
     by_length = F.array_sort(F.collect_set(F.when(~grounded, F.struct((-F.length("name")).alias("n"), escaped.alias("name")))))
     per = met.groupBy("id", "i").agg(by_length.alias("wrong"), F.bool_or(in_tail & grounded).alias("kept"), F.bool_or(in_tail & ~grounded).alias("dropped"))
@@ -169,8 +173,9 @@ def context_block(rows: DataFrame) -> DataFrame:
 
 
 def topic_flags(df: DataFrame, rules: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """`(key, topic)`: the first topic (topic, pattern, prio: a small table) with a pattern that the text contains."""
-    met = df.select(key, F.lower(text).alias("t")).join(rules, F.contains(F.col("t"), F.lower("pattern")))
+    """`(key, topic)`: the first topic (topic, pattern, prio; any number of them) with a pattern that the text contains."""
+    own = rules.select("topic", F.lower("pattern").alias("phrase"), "prio")
+    met = containing_phrases(df.select(key, F.lower(text).alias("t")), F.col("t"), own, "phrase").join(own, "phrase")
     return met.groupBy(key).agg(F.min_by("topic", "prio").alias("topic"))
 
 

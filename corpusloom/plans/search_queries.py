@@ -13,7 +13,7 @@ from ..operators import vectors as X
 from ..operators import verify as V
 from ..profiles import LATIN
 from ..operators.store import Store
-from ..session import ensure_checkpoint_dir, staged
+from ..session import Scratch, cut, ensure_checkpoint_dir, staged
 from .base import ASKED, CHUNKS, POSTINGS, SCORES, STOP, L, asked, chunks, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -136,6 +136,20 @@ def q04(spark: SparkSession, sf: str) -> DataFrame:
     return S.top_k(scores(spark, sf), 10)
 
 
+@query("q03_build_store", f"WITH {CHUNKS}, {POSTINGS} SELECT word, id, tf, CAST(rnk AS INT) AS rnk, df FROM postings")
+def q03(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of the first books, into which the others are merged, and then the last ones again."""
+    every = chunks(spark, sf)
+    with Scratch(spark) as scratch:
+        built = Store(spark, scratch.folder(), LATIN)
+        built.build(every.where("book < 'src3'"))
+        built.merge(every.where("book >= 'src3'"))
+        built.merge(every.where("book >= 'src8'"))
+        found = cut(built.table("postings").select("word", "id", "tf", "rnk", "df"))
+        built.close()
+        return found
+
+
 @query("j04_synonym_search")
 def j04(spark: SparkSession, sf: str) -> DataFrame:
     # a word's expansion is the next more frequent spelling with the same first letters

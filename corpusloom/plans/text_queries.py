@@ -12,6 +12,7 @@ from ..operators import index as I
 from ..operators import pages as P
 from ..operators import usage as U
 from ..operators import verify as V
+from ..operators.store import build_chunks
 from ..profiles import DEVANAGARI, LATIN
 from ..operators.ranks import places
 from ..session import Scratch, cut
@@ -162,6 +163,22 @@ def w07(spark: SparkSession, sf: str) -> DataFrame:
         return cut(placed.select("id", "i", (F.col("i") + 1).alias("paragraph"), F.col("in_book").cast("int").alias("in_book")))
 
 
+@query("q02_build_chunks", rf"""WITH RECURSIVE {CHUNKED.replace("FROM documents)", r"FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 30)")},
+ l AS (SELECT book, page, i, string_split(text, chr(10))[i] AS t FROM (SELECT book, page, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM chunks)),
+ k AS (SELECT *, CASE WHEN regexp_matches(t, '^T\D*\d') THEN TRY_CAST(regexp_extract(t, '^T\D*(\d+)', 1) AS INT) END AS num FROM l),
+ state AS (SELECT book, page, arg_max(ch, i) AS chapter FROM (SELECT book, page, i, coalesce(last_value(num IGNORE NULLS) OVER (PARTITION BY book ORDER BY page, i), -1) AS ch FROM k) GROUP BY ALL)
+ SELECT 'ck_' || substr(sha256(c.book || '::' || printf('%04d', id) || '::' || printf('%04d', i)), 1, 12) AS id, c.book, c.page, i, s.chapter, md5(x) AS digest,
+ CAST(len(regexp_extract_all(x, '\S+')) AS INT) AS word_count FROM made JOIN chunks c USING (id) JOIN state s ON s.book = c.book AND s.page = c.page""")
+def q02(spark: SparkSession, sf: str) -> DataFrame:
+    pages = chunks(spark, sf).select("book", "page", "text")
+    with Scratch(spark) as scratch:
+        built = build_chunks(
+            pages, scratch, status=T.page_status("text", F.lit(1.0), F.lit(False)), separator="\n", mode="strict",
+            chapter=(r"^T\D*(\d+)",), section=(r"^\x00$",), verse=(r"^\x00$",),
+        )
+        return cut(built.select("id", "book", "page", "i", F.coalesce("chapter", F.lit(-1)).alias("chapter"), F.md5("text").alias("digest"), "word_count"))
+
+
 @query("f06_chunk_overlap")
 def f06(spark: SparkSession, sf: str) -> DataFrame:
     d = chunks(spark, sf).select("id", F.posexplode(C.chunk_overlap("text", separator="\n")).alias("i", "t"))

@@ -11,6 +11,7 @@ from ..operators import usage as U
 from ..operators import verify as V
 from ..profiles import LATIN
 from ..session import Scratch, cut
+from ..streaming import ingest, policy
 from .base import CHUNKS, L, chunks, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -158,6 +159,40 @@ def r02(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).groupBy("identity", "feature", T.local_day("ts").alias("day")).agg(F.count("*").alias("used"))
 
 
+def _streamed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a stream of its files. The pattern, which fits its name alone, lets the table be one file or a folder."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+@query("r02_daily_quota_stream", f"""WITH {EVENTS}, r AS (SELECT *, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, CASE WHEN feature = 'click' THEN 2 ELSE 1 END AS l FROM ev),
+ n AS (SELECT *, row_number() OVER (PARTITION BY identity, feature, day ORDER BY ts, event_id) AS attempt FROM r)
+ SELECT event_id, day, identity = 7 OR attempt <= l AS allowed, CASE WHEN identity <> 7 THEN CAST(greatest(0, l - attempt) AS BIGINT) ELSE -1 END AS remaining FROM n""")
+def r02_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events taken as a stream, in one trigger: each decision is made on arrival, from the key's state alone."""
+    before = spark.conf.get(policy.STORE)
+    with Scratch(spark) as scratch:
+        policy.use_rocksdb(spark)
+        try:
+            ev = _streamed(spark, sf, "events").select("event_id", F.col("user_id").alias("identity"), F.col("event_type").alias("feature"), "ts")
+            decided = policy.daily_quota_stream(ev, F.when(F.col("feature") == "click", 2).otherwise(1), exempt=F.col("identity") == 7)
+            out = scratch.folder()
+            policy.drain(decided.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.folder()).start())
+        finally:
+            spark.conf.set(policy.STORE, before)
+        got = spark.read.schema(decided.schema).parquet(out)
+        return cut(got.withColumn("remaining", F.coalesce("remaining", F.lit(-1).cast("long"))))
+
+
+@query("r03_ingest_stream", "SELECT doc_id, lang, source, n_chars, md5(text) AS digest FROM documents")
+def r03(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents ingested as a stream, and all of them a second time as after the loss of the checkpoint."""
+    with Scratch(spark) as scratch:
+        path = scratch.folder()
+        for _ in range(2):
+            ingest.ingest(_streamed(spark, sf, "documents"), path, scratch.folder(), key="doc_id").awaitTermination()
+        return cut(ingest.current(spark, path, "doc_id").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest")))
+
+
 @query("r04_reminder_audience", "SELECT DISTINCT user_id, 'afternoon' AS slot, 'user ' || user_id || ', your afternoon reading is ready' AS message FROM events WHERE event_type <> 'zzz' ORDER BY user_id LIMIT 300")
 def r04(spark: SparkSession, sf: str) -> DataFrame:
     users = table(spark, sf, "events").select("user_id", F.concat(F.lit("user "), "user_id").alias("name"), F.lit(False).alias("expired")).distinct()

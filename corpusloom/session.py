@@ -92,6 +92,12 @@ class Scratch:
         self.paths[id(back)] = back, path, name
         return back
 
+    def folder(self) -> str:
+        """A folder for others to write in, which goes with the rest."""
+        path = self._path()
+        self.paths[path] = None, path, None
+        return path
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that this object wrote; nothing may read them later."""
         for table in tables:
