@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index as I
+from ..operators import ivf
 from ..operators import pages as P
 from ..operators import search as S
 from ..operators import vectors as X
@@ -309,6 +310,17 @@ def j07b(spark: SparkSession, sf: str) -> DataFrame:
     return X.vector_topk(vector_queries(spark, sf), vectors(spark, sf), 5, same_book=True).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query("q06_semantic_search")
+def q06(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors whose id is divisible by 100 ask all of them, by inverted lists; as many lists as 0.95 of the exact results take."""
+    every = vectors(spark, sf).select("id", "v")
+    with Scratch(spark) as scratch:
+        centroids = ivf.fit_lists(every)
+        held = scratch.staged(ivf.index_vectors(every, centroids))
+        asked = every.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+        return cut(ivf.semantic_topk(asked, held, centroids, 10, probe=ivf.probes_for(held, centroids, 10)))
+
+
 @query("p16_min_score", f"WITH {VEC} SELECT query_id, count(*) AS n FROM (SELECT query_id, list_cosine_similarity(q.v, v.v) AS s FROM q, v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) <= 10) WHERE s >= 0.5 GROUP BY query_id")
 def p16(spark: SparkSession, sf: str) -> DataFrame:
     return X.vector_topk(vector_queries(spark, sf), vectors(spark, sf), 10).where("score >= 0.5").groupBy("query_id").agg(F.count("*").alias("n"))
