@@ -12,9 +12,10 @@ from ..operators import pages as P
 from ..operators import search as S
 from ..operators import vectors as X
 from ..operators import verify as V
+from ..functions.text import query_terms
 from ..profiles import LATIN
 from ..operators.store import Store
-from ..session import Scratch, cut, ensure_checkpoint_dir, staged
+from ..session import Scratch, cut, ensure_checkpoint_dir
 from .base import ASKED, CHUNKS, POSTINGS, SCORES, STOP, L, asked, chunks, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -248,20 +249,27 @@ def j08(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, sf: str) -> DataFrame:
-    """The keyword source and its best of each book, the gate, diversity, neighbours and packing; the reranker is the share of the query's terms that a
-    passage holds (a stand-in for a model)."""
-    found, text = staged(scores(spark, sf)), chunks(spark, sf)
-    union = S.priority_union([(found, 20), (S.top_k(found, 3, "book").drop("rank"), 20)])
-    ready = S.rerank_candidates(union.drop("rank", "source"), _hinted(spark, sf)).join(text.select("id", "text", "page"), "id")
-    from ..functions.text import query_terms
-
-    words = asked(spark, sf).select("query_id", F.array_distinct(query_terms("query", LATIN)).alias("w"))
-    share = F.size(F.filter("w", lambda x: F.contains(F.lower("text"), x))) / F.greatest(F.size("w"), F.lit(1))
-    gated = ready.join(words, "query_id").withColumn("rerank", F.round(share, 6)).where("rerank >= 0.5")
-    kept = S.diversity_cap(gated, 3).select("query_id", "id", "book", F.col("rerank").alias("score"))
-    wide = S.add_neighbours(staged(S.top_k(kept, 12)), text).join(text.select("id", "text", "page"), "id").withColumn("rerank", F.col("score"))
-    flagged = V.grounded_flags(wide, LATIN)
-    return S.pack_context(flagged, [F.col("rank"), F.col("offset")])
+    """The keyword source and its best of each book, an overview of a hinted book that has few, the gate, diversity, neighbours and packing; the
+    reranker is the share of the query's terms that a passage holds (a stand-in for a model).
+
+    Scores are found once; texts come from the store, which is laid out by id, in lower case before they meet the queries."""
+    held = store(spark, sf).table("chunks")
+    hinted = _hinted(spark, sf)
+    with Scratch(spark) as scratch:
+        found = scratch.staged(scores(spark, sf))
+        union = S.priority_union([(found, 20), (S.top_k(found, 3, "book").drop("rank"), 20)]).drop("rank", "source")
+        union = scratch.staged(union)
+        overview = S.book_overview(hinted, union.select("query_id", "book"), held.select("id", "book", "page", "text"), scratch=scratch)
+        more = overview.join(union.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        ready = S.rerank_candidates(union.unionByName(more), hinted).select("query_id", "id", "book", "score")
+        words = asked(spark, sf).select("query_id", F.array_distinct(query_terms("query", LATIN)).alias("w"))
+        low = held.select("id", F.lower("text").alias("low"))
+        share = F.size(F.filter("w", lambda x: F.contains("low", x))) / F.greatest(F.size("w"), F.lit(1))
+        gated = ready.join(words, "query_id").join(low, "id").select("query_id", "id", "book", F.round(share, 6).alias("rerank")).where("rerank >= 0.5")
+        kept = S.diversity_cap(gated, 3).select("query_id", "id", "book", F.col("rerank").alias("score"))
+        wide = S.add_neighbours(scratch.staged(S.top_k(kept, 12)), held.select("id", "book", "page", "text"), scratch=scratch)
+        wide = wide.join(held.select("id", "text", "page"), "id").withColumn("rerank", F.col("score"))
+        return cut(S.pack_context(V.grounded_flags(wide, LATIN), [F.col("rank"), F.col("offset")]))
 
 
 @query("q07_retrieve")
