@@ -45,17 +45,20 @@ def hashed_embedder(dim: int = 64, n: int = 3) -> Callable[[list[str]], np.ndarr
 
 
 def rerank(pairs: DataFrame, model: Callable[[list[str], list[str]], list[float]], *, batch: int = 20, most: int = 1200) -> DataFrame:
-    """pairs (query, text) with `rerank`: the model's scores in input order, `batch` at a time; a failed batch scores 0."""
+    """pairs (query, text) with `rerank`: the model's scores in input order, `batch` at a time.
+
+    A failed batch scores 0; where all batches of an Arrow batch fail, the model is away and the scores are null."""
     @F.pandas_udf("double")
     def run(query: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
+        out, failed = [], 0
         for i in range(0, len(query), batch):
             q, t = query[i : i + batch].tolist(), text[i : i + batch].str.slice(0, most).tolist()
             try:
                 out += [float(s) for s in model(q, t)]
             except Exception:  # noqa: BLE001  whatever a user's model raises
                 out += [0.0] * len(q)
-        return pd.Series(out)
+                failed += len(q)
+        return pd.Series([None] * len(out) if failed == len(out) else out, dtype="float64")
 
     return pairs.withColumn("rerank", run(F.col("query"), F.col("text")))
 

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 KARANA = ("bava", "balava", "kaulava", "taitila", "gara", "vanija", "vishti")
 LAST_KARANA = ("shakuni", "chatushpada", "naga")
 MONTHS = ("vaishakha", "jyeshtha", "ashadha", "shravana", "bhadrapada", "ashwin", "kartika", "margashirsha", "pausha", "magha", "phalguna", "chaitra")
+#: The names of the lunar days of a half month, of its last day in either half, and of the one named muhurta.
+TITHI = {
+    "en": ("Pratipada", "Dwitiya", "Tritiya", "Chaturthi", "Panchami", "Shashthi", "Saptami", "Ashtami", "Navami", "Dashami", "Ekadashi", "Dwadashi", "Trayodashi", "Chaturdashi"),
+    "hi": ("प्रतिपदा", "द्वितीया", "तृतीया", "चतुर्थी", "पंचमी", "षष्ठी", "सप्तमी", "अष्टमी", "नवमी", "दशमी", "एकादशी", "द्वादशी", "त्रयोदशी", "चतुर्दशी"),
+}
+FULL_MOON, NEW_MOON = {"en": "Purnima", "hi": "पूर्णिमा"}, {"en": "Amavasya", "hi": "अमावस्या"}
+BRAHMA, MUHURTA = {"en": "Brahma Muhurta", "hi": "ब्रह्म मुहूर्त"}, {"en": "Muhurta", "hi": "मुहूर्त"}
 #: The moon's longitude terms: degrees, and multiples of D, M, M' and F.
 MOON = (
     (6.288774, 0, 0, 1, 0), (1.274027, 2, 0, -1, 0), (0.658314, 2, 0, 0, 0), (0.213618, 0, 0, 2, 0), (-0.185116, 0, 1, 0, 0),
@@ -89,3 +96,19 @@ def add_almanac(df: DataFrame, ts: str, lat: Column | float = 23.1765, lon: Colu
         "lunar_month": names(MONTHS, F.floor(_turn(sun_longitude(new_moon) - ayanamsa(new_moon)) / 30) + 1),
         "samvat_year": F.year(ts) + F.when(F.month(ts) >= 4, 57).otherwise(56),
     }).drop("_jd", "_sun", "_moon", "_ss", "_ms")
+
+
+def almanac_names(df: DataFrame, lang: Column | str = "en") -> DataFrame:
+    """`df` (tithi, paksha and muhurta, as add_almanac has them) with `tithi_name` and `muhurta_name`.
+
+    lang: a language or a column of them; English where it is `en`, else Hindi. The 15th lunar day is the full moon in the
+    bright half and the new moon in the dark one; the 29th muhurta has a name, the others a number, a missing one a dash.
+    """
+    english = (F.lit(lang) if isinstance(lang, str) else lang) == "en"
+    pick = lambda names: F.when(english, F.lit(names["en"])).otherwise(F.lit(names["hi"]))
+    listed = lambda names: F.array(*[F.lit(x) for x in names])
+    day = F.pmod(F.col("tithi"), F.lit(15)) + 1
+    name = F.get(F.when(english, listed(TITHI["en"])).otherwise(listed(TITHI["hi"])), F.least(day, F.lit(14)) - 1)
+    last = F.when(F.col("paksha") == "shukla", pick(FULL_MOON)).otherwise(pick(NEW_MOON))
+    hour = F.when(F.col("muhurta") == 28, pick(BRAHMA)).otherwise(F.concat(pick(MUHURTA), F.lit(" "), (F.col("muhurta") + 1).cast("string")))
+    return df.withColumn("tithi_name", F.when(day == 15, last).otherwise(name)).withColumn("muhurta_name", F.coalesce(hour, F.lit("—")))

@@ -307,3 +307,9 @@ def c06(spark: SparkSession, sf: str) -> DataFrame:
 @query("c07_almanac_details")
 def c07(spark: SparkSession, sf: str) -> DataFrame:
     return A.add_almanac(table(spark, sf, "events"), "ts", 28.6, 77.2).select("event_id", "paksha", "pada", "karana", "muhurta", "lunar_month")
+
+
+@query("c09_almanac_names")
+def c09(spark: SparkSession, sf: str) -> DataFrame:
+    named = A.almanac_names(A.add_almanac(table(spark, sf, "events"), "ts"), F.when(F.col("event_id") % 2 == 0, "en").otherwise("hi"))
+    return named.select("event_id", "tithi_name", "muhurta_name")

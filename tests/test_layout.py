@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import index, ivf, pages, phrases, ranks, search, store, usage, vectors, verify
+from corpusloom.functions import hooks
+from corpusloom.operators import almanac, index, ivf, pages, phrases, ranks, search, store, usage, vectors, verify
 from corpusloom.plans import registry
 from corpusloom.profiles import DEVANAGARI, LATIN
 from corpusloom.session import Scratch, ensure_checkpoint_dir
@@ -291,3 +292,21 @@ def test_inverted_lists_find_what_brute_force_finds(spark, clustered):
     every = ivf.semantic_topk(asked, held, centroids, 10, probe=len(centroids), rescore=300)
     assert {(r.query_id, r.id) for r in every.collect()} == {(r.query_id, r.id) for r in exact.collect()}
     assert ivf.semantic_topk(asked, held.limit(0), centroids, 10, probe=2).collect() == []
+
+
+def test_names_of_lunar_days(spark):
+    rows = [(0, "shukla", 0), (14, "shukla", 28), (15, "krishna", 5), (29, "krishna", None), (13, "shukla", 29)]
+    got = almanac.almanac_names(spark.createDataFrame(rows, "tithi int, paksha string, muhurta int"), "en").collect()
+    assert [(r.tithi_name, r.muhurta_name) for r in got] == [
+        ("Pratipada", "Muhurta 1"), ("Purnima", "Brahma Muhurta"), ("Pratipada", "Muhurta 6"), ("Amavasya", "—"), ("Chaturdashi", "Muhurta 30")
+    ]
+    (hindi,) = almanac.almanac_names(spark.createDataFrame(rows[:1], "tithi int, paksha string, muhurta int"), "hi").collect()
+    assert (hindi.tithi_name, hindi.muhurta_name) == ("प्रतिपदा", "मुहूर्त 1")
+
+
+def test_a_model_that_is_away_gives_no_scores(spark):
+    def away(q, t):
+        raise RuntimeError("down")
+
+    pairs = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c")], "query string, text string").coalesce(1)
+    assert [r["rerank"] for r in hooks.rerank(pairs, away, batch=2).collect()] == [None] * 3
