@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from corpusloom.session import staged
+from corpusloom.session import Scratch, cut
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; each table goes when the next one is written, and all of them on an error."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs)
-    return docs
+    with Scratch(spark) as scratch:
+        for i, (_, stage) in enumerate(STAGES):
+            made, before = stage(spark, docs, sf_dir), docs
+            if i + 1 == len(STAGES):
+                return cut(made)
+            docs = scratch.staged(made)
+            if i:
+                scratch.drop(before)

@@ -213,3 +213,17 @@ def test_resampling_of_awkward_rows(spark):
     assert sorted(r["rank"] for r in got if r["rank"]) == [1, 2] and len(got) == 5
     assert {r.n_features for r in got if r.doc_id == 2} == {119_997} and [r.weight for r in got if r.doc_id == 3] == [0]
     assert importance.importance_resample(frame.limit(0), none).collect() == []
+
+
+def test_run_gives_the_rows_of_its_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    with Scratch(spark) as scratch:
+        for _, stage in corpus_pipeline.STAGES:
+            docs = scratch.staged(stage(spark, docs, sf))
+        want = sorted(map(tuple, docs.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted(map(tuple, got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) == want != []
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in got.collect())
+    assert all(b == 0 if x != y else b == a + n for (x, a, n), (y, b, _) in zip(spans, spans[1:]))
