@@ -37,15 +37,12 @@ def grams(c: Column | str, size: int = GRAM) -> Column:
 
 
 def word_grams(words: DataFrame, least_term: int = GRAM) -> DataFrame:
-    """`(gram, word, of)`: every gram of every distinct word, and in how many words it is.
-
-    Pairs of letters are there too where terms of two letters are asked for. The counts meet the rows by a join, so no
-    gram's words are gathered."""
+    """`(gram, word)`: every gram of every distinct word; pairs of letters too where terms of two letters are asked for."""
     w = words.select("word").distinct()
     own = w.select(F.explode(grams("word")).alias("gram"), "word")
     if least_term < GRAM:
         own = own.unionByName(w.where(F.length("word") >= GRAM).select(F.explode(grams("word", 2)).alias("gram"), "word"))
-    return own.join(own.groupBy("gram").agg(F.count("*").alias("of")), "gram")
+    return own
 
 
 def containing(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -54,7 +51,7 @@ def containing(terms: DataFrame, index: DataFrame) -> DataFrame:
     A term's rarest grams are looked up, the words that have all of them kept, and these compared. Terms and words meet
     by equality of a gram alone; a term with a gram that no word has is done at once."""
     asked = terms.select("term", F.explode(grams("term")).alias("gram"))
-    counts = index.groupBy("gram").agg(F.max("of").alias("of"))
+    counts = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("of"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("of", F.lit(0)), "gram"))
     rare = asked.join(counts, "gram", "left").withColumn("rn", rank).where(F.col("rn") <= RAREST)
     known = rare.groupBy("term").agg(F.count("*").alias("n"), F.count("of").alias("met")).where("n = met").select("term", "n")
