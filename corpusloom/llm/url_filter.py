@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, cut
 
 #: The rules of the contract (verdict, host and path).
 RULES = (
@@ -41,48 +41,75 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-LONGEST = 24  # letters of a word of the model, two at least
+HEAD = 24  # a word of the model meets a name by at most so many of its first letters
+BLOCK = 256  # places of a name whose substrings one row holds
+MICRO = 1_000_000  # log probabilities are whole millionths, so that equal splits are equal in every order of adding
 
 
 def word_counts(pages: DataFrame, html: str) -> DataFrame:
-    """`w, n`: how often each word occurs in the text of all pages."""
+    """`w, n`: how often each word of two letters or more occurs in the text of all pages."""
     text = F.regexp_replace(F.lower(F.coalesce(F.col(html), F.lit(""))), r"(?s)<(script|style)[^>]*>.*?</\1>|<[^>]*>|&\w+;", " ")
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, LONGEST))
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 2)
     return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
-def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """`name, words` for every distinct name, of any length."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
+def segmented(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """`name, words` for every row `id, name`: distinct names of any length, numbered in a written table.
+
+    A name is cut into blocks of places, each with the letters that substrings from there reach; substrings travel with the
+    number of their name, never with the name. Words longer than HEAD letters meet names by their first HEAD letters, and
+    segment() sees whether the rest follows.
+    """
     size = F.length("name")
-    substrings = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda n: F.substr("name", i, n))))
-    pieces = names.select("name", F.explode(F.array_distinct(substrings)).alias("w")).where(F.length("w") > 1)
-    per_name = pieces.join(counts, "w").groupBy("name").agg(F.collect_list("w").alias("w"), F.collect_list("n").alias("n"))
+    blocks = names.select("id", size.alias("size"), F.explode(F.sequence(F.lit(1), size, F.lit(BLOCK))).alias("at"), "name")
+    blocks = blocks.select("id", "size", F.substr("name", "at", F.lit(BLOCK + HEAD - 1)).alias("part"))
+    substrings = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(BLOCK))), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("part") - i + 1)), lambda n: F.substr("part", i, n))))
+    pieces = blocks.select("id", "size", F.explode(F.array_distinct(substrings)).alias("head")).where(F.length("head") > 1)
+    model = counts.select(F.substring("w", 1, HEAD).alias("head"), "w", "n")
+    met = pieces.join(model, "head").where(F.length("w") <= F.col("size"))
+    per_name = met.groupBy("id").agg(F.collect_list("w").alias("w"), F.collect_list("n").alias("n"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = []
             for name, w, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                model = {x: math.log(y / total) for x, y in zip(w or (), n or (), strict=True)}
-                words.append(segment(name, model, LONGEST))
+                words.append(segment(name, {x: log_probability(y, total) for x, y in zip(w or (), n or (), strict=True)}, total))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
 
-    return names.join(per_name, "name", "left").select("name", "w", "n").mapInArrow(split, "name string, words array<string>")
+    return names.join(per_name, "id", "left").select("name", "w", "n").mapInArrow(split, "name string, words array<string>")
+
+
+def log_probability(n: int, total: int) -> int:
+    return round(MICRO * math.log(n / total))
 
 
-def segment(name: str, model: dict[str, float], longest: int) -> list[str]:
-    """Most probable split of a name; an unknown piece costs more by its length. Of equal splits, the later cut."""
-    unknown = math.log(1e-9)
-    best: list[tuple[float, int]] = [(0.0, 0)]
-    for i in range(1, len(name) + 1):
-        best.append(max(
-            (best[j][0] + model.get(name[j:i], unknown - 2.3 * (i - j)), j) for j in range(max(0, i - longest), i)
-        ))
+def segment(name: str, model: dict[str, int], total: int) -> list[str]:
+    """Most probable split of a name by the log probabilities of words; `total` is how many words the model was counted on.
+
+    A piece that is no word is less probable than any word, and the more so the longer it is. Words and such pieces may
+    have any length. Of equal splits, the one whose last piece is the shortest, and so on towards the front.
+    """
+    unknown, letter = round(-MICRO * max(math.log(1e9), math.log(total))), round(2.3 * MICRO)
+    sizes = sorted({len(w) for w in model})
+    best, cuts = [0], [0]
+    ends: dict[int, list[tuple[int, int]]] = {}  # words that end at a place: how probable up to there, and where they begin
+    opened = (0, 0)  # the best place for a piece that is no word to begin: its value freed of its letters' cost
+    for i in range(len(name)):
+        for n in sizes:
+            if i + n > len(name):
+                break
+            known = model.get(name[i : i + n])
+            if known is not None:
+                ends.setdefault(i + n, []).append((best[i] + known, i))
+        opened = max(opened, (best[i] + letter * i, i))
+        value, cut = max([(opened[0] + unknown - letter * (i + 1), opened[1]), *ends.pop(i + 1, ())])
+        best.append(value)
+        cuts.append(cut)
     out, i = [], len(name)
     while i:
-        out.append(name[best[i][1] : i])
-        i = best[i][1]
+        out.append(name[cuts[i] : i])
+        i = cuts[i]
     return out[::-1]
 
 
@@ -98,7 +125,11 @@ def filter_urls(
     splits that tie the one with the later cut. Very long urls and texts are read whole. An empty table gives no rows;
     other columns are ignored, whatever their names.
     """
-    scratch = Scratch(pages.sparkSession)
+    with Scratch(pages.sparkSession) as scratch:
+        return cut(_judged(scratch, pages, page_id, url, html, rules, smoothing))
+
+
+def _judged(scratch: Scratch, pages: DataFrame, page_id: str, url: str, html: str, rules, smoothing: float) -> DataFrame:
     host, path = host_and_path(F.col(url))
     parsed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
@@ -111,13 +142,15 @@ def filter_urls(
         "row", "x.side", F.posexplode(F.regexp_extract_all(F.lower("x.text"), F.lit(r"\p{L}+"), F.lit(0))).alias("at", "name")
     )
     counts = scratch.staged(word_counts(pages, html))
-    words = scratch.staged(segmented(names.select("name").distinct(), counts))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    distinct = scratch.staged(names.select("name").distinct().select(F.monotonically_increasing_id().alias("id"), "name"))
+    words = scratch.staged(segmented(distinct, counts, total))
     tokens = names.join(words, "name").select(
         "row", "side", "at", F.transform("words", lambda w: F.concat("side", F.lit(":"), w)).alias("words")
     )
     tokens = tokens.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("side", "at", "words"))), lambda x: x["words"])).alias("tokens"))
     rows = scratch.staged(parsed.join(tokens, "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))))
-    scratch.drop(parsed, counts, words)
+    scratch.drop(parsed, counts, distinct, words)
 
     ruled = rows.where("ruled is not null")
     pages_of = {r["ruled"]: r["n"] for r in ruled.groupBy("ruled").agg(F.count("*").alias("n")).collect()}

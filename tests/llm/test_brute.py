@@ -97,6 +97,40 @@ def test_more_than_32_languages(spark):
     assert got == len(rows)
 
 
+def plain_split(name, model, total):
+    """Most probable split, by trying every piece at every place; ties to the later cut."""
+    unknown = -round(1e6 * max(math.log(1e9), math.log(total)))
+    best = [(0, [])]
+    for end in range(1, len(name) + 1):
+        options = []
+        for start in range(end):
+            piece = name[start:end]
+            options.append((best[start][0] + max(model.get(piece, -10**18), unknown - 2_300_000 * len(piece)), start))
+        value, start = max(options)
+        best.append((value, [*best[start][1], name[start:end]]))
+    return best[-1][1]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_segments_equal_plain_splits(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(200):
+        counts = {"".join(rng.choice(list("abc"), int(rng.integers(2, 7)))): int(rng.integers(1, 50)) for _ in range(int(rng.integers(0, 12)))}
+        total = max(1, sum(counts.values()) + int(rng.integers(0, 1000)))
+        model = {w: url_filter.log_probability(n, total) for w, n in counts.items()}
+        name = "".join(rng.choice(list("abcd"), int(rng.integers(0, 40))))
+        assert url_filter.segment(name, model, total) == plain_split(name, model, total)
+
+
+def test_very_long_names_and_words(spark):
+    word = "abcdefghijklmnopqrstuvwxyz" * 3  # longer than what names meet words by
+    name = (word + "free" + "bets") * 1200  # over 100,000 letters
+    rows = [(1, f"http://a.org/{name}", f"free bets {word} {word[:30]}zz free bets {word}"), (2, f"http://{word}.org/", ""), (3, "http://a.org/" + "q" * 100_000, "")]
+    got = {r["page_id"]: r["tokens"] for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1][-3600:] == [f"p:{w}" for w in (word, "free", "bets")] * 1200 and len(got[1]) == 3602
+    assert got[2] == [f"h:{word}", "h:org"] and got[3][2:] == ["p:" + "q" * 100_000]
+
+
 def test_url_verdicts_equal_plain_python(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     long_name = "http://" + "freebets" * 40 + ".org/a"
@@ -106,12 +140,12 @@ def test_url_verdicts_equal_plain_python(spark, sf):
     counts = Counter()
     for r in plain:
         text = re.sub(r"(?s)<(script|style)[^>]*>.*?</\1>|<[^>]*>|&\w+;", " ", (r["html"] or "").lower())
-        counts.update(w for w in re.findall(r"[^\W\d_]+", text) if 2 <= len(w) <= 24)
+        counts.update(w for w in re.findall(r"[^\W\d_]+", text) if len(w) >= 2)
     total = sum(counts.values())
-    model = {w: math.log(n / total) for w, n in counts.items()}
+    model = {w: round(1e6 * math.log(n / total)) for w, n in counts.items()}
 
     def tokens(side, text):
-        return [f"{side}:{w}" for name in re.findall(r"[^\W\d_]+", text.lower()) for w in url_filter.segment(name, model, 24)]
+        return [f"{side}:{w}" for name in re.findall(r"[^\W\d_]+", text.lower()) for w in plain_split(name, model, total)]
 
     got = url_filter.filter_urls(rows.withColumn("row", F.lit(1)).withColumn("token", F.lit("t"))).collect()
     assert len(got) == len(plain)

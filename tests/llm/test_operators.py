@@ -379,9 +379,9 @@ def test_url_rules(spark, sf):
 
 
 def test_segmentation_is_the_best_split():
-    model = {w: math.log(p) for w, p in (("free", 0.1), ("bet", 0.1), ("bets", 0.05), ("s", 0.01), ("fre", 0.01), ("ebets", 0.0001))}
-    assert url_filter.segment("freebets", model, 8) == ["free", "bets"]
-    assert "".join(url_filter.segment("zzfreeqq", model, 8)) == "zzfreeqq"
+    model = {w: round(1e6 * math.log(p)) for w, p in (("free", 0.1), ("bet", 0.1), ("bets", 0.05), ("s", 0.01), ("fre", 0.01), ("ebets", 0.0001))}
+    assert url_filter.segment("freebets", model, 1000) == ["free", "bets"]
+    assert "".join(url_filter.segment("zzfreeqq", model, 1000)) == "zzfreeqq"
 
 
 def operators(benchmark):
