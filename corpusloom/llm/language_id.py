@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Scratch, cut
 from .keys import doc_key, rows_back, whole_rows
 
 BUCKETS = 1 << 15  # trigram hash values, a fixed table
+CLASSES = 64  # languages of a block: its table has 8 MB
 NONE = "und"  # no known language
 
 
@@ -48,62 +50,91 @@ def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def train_trigrams(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """All declared languages, most declared first, and their log probabilities of each bucket (and of NONE: uniform).
+def declared_languages(rows: DataFrame) -> list[str]:
+    """All declared languages, most declared first: 26 * 26 + 26 ** 3 at most, as `_subtag` lets no others through."""
+    counts = rows.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n"))
+    return [r["declared"] for r in counts.orderBy(F.desc("n"), "declared").collect()]
 
-    The table has BUCKETS values a language: 26 MB for 200 of them.
-    """
-    names = [
-        r[0] for r in rows.where("declared <> ''").groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").collect()
-    ]
+
+def trigram_counts(rows: DataFrame) -> DataFrame:
+    """`declared, bucket, n`: how often the texts of each declared language have each trigram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {name: i for i, name in enumerate(names)}
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        sums: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, n in sums.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["declared", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 bucket, counts, bounds = _trigrams(part.column(0))
-                lang = np.array([place.get(x, -1) for x in part.column(1).to_pylist()])
-                lang = np.repeat(lang, np.diff(bounds))
-                for j in np.unique(lang[lang >= 0]):
-                    total[j] += np.bincount(bucket[counts & (lang == j)], minlength=BUCKETS)
-        at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"]
-        )
-
-    table = np.full((len(names), BUCKETS), 0.5)
-    if names:
-        got = rows.select("text", "declared").mapInArrow(count, "lang int, bucket int, n long")
-        got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
-        table[got["lang"], got["bucket"]] += got["n"]
-    table = np.log(table / table.sum(axis=1, keepdims=True))
-    return [*names, NONE], np.vstack([table, np.full((1, BUCKETS), -np.log(BUCKETS))])
-
-
-def _log_likelihoods(rows: DataFrame, table: np.ndarray, per_text: int) -> DataFrame:
-    """rows with `text` replaced by `ll`: log likelihood per class. Trigrams aren't independent: they weigh per_text at most."""
-    shared = rows.sparkSession.sparkContext.broadcast(table.T.astype(np.float32).copy())
-    kept = [c for c in rows.columns if c != "text"]
+                names = part.column(1).to_pylist()
+                place = {name: j for j, name in enumerate(sorted(set(names)))}
+                lang = np.repeat(np.array([place[x] for x in names], np.int64), np.diff(bounds))
+                for name, j in place.items():
+                    if name not in sums and len(sums) == CLASSES:
+                        yield from flush()
+                    sums.setdefault(name, np.zeros(BUCKETS, np.int64))
+                    sums[name] += np.bincount(bucket[counts & (lang == j)], minlength=BUCKETS)
+        yield from flush()
+
+    got = rows.where("declared <> ''").select("text", "declared").mapInArrow(count, "declared string, bucket int, n long")
+    return got.groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
+
+
+def trigram_table(counts: DataFrame, names: list[str]) -> np.ndarray:
+    """Log probability of each bucket (rows) in each language of a block (columns); NONE has all alike."""
+    table = np.full((BUCKETS, len(names)), 0.5)
+    got = counts.where(F.col("declared").isin(names)).toPandas()  # BUCKETS rows a language of the block at most
+    place = {name: j for j, name in enumerate(names)}
+    table[got["bucket"], [place[x] for x in got["declared"]]] += got["n"]
+    table = np.log(table / table.sum(axis=0))
+    if NONE in place:
+        table[:, place[NONE]] = -np.log(BUCKETS)
+    return table.astype(np.float32)
+
+
+def _log_likelihoods(rows: DataFrame, shared: Broadcast, per_text: int) -> DataFrame:
+    """rows with the block's log likelihoods appended to `ll`. Trigrams aren't independent: they weigh per_text at most."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                bucket, counts, bounds = _trigrams(part.column(part.schema.get_field_index("text")))
-                weights = counts.astype(np.float64)
-                n = _per_text(weights, bounds)
+                bucket, counts, bounds = _trigrams(part["text"])
+                n = _per_text(counts.astype(np.float64), bounds)
                 ll = np.column_stack([_per_text(by_bucket[:, j][bucket] * counts, bounds) for j in range(by_bucket.shape[1])])
                 ll *= np.minimum(1.0, per_text / np.maximum(n, 1))[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(list(ll), pa.list_(pa.float64())), pa.array(n.astype(np.int64))],
-                    [*kept, "ll", "n_trigrams"],
-                )
+                before = part["ll"].to_pylist()
+                fresh = {"ll": pa.array([np.append(x, y) for x, y in zip(before, ll, strict=True)], pa.list_(pa.float64())), "n_trigrams": pa.array(n.astype(np.int64))}
+                yield pa.RecordBatch.from_arrays([fresh.get(c, part[c]) for c in part.schema.names], part.schema.names)
 
-    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in kept)
-    return rows.mapInArrow(score, f"{kinds}, ll array<double>, n_trigrams long")
+    return rows.mapInArrow(score, rows.schema)
+
+
+def text_likelihoods(scratch: Scratch, rows: DataFrame, names: list[str], per_text: int) -> DataFrame:
+    """rows with `text` replaced by `ll`, a log likelihood for each of `names` (and NONE, the last of them), and `n_trigrams`.
+
+    Languages are scored in blocks of CLASSES: a pass over the texts for each block, whose table alone is sent to tasks.
+    """
+    counts = scratch.staged(trigram_counts(rows))
+    scored = rows.withColumn("ll", F.array().cast("array<double>")).withColumn("n_trigrams", F.lit(0).cast("long"))
+    before = None
+    for i in range(0, len(names), CLASSES):
+        shared = rows.sparkSession.sparkContext.broadcast(trigram_table(counts, names[i : i + CLASSES]))
+        passed = _log_likelihoods(scored, shared, per_text)
+        scored = scratch.staged(passed.drop("text") if i + CLASSES >= len(names) else passed)
+        shared.destroy()
+        if before is not None:
+            scratch.drop(before)
+        before = scored
+    scratch.drop(counts)
+    return scored
 
 
 def address_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -114,8 +145,8 @@ def address_parts(url: Column) -> tuple[Column, Column, Column]:
 
 
 def _subtag(declared: Column) -> Column:
-    """The language alone of a declaration such as `en-GB`, in lower case."""
-    return F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]*)", 1))
+    """The language alone of a declaration such as `en-GB`, in lower case: two or three letters, as language codes have; else empty."""
+    return F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1))
 
 
 def page_evidence(url: Column, html: Column) -> dict[str, Column]:
@@ -137,7 +168,8 @@ def identify_language(
 ) -> DataFrame:
     """`k, doc_id, text_hash, language, probability, text_language, kept` for every row.
 
-    declared, host, domain and suffix are string columns (of a declared `en-GB`, `en` counts), null or empty where there is no such evidence. kept is false
+    declared, host, domain and suffix are string columns (of a declared `en-GB`, `en` counts; what begins with no code of two or
+    three letters declares nothing), null or empty where there is no such evidence. kept is false
     for a text without a trigram of letters (null and empty ones too), and where the most probable class is NONE or less
     probable than `least`. `prior` is the weight, in rows, with which each level of hosts is drawn to the one above.
     Repeated rows are judged each; of classes that tie, the first in the list of languages wins. Very long texts are read
@@ -150,9 +182,14 @@ def identify_language(
         F.xxhash64(F.coalesce(F.col(text), empty)).alias("text_hash"),
         *[F.coalesce(_subtag(c) if n == "declared" else c, empty).alias(n) if c is not None else empty.alias(n) for n, c in evidence.items()],
     )
-    names, table = train_trigrams(rows)
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_fused(scratch, rows, per_text, prior, least))
+
+
+def _fused(scratch: Scratch, rows: DataFrame, per_text: int, prior: float, least: float) -> DataFrame:
+    names = [x for x in declared_languages(rows) if x != NONE] + [NONE]
     m = len(names)
-    scored = cut(_log_likelihoods(rows, table, per_text).withColumn("best", F.expr("int(array_position(ll, array_max(ll)) - 1)")))
+    scored = text_likelihoods(scratch, rows, names, per_text).withColumn("best", F.expr("int(array_position(ll, array_max(ll)) - 1)"))
     sure = scored.where("n_trigrams > 0")
 
     def counted(*by: str) -> DataFrame:
@@ -161,11 +198,15 @@ def identify_language(
         met = per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("c"))
         return met.withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0).cast("bigint"))))
 
-    zero = F.array(*[F.lit(0)] * m).cast("array<bigint>")
+    def constants(values: list, kind: str) -> Column:
+        """One literal of many values, which holds no comma."""
+        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+    zero = F.array_repeat(F.lit(0).cast("bigint"), m)
     verdicts = {r["best"]: r["n"] for r in sure.groupBy("best").agg(F.count("*").alias("n")).collect()}  # one row a class
     whole = [verdicts.get(i, 0) for i in range(m)]
     total = sum(whole)
-    top = F.array(*[F.lit((x + 1.0) / (total + m)) for x in whole])
+    top = constants([(x + 1.0) / (total + m) for x in whole], "double")
     mixed = lambda c, up: F.expr(
         f"zip_with({c}, {up}, (n, p) -> (n + {prior} * p) / (aggregate({c}, 0L, (s, x) -> s + x) + {prior}))"
     )
@@ -183,8 +224,8 @@ def identify_language(
         per = counted(kind).withColumnRenamed("c", f"{kind}_c")
         out = out.join(per, kind, "left").withColumn(
             f"{kind}_l",
-            F.when(F.col(kind) == "", F.array(*[F.lit(0.0)] * m)).otherwise(
-                F.transform(F.coalesce(f"{kind}_c", zero), lambda x, i: F.log((x + 0.5) / (F.get(F.array(*[F.lit(float(v)) for v in whole]), i) + 1.0 * m)))
+            F.when(F.col(kind) == "", F.array_repeat(F.lit(0.0), m)).otherwise(
+                F.transform(F.coalesce(f"{kind}_c", zero), lambda x, i: F.log((x + 0.5) / (F.get(constants(whole, "double"), i) + 1.0 * m)))
             ),
         )
     logs = F.expr("transform(ll, (x, i) -> x + ln(p2[i]) + declared_l[i] + suffix_l[i])")
@@ -192,7 +233,7 @@ def identify_language(
     out = out.withColumn("at", F.expr("int(array_position(logs, most) - 1)")).withColumn(
         "probability", 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most")))
     )
-    listed = F.array(*[F.lit(n) for n in names])
+    listed = constants(names, "string")
     language = F.get(listed, F.col("at"))
     return out.select(
         "k", "doc_id", "text_hash", language.alias("language"), F.round("probability", 6).alias("probability"),
@@ -200,7 +241,6 @@ def identify_language(
         ((F.col("n_trigrams") > 0) & (language != NONE) & (F.col("probability") >= least)).alias("kept"),
     )
 
-
 def keep_identified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs`, all columns whatever their names, whose language is identified. Rows of equal id and text are kept or not as one."""
     bad = identify_language(docs, doc_id=doc_id, text=text, **options).where("not kept").select("k", "text_hash").distinct()

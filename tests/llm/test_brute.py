@@ -85,7 +85,9 @@ def test_language_posteriors_equal_plain_python(spark, sf):
     assert all(abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
 
 
-def test_more_than_32_languages(spark):
+@pytest.mark.parametrize("classes", [1, 7, 64])
+def test_more_than_32_languages(spark, monkeypatch, classes):
+    monkeypatch.setattr(language_id, "CLASSES", classes)
     rng = np.random.default_rng(3)
     rows = []
     for n in range(40):
@@ -97,6 +99,15 @@ def test_more_than_32_languages(spark):
     assert got == len(rows)
 
 
+def test_blocks_of_languages_do_not_change_results(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 9 == 0, "english").otherwise(F.col("lang")))
+    run = lambda: sorted(language_id.identify_language(docs, declared=F.col("lang"), host=F.col("source")).collect())
+    want = run()
+    assert {r["language"] for r in want} <= {"en", "de", "fr", "es", "und"}  # what is no code declares nothing
+    monkeypatch.setattr(language_id, "CLASSES", 2)
+    assert run() == want
+
+
 def plain_split(name, model, total):
     """Most probable split, by trying every piece at every place; ties to the later cut."""
     unknown = -round(1e6 * max(math.log(1e9), math.log(total)))
