@@ -1,10 +1,12 @@
 """Quality rules (8), native: fixed rules on word statistics, then robust multivariate outliers.
 
-Per language and source the minimum-covariance-determinant estimate of centre and scatter of the transformed statistics
-is approached by concentration steps: from a robust start (medians and quartiles), keep the three quarters of the
-documents that lie nearest, take their mean and covariance, and repeat. Documents beyond a chi-squared bound on the
-Mahalanobis distance are rejected. Each step is one aggregation over (group, distance bin), so a group of any size is
-pre-aggregated before the shuffle; only the few bins of a group come together.
+Per language and source the minimum covariance determinant of the transformed statistics: of all subsets of KEEP of the
+documents, the one whose covariance has the least determinant gives centre and scatter. It is approached from four starts
+(see `_starts`) by concentration steps: take the KEEP of the documents that lie nearest by the estimate so far, and their
+mean and covariance as the next. Of all starts and steps the estimate of least determinant is used. Documents beyond a
+chi-squared bound on the Mahalanobis distance are rejected. Each step is one aggregation over (group, start, distance
+bin), so a group of any size is pre-aggregated before the shuffle; only the few bins of a group come together. The bin
+at the border counts in part, so that all subsets of a group weigh the same.
 """
 from __future__ import annotations
 
@@ -13,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import Scratch, cut
 from .keys import texts
 
 #: Transformed statistics: word length, symbols, repeated words, words, repeated lines.
@@ -22,7 +24,7 @@ KEEP = 0.75  # share of a group that an estimate rests on
 FLOOR = 0.01  # least standard deviation of a statistic, against singular matrices only
 #: Statistics that are 0 in most documents have no scatter to estimate: they are taken to vary this much at least.
 COUNTED, COUNTED_FLOOR = ("f1", "f2", "f4"), 0.3
-BINS = 16  # distance bins to a factor of e
+BINS = 64  # distance bins to a factor of e
 
 
 def _chi2(x: float, d: int) -> float:
@@ -47,9 +49,6 @@ def _consistency(d: int) -> float:
     return KEEP / _chi2(_quantile(KEEP, d), d + 2)
 
 
-CONSISTENCY = _consistency(4)  # without repeated lines
-
-
 def _used(columns: list[str]) -> list[str]:
     """The statistics that rows (f0, ...) or estimates (m0, ...) have."""
     return [f for f in FEATURES if f in columns or f.replace("f", "m") in columns]
@@ -106,7 +105,7 @@ def _distance(used: tuple[str, ...] | list[str] = FEATURES, estimate: str = "e")
 
 
 def _factored(estimates: DataFrame) -> DataFrame:
-    """`g, e`: the mean m and the Cholesky factor l of the covariance c, whose diagonal is at least the floor."""
+    """`g, s, e, size`: mean m and Cholesky factor l of the covariance c, whose diagonal is at least the floor, and the logarithm of its determinant."""
     known, used = estimates, _used(estimates.columns)
     for i, j in _pairs(len(used)):
         value = F.col(f"c{i}{j}")
@@ -115,38 +114,87 @@ def _factored(estimates: DataFrame) -> DataFrame:
         for p in range(j):
             value = value - F.col(f"l{i}{p}") * F.col(f"l{j}{p}")
         known = known.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOOR**2))) if i == j else value / F.col(f"l{j}{j}"))
-    return known.select("g", F.struct(*[f"m{i}" for i in range(len(used))], *[f"l{i}{j}" for i, j in _pairs(len(used))]).alias("e"))
+    size = sum((F.log(f"l{i}{i}") for i in range(1, len(used))), F.log("l00"))
+    return known.select("g", "s", F.struct(*[f"m{i}" for i in range(len(used))], *[f"l{i}{j}" for i, j in _pairs(len(used))]).alias("e"), (2 * size).alias("size"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    used = _used(rows.columns)
-    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in used])
-    return quartiles.select(
-        "g",
-        *[F.col(f)[1].alias(f"m{i}") for i, f in enumerate(used)],
-        *[(F.pow((F.col(used[i])[2] - F.col(used[i])[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs(len(used))],
+def _moments(used: list[str]) -> list[Column]:
+    """Weighted sums of the statistics (a0, ...) and of their products (q00, ...), and of the weights (n)."""
+    return [
+        F.sum("weight").alias("n"), *[F.sum(F.col("weight") * F.col(f)).alias(f"a{i}") for i, f in enumerate(used)],
+        *[F.sum(F.col("weight") * F.col(used[i]) * F.col(used[j])).alias(f"q{i}{j}") for i, j in _pairs(len(used))],
+    ]
+
+
+def _estimate(sums: DataFrame, d: int, scale: float = 1.0) -> DataFrame:
+    """Means and covariances, times scale, from `_moments`."""
+    mean = [F.col(f"a{i}") / F.col("n") for i in range(d)]
+    return sums.select(
+        "g", "s", *[mean[i].alias(f"m{i}") for i in range(d)],
+        *[(scale * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j])).alias(f"c{i}{j}") for i, j in _pairs(d)],
     )
 
 
-def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Mean and covariance of the nearest KEEP of each group."""
+#: What the starts are: quartiles alone, covariance of all, of hyperbolic tangents of standardised statistics, of their directions.
+STARTS = ("quartiles", "plain", "tangents", "directions")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """First estimates of each group, a row for each of STARTS."""
     used = _used(rows.columns)
-    scale = _consistency(len(used))
-    near = rows.join(_factored(estimates), "g").withColumn("d", _distance(used))
-    bins = near.groupBy("g", F.floor(F.log(F.col("d") + 1e-9) * BINS).alias("bin")).agg(
-        F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(used)],
-        *[F.sum(F.col(used[i]) * F.col(used[j])).alias(f"q{i}{j}") for i, j in _pairs(len(used))],
+    d = len(used)
+    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, f in enumerate(used)])
+    quartiles = quartiles.select(
+        "g", *[F.col(f"p{i}")[1].alias(f"mid{i}") for i in range(d)],
+        *[F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(COUNTED_FLOOR if f in COUNTED else FLOOR)).alias(f"wide{i}") for i, f in enumerate(used)],
     )
-    # whole bins, from the nearest, until they hold enough
-    ranked = bins.selectExpr("*", "sum(n) over (partition by g order by bin) - n as before", "sum(n) over (partition by g) as whole")
-    kept = ranked.where(f"before < {KEEP} * whole").groupBy("g").agg(
-        F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(used))], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in _pairs(len(used))]
+    z = rows.join(quartiles, "g").select("g", *used, *[((F.col(f) - F.col(f"mid{i}")) / F.col(f"wide{i}")).alias(f"z{i}") for i, f in enumerate(used)])
+    norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, d)), F.col("z0") * F.col("z0")))
+    seen = z.withColumn("norm", F.greatest(norm, F.lit(1e-9))).select("g", F.explode(F.array(
+        F.struct(F.lit(1).alias("s"), *[F.col(f).alias(f) for f in used]),
+        F.struct(F.lit(2).alias("s"), *[F.tanh(f"z{i}").alias(f) for i, f in enumerate(used)]),
+        F.struct(F.lit(3).alias("s"), *[(F.col(f"z{i}") / F.col("norm")).alias(f) for i, f in enumerate(used)]),
+    )).alias("x")).select("g", "x.*", F.lit(1.0).alias("weight"))
+    shape = _estimate(seen.groupBy("g", "s").agg(*_moments(used)), d)
+    # the last two give correlations alone: places and widths are the quartiles'
+    shape = shape.join(quartiles, "g")
+    width = lambda i: F.sqrt(F.greatest(F.col(f"c{i}{i}"), F.lit(1e-12)))
+    shaped = shape.select(
+        "g", "s", *[F.when(F.col("s") == 1, F.col(f"m{i}")).otherwise(F.col(f"mid{i}")).alias(f"m{i}") for i in range(d)],
+        *[F.when(F.col("s") == 1, F.col(f"c{i}{j}")).otherwise(
+            F.col(f"c{i}{j}") / (width(i) * width(j)) * F.col(f"wide{i}") * F.col(f"wide{j}")).alias(f"c{i}{j}") for i, j in _pairs(d)],
     )
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(len(used))]
-    return kept.select(
-        "g", *[mean[i].alias(f"m{i}") for i in range(len(used))],
-        *[(scale * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j])).alias(f"c{i}{j}") for i, j in _pairs(len(used))],
+    alone = quartiles.select(
+        "g", F.lit(0).alias("s"), *[F.col(f"mid{i}").alias(f"m{i}") for i in range(d)],
+        *[(F.col(f"wide{i}") * F.col(f"wide{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs(d)],
     )
+    return alone.unionByName(shaped)
+
+
+def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Mean and covariance of the nearest KEEP of each group, from each estimate."""
+    used = _used(rows.columns)
+    d = len(used)
+    near = rows.join(_factored(estimates), "g").withColumn("d", _distance(used)).withColumn("weight", F.lit(1.0))
+    bins = near.groupBy("g", "s", F.floor(F.log(F.col("d") + 1e-9) * BINS).alias("bin")).agg(*_moments(used))
+    # bins from the nearest until they hold KEEP of the rows; the last counts in part
+    ranked = bins.selectExpr("*", "sum(n) over (partition by g, s order by bin) - n as before", "sum(n) over (partition by g, s) as whole")
+    share = F.least(F.lit(1.0), (KEEP * F.col("whole") - F.col("before")) / F.col("n"))
+    sums = [c for c in bins.columns if c not in ("g", "s", "bin")]
+    kept = ranked.withColumn("share", share).where("share > 0").groupBy("g", "s").agg(*[F.sum(F.col("share") * F.col(c)).alias(c) for c in sums])
+    return _estimate(kept, d, _consistency(d))
+
+
+def least_determinant(scratch: Scratch, rows: DataFrame, steps: int) -> DataFrame:
+    """`g, e`: of the estimates after each step from each start, the one of least determinant; of equal ones the first start's and step's."""
+    estimates, found = scratch.staged(_starts(rows)), []
+    for i in range(steps):
+        estimates = scratch.staged(_step(rows, estimates))
+        found.append(_factored(estimates).withColumn("step", F.lit(i)))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("g").agg(F.min_by("e", F.struct(F.round("size", 6), "s", "step")).alias("e"))
 
 
 def quality_verdicts(
@@ -158,28 +206,31 @@ def quality_verdicts(
     base_failed: fewer than least_words words, or 100 * n_repeat_words > most_repeat * n_words. The other documents are
     estimated per (lang, source), null being a value of its own; a group under least_group is judged by the estimate of
     its whole language, and if that is smaller too, of the whole table (in a table under least_group there is none: null
-    distance, all kept). A document is rejected
-    if its squared distance is beyond the chi-squared quantile of 1 - tail. Null and blank texts fail the base rules.
-    Repeated rows are judged each and weigh in as many times.
+    distance, all kept). A document is rejected if its squared distance is beyond the chi-squared quantile of 1 - tail.
+    Null and blank texts fail the base rules. Very long texts are read whole. Documents of equal distance share their
+    verdict; repeated rows are judged each and weigh in as many times. An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
-    stats = staged(transformed(word_statistics(docs, doc_id=doc_id, text=text, lang=lang, source=source)).withColumn(
-        "base_failed", F.expr(f"n_words < {least_words} or 100 * n_repeat_words > {most_repeat} * n_words")
-    ))
+    with Scratch(docs.sparkSession) as scratch:
+        stats = scratch.staged(transformed(word_statistics(docs, doc_id=doc_id, text=text, lang=lang, source=source)).withColumn(
+            "base_failed", F.expr(f"n_words < {least_words} or 100 * n_repeat_words > {most_repeat} * n_words")
+        ))
+        return cut(_judged(scratch, stats, steps, least_group, tail))
+
+
+def _judged(scratch: Scratch, stats: DataFrame, steps: int, least_group: int, tail: float) -> DataFrame:
     counts = stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    per_lang = counts.groupBy("lang").agg(F.sum("n").alias("of_lang"))
-    counts = counts.join(per_lang, "lang").crossJoin(counts.agg(F.sum("n").alias("of_all")))
+    counts = scratch.staged(counts.join(counts.groupBy("lang").agg(F.sum("n").alias("of_lang")), "lang"))
+    of_all = counts.agg(F.sum("n")).first()[0] or 0
     # the estimate that judges each group: its own, its language's or the table's
-    level = F.when(F.col("n") >= least_group, 0).when(F.col("of_lang") >= least_group, 1).when(F.col("of_all") >= least_group, 2)
+    level = F.when(F.col("n") >= least_group, 0).when(F.col("of_lang") >= least_group, 1).when(F.lit(of_all >= least_group), 2)
     name = [F.xxhash64(F.lit(0), "lang", "source"), F.xxhash64(F.lit(1), "lang"), F.xxhash64(F.lit(2))]
     g = F.when(level == 0, name[0]).when(level == 1, name[1]).when(level == 2, name[2])
-    named = staged(counts.select("lang", "source", g.alias("g")).where("g is not null"))
+    named = scratch.staged(counts.select("lang", "source", g.alias("g")).where("g is not null"))
     # every group is part of its own estimate, its language's and the table's, so far as these judge any
     parts = counts.select("lang", "source", F.explode(F.array(*name)).alias("g")).join(named.select("g").distinct(), "g", "left_semi")
     rows = stats.where("not base_failed").join(parts, ["lang", "source"]).select("g", *FEATURES)
-    estimates = staged(_start(rows))
-    for _ in range(steps):
-        estimates = staged(_step(rows, estimates))
-    judged = stats.join(named, ["lang", "source"], "left").join(_factored(estimates), "g", "left")
+    judged = stats.join(named, ["lang", "source"], "left").join(least_determinant(scratch, rows, steps), "g", "left")
     bound = _quantile(1 - tail, len(FEATURES))
     distance = F.when(~F.col("base_failed"), _distance())
     return judged.select(

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from corpusloom.llm import (
     decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, secrets, secrets_sql, token_counts, toxicity, url_filter,
 )
+from corpusloom.session import Scratch
 
 SPACE = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k string, h string, x int, g string, token string, line int"
@@ -304,24 +305,78 @@ def test_quality_statistics_and_outliers(docs, local):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_covariance_steps_equal_numpy(spark):
-    rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(0, 1, (300, 4)), rng.normal(8, 0.2, (30, 4))])
-    rows = spark.createDataFrame([("a", *map(float, r)) for r in x], "g string, f0 double, f1 double, f2 double, f3 double")
-    e = quality_rules._start(rows)
-    for _ in range(4):
-        before = e.first().asDict()
-        e = quality_rules._step(rows, e)
-    m = np.array([before[f"m{i}"] for i in range(4)])
-    c = np.array([[before[f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)]) + np.eye(4) * quality_rules.FLOOR**2
-    d = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
-    bins = np.floor(np.log(d + 1e-9) * quality_rules.BINS)
-    last = next(b for b in np.unique(bins) if (bins <= b).sum() >= quality_rules.KEEP * len(x))
-    near = x[bins <= last]
-    got = e.first().asDict()
-    assert np.allclose([got[f"m{i}"] for i in range(4)], near.mean(0))
-    assert np.allclose(got["c10"], quality_rules.CONSISTENCY * np.cov(near.T, bias=True)[1, 0])
-    assert max(abs(near).max(1)) < 6  # the planted cluster is outside
+def floored(c, floors):
+    """Log determinant and inverse of a covariance whose diagonal is at least the floor's square."""
+    c = c.copy()
+    c[np.diag_indices(len(c))] = np.maximum(np.diag(c), np.square(floors))
+    return np.linalg.slogdet(c)[1], np.linalg.inv(c)
+
+
+def plain_starts(x, floors):
+    """The four first estimates of centre and covariance, in numpy."""
+    q = np.sort(x, axis=0)[[int(np.ceil(len(x) * p)) - 1 for p in (0.25, 0.5, 0.75)]]
+    mid, wide = q[1], np.maximum((q[2] - q[0]) / 1.349, floors)
+    z = (x - mid) / wide
+    yield mid, np.diag(wide**2)
+    yield x.mean(0), np.cov(x.T, bias=True)
+    for y in (np.tanh(z), z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)):
+        yield mid, np.corrcoef(y.T) * np.outer(wide, wide)
+
+
+def plain_least_determinant(x, floors, steps=4):
+    """Concentration steps on the nearest three quarters, exactly so many rows; of all starts and steps the least determinant."""
+    h = int(np.ceil(quality_rules.KEEP * len(x)))
+    best = None
+    for m, c in plain_starts(x, floors):
+        for _ in range(steps):
+            d = np.einsum("ni,ij,nj->n", x - m, floored(c, floors)[1], x - m)
+            near = x[np.argsort(d, kind="stable")[:h]]
+            m, c = near.mean(0), quality_rules._consistency(x.shape[1]) * np.cov(near.T, bias=True)
+            size = floored(c, floors)[0]
+            if best is None or size < best[0] - 1e-9:
+                best = size, m, c
+    return best
+
+
+FLOORS = np.array([quality_rules.COUNTED_FLOOR if f in quality_rules.COUNTED else quality_rules.FLOOR for f in quality_rules.FEATURES])
+
+
+@pytest.mark.parametrize("planted", [0, 90])
+def test_least_determinants_equal_numpy(spark, planted):
+    rng = np.random.default_rng(5 + planted)
+    mix = rng.normal(0, 1, (5, 5))
+    x = np.vstack([rng.normal(0, 1, (400 - planted, 5)) @ mix, rng.normal(12, 0.3, (planted, 5))])
+    rows = spark.createDataFrame([("a", *map(float, r)) for r in x], "g string, f0 double, f1 double, f2 double, f3 double, f4 double")
+    want_size, want_m, want_c = plain_least_determinant(x, FLOORS)
+    with Scratch(spark) as scratch:
+        e = quality_rules.least_determinant(scratch, rows, 4).first()["e"].asDict()
+    got = np.array([[e.get(f"l{i}{j}", 0.0) for j in range(5)] for i in range(5)])
+    assert abs(2 * np.log(np.diag(got)).sum() - want_size) < 0.05
+    assert np.allclose([e[f"m{i}"] for i in range(5)], want_m, atol=0.1) and np.allclose(got @ got.T, want_c, rtol=0.1, atol=0.1)
+    # and no worse than the best of many random starts
+    random = []
+    for _ in range(60):
+        near = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(10):
+            m, c = near.mean(0), np.cov(near.T, bias=True)
+            d = np.einsum("ni,ij,nj->n", x - m, floored(c, FLOORS)[1], x - m)
+            near = x[np.argsort(d)[: int(np.ceil(quality_rules.KEEP * len(x)))]]
+        random.append(floored(quality_rules._consistency(5) * np.cov(near.T, bias=True), FLOORS)[0])
+    assert want_size < min(random) + 0.1
+
+
+def test_quality_verdicts_equal_numpy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").withColumn("source", F.lit("one"))
+    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(docs).collect()}
+    stats = quality_rules.transformed(quality_rules.word_statistics(docs)).toPandas()
+    stats = stats[[not got[i]["base_failed"] for i in stats["doc_id"]]]
+    x = stats[list(quality_rules.FEATURES)].to_numpy()
+    _, m, c = plain_least_determinant(x, FLOORS)
+    d = np.einsum("ni,ij,nj->n", x - m, floored(c, FLOORS)[1], x - m)
+    bound = quality_rules._quantile(1 - 1e-3, 5)
+    kept = np.array([got[i]["kept"] for i in stats["doc_id"]])
+    clear = abs(d / bound - 1) > 0.1  # the border bin counts in part here and by rows there
+    assert clear.mean() > 0.98 and (kept == (d <= bound))[clear].all() and 0 < kept.mean() < 1
 
 
 def test_quality_outliers_by_one_statistic_and_in_small_groups(spark):
