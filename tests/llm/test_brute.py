@@ -1,5 +1,6 @@
 """Plain Python versions of the language, url, toxicity and packing operators and of the pipeline's stages."""
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpusloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, toxicity, url_filter
+from corpusloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity, url_filter
+from corpusloom.session import ensure_checkpoint_dir
 
 SPACE = r"[^\x20\x09-\x0D]+"
 ODD_NAMES = ("_key", "_k", "_h", "_hash", "_bad", "_kept", "_new", "row", "k", "hash", "kept", "text_hash", "h", "w", "x", "line")
@@ -329,3 +331,17 @@ def test_each_stage_of_the_pipeline_equals_plain_python(spark, sf):
             assert r["start"] == at and r["doc_tokens"] == len(ids[i]) and r["ids_crc32"] == zlib.crc32(part)
             at += r["length"]
         assert at == len(ids[i])
+
+
+def test_nothing_staged_is_left(spark, sf):
+    docs, pages = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "pages"))
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    staged = lambda: sorted(x for x in os.listdir(folder) if x.startswith("staged-"))
+    before = staged()
+    language_id.identify_language(docs, declared=F.col("lang"), host=F.col("source")).count()
+    url_filter.filter_urls(pages).count()
+    quality_rules.quality_verdicts(docs).count()
+    with pytest.raises(Exception, match="broken"):
+        quality_rules.quality_verdicts(docs.withColumn("text", F.raise_error(F.lit("broken")).cast("string"))).count()
+    assert staged() == before
