@@ -7,11 +7,13 @@ word within their first n - ceil(0.8 n) + 1.
 1. Equal sets are one, placed where it is met first. The sets lie in a table bucketed by their hash; they are shuffled once.
 2. Every set is posted at its prefix words. Postings of a word meet in a semi-join, filtered by length, by position (what
    can still be common behind the places of the word) and by a 128-bit parity sketch, which the symmetric difference
-   bounds. It stops at the first partner, so it puts out each posting once at most, however large a group is.
+   bounds. It stops at the first partner, so it puts out each posting once at most, however large a group is. A word
+   with over HOT postings is none by itself: two sets that share it first share a second word too, within one place more,
+   and meet at such a pair of words.
 3. Of what is left, each set is verified (exact Jaccard) with the earliest set at the same word: one pair a set and
    leader. Sets that no leader matches are then probed against all earlier ones, again up to the first match.
 
-Intermediate tables are dropped as soon as they have been read.
+Intermediate tables are dropped at the end, by an error too; the numbers of the kept lines stay, as they are the result.
 """
 from __future__ import annotations
 
@@ -21,12 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, staged
 from .keys import doc_key, texts, whole_rows
 
 #: Words are counted by the low bits of their hash, in a table of fixed size; those that share a slot share a class. That
 #: moves them in the order, which is one order for all lines all the same.
 SLOTS = 1 << 17
+#: A word with more postings than this is posted in pairs with the words after it.
+HOT = 1024
 #: Sets of so many words have the wide sketch.
 WIDE = 80
 
@@ -68,7 +72,8 @@ def rarity_classes(sets: DataFrame) -> list[int]:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """`h, n, p, q, prefix`: of each set that can match another, its size, its sketch and its first words.
+    """`h, n, p, q, prefix, next`: of each set that can match another, its size, its sketch and its first words; `next` is
+    the word after them where one of them may be hot by its class, else null.
 
     A word is its class above 56 bits of its hash here, so that its order is the order by rarity. Words that share both
     only cost a verification more. Parity sketch: each word flips one of 128 bits, the lower half in p, the upper in q;
@@ -82,13 +87,34 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     prefix = f"slice(r, 1, int(n - (n * {percent} + 99) div 100 + 1))"
     found = sets.where(may_differ(F.size("w"), percent)).select("h", "w", F.size("w").alias("n"))
     found = found.select("h", "n", F.expr(p).alias("p"), F.expr(q).alias("q"), F.sort_array(ranked).alias("r"))
-    return found.select("h", "n", "p", "q", F.expr(prefix).alias("prefix"))
+    found = found.select("h", "n", "p", "q", "r", F.expr(prefix).alias("prefix"))
+    may_be_hot = F.expr("element_at(prefix, -1)") >= F.lit(int(2 * math.log2(HOT)) << 56)
+    following = F.coalesce(F.get("r", F.size("prefix")), F.lit(0))
+    return found.select("h", "n", "p", "q", "prefix", F.when(may_be_hot, following).alias("next"))
 
 
-def postings(found: DataFrame) -> DataFrame:
-    """`h, x, p, q, at`: a row for each prefix word x; `at` holds the set's size and the place of x in it."""
-    posted = found.select("h", "n", "p", "q", F.posexplode("prefix").alias("i", "x"))
-    return posted.select("h", "x", "p", "q", F.expr("(bigint(least(n, 65535)) << 16) | least(i, 65535)").alias("at"))
+def hot_words(found: DataFrame) -> DataFrame:
+    """`x, hot`: the words with over HOT postings; only those of a class that frequent are counted."""
+    posted = found.where("next is not null").select(F.explode("prefix").alias("x"))
+    posted = posted.where(F.col("x") >= F.lit(int(2 * math.log2(HOT)) << 56)).groupBy("x").count()
+    return posted.where(F.col("count") > HOT).select("x", F.lit(True).alias("hot"))
+
+
+def postings(found: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """`h, x, p, q, at`: a row for each prefix word x, or for each pair of a hot one and a word after it, up to `next`; `at`
+    holds the set's size and the place of the first of them.
+
+    The l-th word that two matching sets share is within n - ceil(0.8 n) + l of either, so that they meet at the first
+    or, if that is hot, at the first two. Sets so small that one common word may do are posted at both.
+    """
+    at = "(bigint(least(n, 65535)) << 16) | least(i, 65535)"
+    rare = found.where("next is null").select("h", "n", "p", "q", F.posexplode("prefix").alias("i", "x"))
+    rare = rare.selectExpr("h", "x", "p", "q", f"{at} as at")
+    mixed = found.where("next is not null").select("h", "n", "p", "q", "prefix", "next", F.posexplode("prefix").alias("i", "x"))
+    pairs = "transform(array_append(slice(prefix, i + 2, size(prefix)), next), y -> xxhash64(x, y))"
+    keys = f"if(hot is null, array(x), if(n * {percent} > 100, {pairs}, array_append({pairs}, x)))"
+    mixed = mixed.join(hot, "x", "left").select("h", F.explode(F.expr(keys)).alias("key"), "p", "q", F.expr(at).alias("at"))
+    return rare.unionByName(mixed.withColumnRenamed("key", "x"))
 
 
 def _near(percent: int) -> str:
@@ -117,36 +143,36 @@ def _alike(percent: int) -> str:
 
 def kept_lines(rows: DataFrame, percent: int, least: int) -> DataFrame:
     """`(k, line)` of the lines that stay, of those with at least `least` words."""
-    scratch = Scratch(rows.sparkSession)
-    sets = scratch.bucketed(line_sets(rows, least), "h")
-    found = scratch.staged(prefixes(sets, percent))
-    near = F.expr(_near(percent))
-    # both sides have the same columns, so that they are one shuffle
-    some = scratch.staged(postings(found).alias("a").join(postings(found).alias("b").hint("merge"), near, "left_semi"))
-    scratch.drop(found)
-    # from here on only sets that have a partner matter
-    table = scratch.bucketed(sets.join(some.select("h").distinct().hint("merge"), "h", "left_semi"), "h")
-    met = scratch.staged(some.join(table.select("h", "k", "line").hint("merge"), "h"))
-    words = table.select("h", "w").hint("merge")
-    # most match the earliest one at a word: a pair for each set and leader, not for each two sets
-    first = met.groupBy("x").agg(F.min(F.struct("k", "line", "h", "p", "q", "at")).alias("m"))
-    first = first.select("x", "m.h", "m.p", "m.q", "m.at").alias("b").hint("merge")
-    led = met.alias("a").join(first, near).select(F.col("a.h").alias("h"), F.col("b.h").alias("g"))
-    pairs = led.groupBy("h").agg(F.collect_set("g").alias("g")).join(words, "h")
-    leaders = words.withColumnRenamed("h", "g").hint("merge")
-    pairs = pairs.select("h", "w", F.explode("g").alias("g")).alias("a").join(leaders.alias("b"), "g")
-    gone = scratch.staged(pairs.where(_alike(percent)).select("h").distinct())
-    # the others are probed against all earlier sets at the same word, up to the first match
-    follows = f"{_near(percent)} and (b.k < a.k or b.k = a.k and b.line < a.line)"
-    left = met.join(gone.hint("merge"), "h", "left_anti").alias("a")
-    left = scratch.staged(left.join(met.alias("b").hint("merge"), F.expr(follows), "left_semi"))
-    right = met.alias("b").join(left.alias("a").hint("merge"), F.expr(follows), "left_semi").join(words, "h")
-    match = F.expr(f"{follows} and {_alike(percent)}")
-    more = left.join(words, "h").alias("a").join(right.alias("b").hint("merge"), match, "left_semi")
-    kept = sets.select("h", "k", "line").join(gone.unionByName(more.select("h")).distinct().hint("merge"), "h", "left_anti")
-    kept = scratch.staged(kept.select("k", "line"))
-    scratch.drop(sets, some, table, met, gone, left)
-    return kept
+    with Scratch(rows.sparkSession) as scratch:
+        sets = scratch.bucketed(line_sets(rows, least), "h")
+        found = scratch.staged(prefixes(sets, percent))
+        near = F.expr(_near(percent))
+        # both sides have the same columns, so that they are one shuffle
+        hot = scratch.staged(hot_words(found))
+        a, b = (postings(found, hot, percent).alias(side) for side in "ab")
+        some = scratch.staged(a.join(b.hint("merge"), near, "left_semi"))
+        scratch.drop(found, hot)
+        # from here on only sets that have a partner matter
+        table = scratch.bucketed(sets.join(some.select("h").distinct().hint("merge"), "h", "left_semi"), "h")
+        met = scratch.staged(some.join(table.select("h", "k", "line").hint("merge"), "h"))
+        words = table.select("h", "w").hint("merge")
+        # most match the earliest one at a word: a pair for each set and leader, not for each two sets
+        first = met.groupBy("x").agg(F.min(F.struct("k", "line", "h", "p", "q", "at")).alias("m"))
+        first = first.select("x", "m.h", "m.p", "m.q", "m.at").alias("b").hint("merge")
+        led = met.alias("a").join(first, near).select(F.col("a.h").alias("h"), F.col("b.h").alias("g"))
+        pairs = led.groupBy("h").agg(F.collect_set("g").alias("g")).join(words, "h")
+        leaders = words.withColumnRenamed("h", "g").hint("merge")
+        pairs = pairs.select("h", "w", F.explode("g").alias("g")).alias("a").join(leaders.alias("b"), "g")
+        gone = scratch.staged(pairs.where(_alike(percent)).select("h").distinct())
+        # the others are probed against all earlier sets at the same word, up to the first match
+        follows = f"{_near(percent)} and (b.k < a.k or b.k = a.k and b.line < a.line)"
+        left = met.join(gone.hint("merge"), "h", "left_anti").alias("a")
+        left = scratch.staged(left.join(met.alias("b").hint("merge"), F.expr(follows), "left_semi"))
+        right = met.alias("b").join(left.alias("a").hint("merge"), F.expr(follows), "left_semi").join(words, "h")
+        match = F.expr(f"{follows} and {_alike(percent)}")
+        more = left.join(words, "h").alias("a").join(right.alias("b").hint("merge"), match, "left_semi")
+        kept = sets.select("h", "k", "line").join(gone.unionByName(more.select("h")).distinct().hint("merge"), "h", "left_anti")
+        return staged(kept.select("k", "line"))
 
 
 def _judged(rows: DataFrame, percent: int, least: int) -> DataFrame:

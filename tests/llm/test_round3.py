@@ -10,7 +10,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from corpusloom.llm import importance, lexical_search, lexical_sql, substring_dedup
+from corpusloom.llm import importance, lexical_search, lexical_sql, line_dedup, substring_dedup
+from corpusloom.llm.keys import texts
 from corpusloom.session import Scratch
 
 SCHEMA = "doc_id long, text string"
@@ -227,3 +228,40 @@ def test_run_gives_the_rows_of_its_stages(spark, sf):
     assert sorted(map(tuple, got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) == want != []
     spans = sorted((r.sequence_id, r.offset, r.length) for r in got.collect())
     assert all(b == 0 if x != y else b == a + n for (x, a, n), (y, b, _) in zip(spans, spans[1:]))
+
+
+def test_hot_words_meet_in_pairs(spark, monkeypatch):
+    """Lines over few words, one of them in half of all lines: results as in plain Python, no key as large as before."""
+    monkeypatch.setattr(line_dedup, "HOT", 16)
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(24)]
+    docs, seen, want = [], [], {}
+    for i in range(60):
+        lines = []
+        for j in range(12):
+            line = pick.sample(words, pick.choice((1, 4, 5, 6, 8, 12))) + ["common"] * pick.randint(0, 1)
+            s = set(line)
+            if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                want.setdefault(i, []).append(j)
+            seen.append(s)
+            lines.append(" ".join(line))
+        docs.append((i, "\n".join(lines)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: [int(x) for x in r["removed"].split(",")] for r in line_dedup.line_report(d, least=1).collect() if r["removed"]}
+    assert got == want
+    found = line_dedup.prefixes(line_dedup.line_sets(texts(d), 1), 80).cache()
+    largest = lambda rows: rows.groupBy("x").count().agg({"count": "max"}).first()[0]
+    hot = line_dedup.hot_words(found)
+    single = line_dedup.postings(found, hot.where("false"), 80)
+    assert hot.count() > 0 and 2 * largest(line_dedup.postings(found, hot, 80)) < largest(single)
+
+
+def test_hot_words_of_sets_that_one_word_links(spark, monkeypatch):
+    """At 50 percent one common word links two short lines: they meet at it even if it is hot."""
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    docs = [(0, "a"), (1, "a b"), (2, "a c d"), (3, "a e f g"), (4, "a b c d e"), (5, "x a"), (6, "y a z q"), (7, "y z a b c")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = [set(t.split()) for _, t in docs]
+    want = {i for i in range(8) if any(2 * len(sets[i] & o) >= len(sets[i] | o) for o in sets[:i])}
+    got = {r["doc_id"] for r in line_dedup.line_report(d, least=1, percent=50).collect() if r["removed"]}
+    assert got == want
