@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import Scratch, cut
 from .components import connected_components
 from .keys import doc_key, rows_back, texts, whole_rows
 from .shingles import WordHashes, shingle_set
@@ -154,7 +154,7 @@ def _links(sides: list[int], hashes: list[int], sets: list[np.ndarray], percent:
     return out
 
 
-def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+def near_links(scratch: Scratch, docs: DataFrame, sets: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """`(u, v)`: verified links between set hashes, enough of them to connect all that are connected."""
     reps = sets.where("n > 0").groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"))
     token = sets.where("prefix is not null").select("h", F.explode("prefix").alias("token"))
@@ -162,14 +162,14 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: in
         "token", "h", "min(h) over (partition by token) as low", "max(h) over (partition by token) as high",
         "count(*) over (partition by token) as f",
     )
-    met = staged(met.where("low < high").drop("high").distinct())
+    met = scratch.staged(met.where("low < high").drop("high").distinct())
     # groups of similar documents, named by the leader met most; dealt into blocks of about `block` shingles
     member = met.groupBy("h", "low").agg(F.count("*").alias("c"))
     member = member.groupBy("h").agg(F.sum("c").alias("c"), F.max_by("low", F.struct("c", "low")).alias("g"))
     need = F.expr(f"(n * {percent} + {100 * SLACK - 1}) div {100 * SLACK}")
     member = member.join(reps, "h").withColumn("need", need).where("c >= need")
     size = member.groupBy("g").agg(F.ceil(F.sum("n") / F.lit(block)).alias("parts"))
-    member = staged(
+    member = scratch.staged(
         member.join(size, "g").select("h", "k", "need", F.xxhash64("g", F.pmod(F.xxhash64("h"), F.col("parts"))).alias("b"))
     )
     mine = met.join(member.select("h", "b", "need").hint("merge"), "h").selectExpr(
@@ -179,7 +179,7 @@ def near_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, block: in
     # queries against the matrix: how much of the prefix each group holds
     hits = mine.where("i > r").join(matrix, "token").where("b <> c or m > 1")
     hits = hits.groupBy("h", "b", "c").agg(F.count("*").alias("n"), F.first(F.col("need") - F.col("r")).alias("need"))
-    hits = staged(
+    hits = scratch.staged(
         hits.where("n >= need")
         .select("h", F.xxhash64(F.least("b", "c"), F.greatest("b", "c")).alias("pair"), F.expr("int(b > c)").alias("side"))
     )
@@ -239,16 +239,17 @@ def ngram_jaccard_classes(
     empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = texts(docs, doc_id, text)
-    sets = staged(shingle_sets(rows, k, percent))
-    links = near_links(rows, sets, k, percent, block)
-    roots = connected_components(links)
-    found = sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("i"), F.min("k").alias("j"))
-    found = found.join(roots, found.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"), "i", "j")
-    named = found.groupBy("root").agg(F.coalesce(F.min("i"), F.min("j")).alias("component_id"))
-    found = found.join(named, "root").select("h", "component_id")
-    empty = sets.where("n = 0").select("k", "doc_id", "n", F.col("k").alias("component_id"))
-    full = sets.where("n > 0").join(found, "h").select("k", "doc_id", "n", "component_id")
-    return full.unionByName(empty).withColumnRenamed("n", "n_shingles")
+    with Scratch(docs.sparkSession) as scratch:
+        sets = scratch.staged(shingle_sets(rows, k, percent))
+        links = near_links(scratch, rows, sets, k, percent, block)
+        roots = connected_components(links)
+        found = sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("i"), F.min("k").alias("j"))
+        found = found.join(roots, found.h == roots.node, "left").select("h", F.coalesce("root", "h").alias("root"), "i", "j")
+        named = found.groupBy("root").agg(F.coalesce(F.min("i"), F.min("j")).alias("component_id"))
+        found = found.join(named, "root").select("h", "component_id")
+        empty = sets.where("n = 0").select("k", "doc_id", "n", F.col("k").alias("component_id"))
+        full = sets.where("n > 0").join(found, "h").select("k", "doc_id", "n", "component_id")
+        return cut(full.unionByName(empty).withColumnRenamed("n", "n_shingles"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
