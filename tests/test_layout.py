@@ -310,3 +310,27 @@ def test_a_model_that_is_away_gives_no_scores(spark):
 
     pairs = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c")], "query string, text string").coalesce(1)
     assert [r["rerank"] for r in hooks.rerank(pairs, away, batch=2).collect()] == [None] * 3
+
+
+def test_daily_quota_calls_python_once_an_identity(spark, tmp_path, rocksdb):
+    """A call for each identity of a trigger, not for each feature and day; and a trigger may outlast any fixed time."""
+    calls, start = spark.sparkContext.accumulator(0), datetime.datetime(2024, 5, 1)
+    own = policy._rows
+
+    def counted(frames):
+        calls.add(1)
+        return own(frames)
+
+    rows = [(i, i % 2, f"f{i // 2 % 3}", start + datetime.timedelta(days=i // 6 % 4, seconds=i)) for i in range(240)]
+    for n in range(2):  # the second trigger goes on from the state of the first
+        _put(spark, str(tmp_path / "in"), n, rows[n * 120 : n * 120 + 120])
+    policy._rows = counted
+    try:
+        decided = policy.daily_quota_stream(_stream(spark, str(tmp_path / "in"), EVENT), F.lit(7))
+        policy.drain(decided.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start())
+    finally:
+        policy._rows = own
+    got = {r.event_id: (r.day, r.allowed, r.remaining) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = usage.quota_decisions(spark.createDataFrame(rows, EVENT), F.lit(7)).collect()
+    assert got == {r.event_id: (r.day, r.allowed, r.remaining) for r in batch}
+    assert calls.value == 4 and policy.drain.__defaults__ == (float("inf"),)
