@@ -334,3 +334,14 @@ def test_daily_quota_calls_python_once_an_identity(spark, tmp_path, rocksdb):
     batch = usage.quota_decisions(spark.createDataFrame(rows, EVENT), F.lit(7)).collect()
     assert got == {r.event_id: (r.day, r.allowed, r.remaining) for r in batch}
     assert calls.value == 4 and policy.drain.__defaults__ == (float("inf"),)
+
+
+def test_term_frequencies_are_counted_in_the_row(spark):
+    """No shuffle and no aggregate where ids are unique; repeated ids are summed."""
+    rows = [(1, "Alpha beta alpha the beta-alpha"), (2, "the of"), (3, None), (4, ""), (5, "gamma"), (6, "x alpha\nGamma")]
+    unique = index.term_frequencies(spark.createDataFrame(rows, "id long, text string"), LATIN)
+    want = {(1, "alpha"): 3, (1, "beta"): 2, (5, "gamma"): 1, (6, "alpha"): 1, (6, "gamma"): 1}
+    assert {(r.id, r.word): r.tf for r in unique.collect()} == want and unique.count() == len(want)
+    assert "Exchange" not in plan(unique) and "Aggregate" not in plan(unique) and dict(unique.dtypes)["tf"] == "bigint"
+    twice = index.term_frequencies(spark.createDataFrame([*rows, (1, "alpha delta")], "id long, text string"), LATIN)
+    assert {(r.id, r.word): r.tf for r in twice.collect()} == want | {(1, "alpha"): 4, (1, "delta"): 1} and twice.count() == len(want) + 1
