@@ -8,7 +8,7 @@ word within their first n - ceil(0.8 n) + 1.
 2. Every set is posted at its prefix words. Postings of a word meet in a semi-join, filtered by length, by position (what
    can still be common behind the places of the word) and by a 128-bit parity sketch, which the symmetric difference
    bounds. It stops at the first partner, so it puts out each posting once at most, however large a group is. A word
-   with over HOT postings is none by itself: two sets that share it first share a second word too, within one place more,
+   with many postings (HOT) is none by itself: two sets that share it first share a second word too, within one place more,
    and meet at such a pair of words.
 3. Of what is left, each set is verified (exact Jaccard) with the earliest set at the same word: one pair a set and
    leader. Sets that no leader matches are then probed against all earlier ones, again up to the first match.
@@ -29,8 +29,9 @@ from .keys import doc_key, texts, whole_rows
 #: Words are counted by the low bits of their hash, in a table of fixed size; those that share a slot share a class. That
 #: moves them in the order, which is one order for all lines all the same.
 SLOTS = 1 << 17
-#: A word with more postings than this is posted in pairs with the words after it.
-HOT = 1024
+#: A word with more postings than this is posted in pairs with the words after it; over STEADY sets the number grows with
+#: their square root, since pairs are more rows: a set of n prefix words has up to n * (n + 1) / 2.
+HOT, STEADY = 4096, 400_000
 #: Sets of so many words have the wide sketch.
 WIDE = 80
 
@@ -79,8 +80,10 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     only cost a verification more. Parity sketch: each word flips one of 128 bits, the lower half in p, the upper in q;
     for sets of under WIDE words the halves lie on each other in p.
     """
-    classes = F.from_json(F.lit(json.dumps([c << 56 for c in rarity_classes(sets)])), "array<bigint>")
-    ranked = F.transform("w", lambda x: F.get(classes, x.bitwiseAND(SLOTS - 1).cast("int")).bitwiseOR(x.bitwiseAND((1 << 56) - 1)))
+    # small numbers, since every string of the plan repeats them in the driver
+    classes = F.from_json(F.lit(json.dumps(rarity_classes(sets), separators=(",", ":"))), "array<tinyint>")
+    above = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(SLOTS - 1).cast("int")).cast("bigint"), 56)
+    ranked = F.transform("w", lambda x: above(x).bitwiseOR(x.bitwiseAND((1 << 56) - 1)))
     flip = "s ^ shiftleft(1L, int(x & 63))"
     p = f"if(n < {WIDE}, aggregate(w, 0L, (s, x) -> {flip}), aggregate(w, 0L, (s, x) -> if(x & 64 = 0, {flip}, s)))"
     q = f"if(n < {WIDE}, 0L, aggregate(w, 0L, (s, x) -> if(x & 64 = 0, s, {flip})))"
@@ -94,10 +97,11 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def hot_words(found: DataFrame) -> DataFrame:
-    """`x, hot`: the words with over HOT postings; only those of a class that frequent are counted."""
+    """`x, hot`: the words with over HOT postings (see there for many sets); only those of a class that frequent are counted."""
+    most = HOT * max(1.0, (found.count() / STEADY) ** 0.5)
     posted = found.where("next is not null").select(F.explode("prefix").alias("x"))
     posted = posted.where(F.col("x") >= F.lit(int(2 * math.log2(HOT)) << 56)).groupBy("x").count()
-    return posted.where(F.col("count") > HOT).select("x", F.lit(True).alias("hot"))
+    return posted.where(F.col("count") > most).select("x", F.lit(True).alias("hot"))
 
 
 def postings(found: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
@@ -113,7 +117,8 @@ def postings(found: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     mixed = found.where("next is not null").select("h", "n", "p", "q", "prefix", "next", F.posexplode("prefix").alias("i", "x"))
     pairs = "transform(array_append(slice(prefix, i + 2, size(prefix)), next), y -> xxhash64(x, y))"
     keys = f"if(hot is null, array(x), if(n * {percent} > 100, {pairs}, array_append({pairs}, x)))"
-    mixed = mixed.join(hot, "x", "left").select("h", F.explode(F.expr(keys)).alias("key"), "p", "q", F.expr(at).alias("at"))
+    # hot words are few, one for each HOT postings at most: without a broadcast every set would be shuffled for each prefix word
+    mixed = mixed.join(F.broadcast(hot), "x", "left").select("h", F.explode(F.expr(keys)).alias("key"), "p", "q", F.expr(at).alias("at"))
     return rare.unionByName(mixed.withColumnRenamed("key", "x"))
 
 

@@ -265,3 +265,15 @@ def test_hot_words_of_sets_that_one_word_links(spark, monkeypatch):
     want = {i for i in range(8) if any(2 * len(sets[i] & o) >= len(sets[i] | o) for o in sets[:i])}
     got = {r["doc_id"] for r in line_dedup.line_report(d, least=1, percent=50).collect() if r["removed"]}
     assert got == want
+
+
+def test_hot_words_are_looked_up_without_a_shuffle(spark):
+    """The few hot words go to the sets: otherwise each set is shuffled with its prefix for each of its prefix words."""
+    found = spark.createDataFrame([], "h long, n int, p long, q long, prefix array<long>, next long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        posted = line_dedup.postings(found, spark.createDataFrame([(1, True)], "x long, hot boolean"), 80)
+        assert "SortMergeJoin" not in posted._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
