@@ -345,3 +345,19 @@ def test_term_frequencies_are_counted_in_the_row(spark):
     assert "Exchange" not in plan(unique) and "Aggregate" not in plan(unique) and dict(unique.dtypes)["tf"] == "bigint"
     twice = index.term_frequencies(spark.createDataFrame([*rows, (1, "alpha delta")], "id long, text string"), LATIN)
     assert {(r.id, r.word): r.tf for r in twice.collect()} == want | {(1, "alpha"): 4, (1, "delta"): 1} and twice.count() == len(want) + 1
+
+
+def test_asked_postings_are_those_that_a_search_needs(spark):
+    """Words that equal a term, and of the terms that are no word those that hold it; nothing of other words leaves the scan."""
+    rows = [(i, f"alpha beta{i} alphabet {'alpha ' * (i % 3)}gamma tabetan the") for i in range(12)] + [(12, None), (13, "")]
+    chunks = spark.createDataFrame(rows, "id long, text string").withColumns({"book": F.lit("b")})
+    asked = spark.createDataFrame([(1, "Alpha bet the nothing"), (2, "gamma alpha")], "query_id int, query string")
+    every = index.build_postings(chunks, LATIN, 5)
+    with Scratch(spark) as scratch:
+        got = index.asked_postings(chunks, search.asked_terms(asked, LATIN), LATIN, scratch, 5)
+        want = {tuple(r) for r in every.collect() if r.word in ("alpha", "gamma") or "bet" in r.word}
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+        whole = index.asked_postings(chunks, search.asked_terms(asked, LATIN), LATIN, scratch, 5, most=1)
+        assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in every.collect()}
+        a, b = (search.keyword_scores(asked, x, chunks, LATIN, least_words=1).orderBy("query_id", "id").collect() for x in (got, every))
+        assert a == b and a
