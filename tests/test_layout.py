@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import hooks
+from corpusloom.functions import hooks, translit
 from corpusloom.operators import almanac, index, ivf, pages, phrases, ranks, search, store, usage, vectors, verify
 from corpusloom.plans import registry
 from corpusloom.profiles import DEVANAGARI, LATIN
@@ -361,3 +361,20 @@ def test_asked_postings_are_those_that_a_search_needs(spark):
         assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in every.collect()}
         a, b = (search.keyword_scores(asked, x, chunks, LATIN, least_words=1).orderBy("query_id", "id").collect() for x in (got, every))
         assert a == b and a
+
+
+def test_homoglyphs_are_turned_in_few_passes(spark):
+    """Letters that become one letter or none share a pass; results are those of a replacement for each letter."""
+    texts = ["".join(translit.CYRILLIC) + " " + translit.CYRILLIC.upper() + x for x in (" plain latin text, long enough", " अबकखगघङचछजझञटठडढणतथदधनपफबभमयरलव" * 3)]
+    fixed, n = translit.repair_homoglyphs("t")
+    df = spark.createDataFrame([(t,) for t in [*texts, "as it is", "", None]], "t string").select("t", fixed.alias("f"), n.alias("n"))
+
+    def turned(text, table):
+        for letter, new in table.items():
+            text = text.replace(letter, new).replace(letter.upper(), new)
+        return text
+
+    want = [(turned(texts[0], translit.TO_LATIN), 1), (turned(texts[1], translit.TO_DEVANAGARI), 1), ("as it is", 0), ("", 0), (None, 0)]
+    letters = len(translit.CYRILLIC) * 2
+    assert [(r.f, r.n) for r in df.collect()] == [(t, letters if k else 0) for t, k in want]
+    assert plan(df).count("replace(") < 40
