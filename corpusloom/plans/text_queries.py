@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking as C
+from ..functions import ocr as O
 from ..functions import text as T
 from ..functions import translit as R
 from ..functions.hooks import nfc
@@ -111,7 +112,7 @@ def f01(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f02_clean_ocr_tokens")
 def f02(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).select("id", F.length(T.clean_ocr_tokens("text")).alias("n"), F.length(T.clean_display("text")).alias("n_display"))
+    return chunks(spark, sf).select("id", F.length(O.clean_ocr_tokens("text")).alias("n"), F.length(O.clean_display("text")).alias("n_display"))
 
 
 @query("f04_clean_extracted", rf"""WITH {CHUNKS} SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'),
