@@ -1,9 +1,13 @@
 """Greedy packing of text pieces as folds over arrays: one row a document, so documents spread over the cluster."""
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ocr import stripped
 from .text import Col, _c, strip
 
 
@@ -35,34 +39,37 @@ def chunk_text(c: Col, *, most: int = 1500, least: int = 80, separator: str = r"
 
 def chunk_overlap(c: Col, *, size: int = 1800, overlap: int = 200, separator: str = r"\n\n+") -> Column:
     """Paragraphs over 40 characters, packed to `size`, each chunk opening with the end of the one before; a paragraph
-    over `size` is packed by its sentences, without overlap."""
-    parts = F.filter(paragraphs(c, separator), lambda x: F.length(x) > 40)
-    empty = F.array().cast("array<string>")
-
-    def sentence(acc: Column, s: Column) -> Column:
-        full = (F.length(F.concat(acc["cur"], F.lit(" "), s)) > size) & (acc["cur"] != "")
-        return F.struct(
-            F.when(full | (acc["cur"] == ""), s).otherwise(F.concat(acc["cur"], F.lit(" "), s)).alias("cur"),
-            F.when(full, F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"]).alias("out"),
-        )
-
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.when(acc["cur"] == "", x).otherwise(F.concat(acc["cur"], F.lit("\n\n"), x))
-        flushed = F.when(acc["cur"] != "", F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
-        sentences = F.regexp_extract_all(x, F.lit(r"[^.!?]+[.!?]+"), F.lit(0))
-        by_sentence = F.aggregate(
-            F.when(F.size(sentences) > 0, sentences).otherwise(F.array(x)), F.struct(F.lit("").alias("cur"), flushed.alias("out")), sentence
-        )
-        tail = F.struct(
-            F.concat(F.substr(acc["cur"], F.greatest(F.length(acc["cur"]) - overlap + 1, F.lit(1))), F.lit("\n\n"), x).alias("cur"), flushed.alias("out")
-        )
-        return (
-            F.when((F.length(joined) > size) & (acc["cur"] != ""), tail).when(F.length(x) > size, by_sentence)
-            .otherwise(F.struct(joined.alias("cur"), acc["out"].alias("out")))
-        )
-
-    end = lambda acc: F.when(strip(acc["cur"]) != "", F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
-    return F.aggregate(parts, F.struct(F.lit("").alias("cur"), empty.alias("out")), step, end)
+    over `size` is packed by its sentences, without overlap.
+
+    Over Arrow batches: a fold of columns works every branch's value out anew wherever it is used."""
+    apart, sentence = re.compile(separator), re.compile("[^.!?]+[.!?]+")
+
+    def chunks(text: str) -> list[str]:
+        out, cur = [], ""
+        for x in map(stripped, apart.split(text)):
+            if len(x) <= 40:
+                continue
+            if cur and len(cur) + 2 + len(x) > size:
+                out.append(stripped(cur))
+                cur = (cur[-overlap:] if overlap else "") + "\n\n" + x
+            elif len(x) > size:
+                # no sentence ends behind the last mark: from each place there the pattern would run to the end of the text
+                ended = x[: max(map(x.rfind, ".!?")) + 1]
+                for s in sentence.findall(ended) or [x]:
+                    if cur and len(cur) + 1 + len(s) > size:
+                        out.append(stripped(cur))
+                        cur = s
+                    else:
+                        cur = f"{cur} {s}" if cur else s
+            else:
+                cur = f"{cur}\n\n{x}" if cur else x
+        return out + [stripped(cur)] if stripped(cur) else out
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return run(_c(c))
 
 
 def pack_paragraphs(c: Col, *, most: int = 5000, cap: int = 30_000, separator: str = r"\n\n+") -> Column:

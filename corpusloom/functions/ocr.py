@@ -28,7 +28,7 @@ _PLAIN = re.compile("[a-zA-Zऀ-ॿ \t\n\x0b\f\r.,!?;:\\-'\"/0-9()\\[\\]]+")
 _GAPS = re.compile("\n{3,}")
 
 
-def _strip(t: str) -> str:
+def stripped(t: str) -> str:
     """As text.strip, whose pattern also takes blanks before a last end of line."""
     return t[:-1].strip(BLANK) + t[-1] if t.endswith(ENDS) else t.strip(BLANK)
 
@@ -73,15 +73,15 @@ def _clean_line(line: str) -> str:
 
 def _tokens(text: str) -> str:
     out = []
-    for raw in map(_strip, text.split("\n")):
+    for raw in map(stripped, text.split("\n")):
         new = _clean_line(raw)
         if new or not raw:
             out.append(new)
-    return _strip(_GAPS.sub("\n\n", "\n".join(out)))
+    return stripped(_GAPS.sub("\n\n", "\n".join(out)))
 
 
 def _shown(line: str) -> bool:
-    s = _strip(line)
+    s = stripped(line)
     total = len(s) - sum(map(s.count, BLANK))
     if total < 25 or _NUMBERS.fullmatch(s) or len(_PLAIN.sub("", s)) / total < 0.12:
         return True
@@ -89,7 +89,7 @@ def _shown(line: str) -> bool:
 
 
 def _display(text: str) -> str:
-    lines = [_clean_line(_strip(x)) for x in text.split("\n")]
+    lines = [_clean_line(stripped(x)) for x in text.split("\n")]
     return _GAPS.sub("\n\n", "\n".join([x for x in lines if _shown(x)]))
 
 

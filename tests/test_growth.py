@@ -1,5 +1,7 @@
 """Steps whose cost grew faster than their input: the same results, and the work done once."""
-from corpusloom.functions import ocr
+import time
+
+from corpusloom.functions import chunking, ocr
 from corpusloom.operators import verify
 
 
@@ -22,3 +24,14 @@ def test_quotes_are_normalised_once_and_lines_judged_once(spark):
     assert (r["text"], r["quotes"], r["citations"]) == ("He said “a quote that the book does hold, whole and long”.\nend", 1, 0)
     # what was judged is written: nothing behind it reads the evidence again
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlapping_chunks_of_a_long_line_without_sentences(spark):
+    # a pattern that runs to the end from each place takes minutes for this line
+    rows = [(1, "One is short. " * 3 + "word " * 60_000), (2, "a" * 1000 + "\n" + "b" * 1000), (3, None), (4, "word " * 60_000)]
+    d = spark.createDataFrame(rows, "id int, t string")
+    begun = time.monotonic()
+    got = {r["id"]: r["c"] for r in d.select("id", chunking.chunk_overlap("t", separator="\n").alias("c")).collect()}
+    assert time.monotonic() - begun < 60
+    assert got[1] == ["One is short.  One is short.  One is short."] and got[3] is None and got[4] == [("word " * 60_000).strip()]
+    assert got[2] == ["a" * 1000, "a" * 200 + "\n\n" + "b" * 1000]
