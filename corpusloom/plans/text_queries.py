@@ -217,8 +217,10 @@ def f15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f16_normalise_query")
 def f16(spark: SparkSession, sf: str) -> DataFrame:
-    lexicon = I.build_lexicon(I.word_frequency(chunks(spark, sf), LATIN), roman=F.lower("word")).select("key", "native")
-    words = I.word_frequency(chunks(spark, sf), LATIN).where("freq > 500").select(F.lower("word").alias("word")).distinct().withColumn("native", F.upper("word"))
+    with Scratch(spark) as scratch:
+        freq = scratch.staged(I.word_frequency(chunks(spark, sf), LATIN))
+        lexicon = cut(I.build_lexicon(freq, roman=F.lower("word")).select("key", "native"))
+        words = cut(freq.where("freq > 500").select(F.lower("word").alias("word")).distinct().withColumn("native", F.upper("word")))
     return R.transliterate(table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn")).select("id", "text"), "text", words, lexicon).select("id", F.md5("query").alias("digest"), "transliterated")
 
 

@@ -1,8 +1,11 @@
 """Steps whose cost grew faster than their input: the same results, and the work done once."""
 import time
 
+import numpy as np
+
 from corpusloom.functions import chunking, ocr
-from corpusloom.operators import verify
+from corpusloom.operators import index, verify
+from corpusloom.profiles import LATIN
 
 
 def test_scan_noise_goes_and_a_word_is_judged_once(spark):
@@ -35,3 +38,30 @@ def test_overlapping_chunks_of_a_long_line_without_sentences(spark):
     assert time.monotonic() - begun < 60
     assert got[1] == ["One is short.  One is short.  One is short."] and got[3] is None and got[4] == [("word " * 60_000).strip()]
     assert got[2] == ["a" * 1000, "a" * 200 + "\n\n" + "b" * 1000]
+
+
+def test_words_are_counted_before_they_are_rows(spark):
+    d = spark.createDataFrame([("An apple, an À-lá öö x",), (None,), ("apple",)], "text string").coalesce(1)
+    freq = index.word_frequency(d, LATIN)
+    assert {r["word"]: r["freq"] for r in freq.collect()} == {"An": 1, "an": 1, "apple": 2, "lá": 1, "öö": 1}
+    assert "Generate" not in freq._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_window_hashes_take_a_pass_for_each_doubling():
+    codes = np.arange(1, 60, dtype=np.uint64) * np.uint64(0x1F3D5B79)
+    for width in (1, 2, 7, 20, 32):
+        plain = np.zeros(60 - width, np.uint64)
+        for j in range(width):
+            plain = plain * np.uint64(0x9E3779B97F4A7C15) + codes[j : 60 - width + j]
+        assert (verify._window_hashes(codes, width) == (plain ^ (plain >> np.uint64(32)))).all()
+        assert (verify._window_hashes(codes[None, :width], width)[0, 0] == verify._window_hashes(codes, width)[0])
+
+    class Counted(np.ndarray):
+        products = 0
+
+        def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+            Counted.products += ufunc is np.multiply
+            return getattr(ufunc, method)(*(np.asarray(x) for x in inputs), **kwargs).view(Counted)
+
+    verify._window_hashes(codes.view(Counted), 20)
+    assert Counted.products <= 6
