@@ -82,7 +82,8 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """
     # small numbers, since every string of the plan repeats them in the driver
     classes = F.from_json(F.lit(json.dumps(rarity_classes(sets), separators=(",", ":"))), "array<tinyint>")
-    above = lambda x: F.shiftleft(F.get(classes, x.bitwiseAND(SLOTS - 1).cast("int")).cast("bigint"), 56)
+    # never null, so that the words are sorted as plain numbers
+    above = lambda x: F.shiftleft(F.coalesce(F.get(classes, x.bitwiseAND(SLOTS - 1).cast("int")), F.lit(0).cast("tinyint")).cast("bigint"), 56)
     ranked = F.transform("w", lambda x: above(x).bitwiseOR(x.bitwiseAND((1 << 56) - 1)))
     flip = "s ^ shiftleft(1L, int(x & 63))"
     p = f"if(n < {WIDE}, aggregate(w, 0L, (s, x) -> {flip}), aggregate(w, 0L, (s, x) -> if(x & 64 = 0, {flip}, s)))"
@@ -112,14 +113,14 @@ def postings(found: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     or, if that is hot, at the first two. Sets so small that one common word may do are posted at both.
     """
     at = "(bigint(least(n, 65535)) << 16) | least(i, 65535)"
-    rare = found.where("next is null").select("h", "n", "p", "q", F.posexplode("prefix").alias("i", "x"))
-    rare = rare.selectExpr("h", "x", "p", "q", f"{at} as at")
-    mixed = found.where("next is not null").select("h", "n", "p", "q", "prefix", "next", F.posexplode("prefix").alias("i", "x"))
-    pairs = "transform(array_append(slice(prefix, i + 2, size(prefix)), next), y -> xxhash64(x, y))"
-    keys = f"if(hot is null, array(x), if(n * {percent} > 100, {pairs}, array_append({pairs}, x)))"
+    posted = found.select("h", "n", "p", "q", "prefix", "next", F.posexplode("prefix").alias("i", "x"))
     # hot words are few, one for each HOT postings at most: without a broadcast every set would be shuffled for each prefix word
-    mixed = mixed.join(F.broadcast(hot), "x", "left").select("h", F.explode(F.expr(keys)).alias("key"), "p", "q", F.expr(at).alias("at"))
-    return rare.unionByName(mixed.withColumnRenamed("key", "x"))
+    posted = posted.join(F.broadcast(hot), "x", "left")
+    # one chain of explodes: a semi-join goes through a union, and then each part of it is shuffled beside the whole
+    after = "array_append(slice(prefix, i + 2, size(prefix)), next)"
+    seconds = f"if(hot is null, array(null), if(n * {percent} > 100, {after}, array_append({after}, null)))"
+    posted = posted.select("h", "n", "p", "q", "i", "x", F.explode(F.expr(seconds)).alias("y"))
+    return posted.selectExpr("h", "if(y is null, x, xxhash64(x, y)) as x", "p", "q", f"{at} as at")
 
 
 def _near(percent: int) -> str:

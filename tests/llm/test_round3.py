@@ -277,3 +277,23 @@ def test_hot_words_are_looked_up_without_a_shuffle(spark):
         assert "SortMergeJoin" not in posted._jdf.queryExecution().sparkPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_postings_are_shuffled_once(spark):
+    """Both sides of the semi-join are one shuffle: none goes through a union and is shuffled again for each part of it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(h, 6, h, 0, [10, 20 + h % 2, 30 + h], None if h % 2 else 99) for h in range(40)]
+    found = spark.createDataFrame(rows, "h long, n int, p long, q long, prefix array<long>, next long")
+    try:
+        posted = line_dedup.postings(found, spark.createDataFrame([(20, True)], "x long, hot boolean"), 80)
+        # a hot word is posted with each of the two words after it
+        assert posted.count() == 20 * 3 + 20 * 4
+        a, b = (posted.alias(side) for side in "ab")
+        met = a.join(b.hint("merge"), line_dedup.F.expr(line_dedup._near(80)), "left_semi")
+        plan = lambda: met._jdf.queryExecution().executedPlan().toString()
+        assert plan().count("SortMergeJoin") == 1
+        met.collect()
+        assert "ReusedExchange" in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
