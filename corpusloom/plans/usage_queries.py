@@ -35,14 +35,14 @@ GRAMS = r"""gr AS (SELECT book, page, CASE WHEN len(w) >= 3 THEN list_distinct(l
  SELECT book, page, round(CASE WHEN len(t) > 0 AND len(b) > 0 THEN len(list_intersect(t, b)) / len(list_distinct(list_concat(t, b))) ELSE 0 END, 9) AS similarity FROM p WHERE b IS NOT NULL""")
 def u03(spark: SparkSession, sf: str) -> DataFrame:
     with Scratch(spark) as scratch:
-        d = P.previous_page(chunks(spark, sf).select("book", "page", P.word_trigrams("text").alias("t")), "t", scratch).where("before is not null")
-        return cut(d.select("book", "page", F.round(P.jaccard(F.col("t"), F.col("before")), 9).alias("similarity")))
+        d = P.like_previous(chunks(spark, sf), scratch).where("similarity is not null")
+        return cut(d.select("book", "page", F.round("similarity", 9).alias("similarity")))
 
 
 @query("w05_duplicate_of_previous", rf"""WITH {CHUNKS}, {GRAMS}, p AS (SELECT book, page, t, lag(t) OVER (PARTITION BY book ORDER BY page) AS b FROM gr)
  SELECT book, page, coalesce(len(t) > 0 AND len(b) > 0 AND len(list_intersect(t, b)) / len(list_distinct(list_concat(t, b))) > 0.85, false) AS duplicate FROM p""")
 def w05a(spark: SparkSession, sf: str) -> DataFrame:
-    return P.flag_duplicate_pages(chunks(spark, sf).withColumn("usable", F.lit(True)), mode="previous").select("book", "page", "duplicate")
+    return P.flag_duplicate_pages(chunks(spark, sf).withColumn("usable", F.lit(True)), mode="previous", keep=("book", "page"))
 
 
 @query("w05_duplicate_pages")

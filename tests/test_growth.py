@@ -1,11 +1,15 @@
 """Steps whose cost grew faster than their input: the same results, and the work done once."""
+import random
 import time
 
 import numpy as np
+import pytest
+from pyspark.sql import Row
 
 from corpusloom.functions import chunking, ocr
-from corpusloom.operators import index, verify
+from corpusloom.operators import index, pages, verify
 from corpusloom.profiles import LATIN
+from corpusloom.session import Scratch
 
 
 def test_scan_noise_goes_and_a_word_is_judged_once(spark):
@@ -65,3 +69,37 @@ def test_window_hashes_take_a_pass_for_each_doubling():
 
     verify._window_hashes(codes.view(Counted), 20)
     assert Counted.products <= 6
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_pages_are_compared_with_the_one_before_in_one_shuffle(spark, parts):
+    """Ranges that begin in a book, books of one page, empty and null texts, a null book; texts are neither joined nor written."""
+    rng, rows, want = random.Random(3), [], {}
+    for i in range(120):
+        book = None if i < 20 else "hot" if i < 100 else f"s{i // 2}"
+        before = rows[-1][2] if rows and rng.random() < 0.5 else None
+        rows.append((book, i, before or rng.choice(["", None, "a b", "one two three four", " ".join(rng.choices("abcdefgh", k=40))]), "x"))
+    grams = lambda t: {tuple(w[j:j + 3]) for w in [(t or "").split()] for j in range(len(w) - 2)}
+    for (a, _, x, _), (b, page, y, _) in zip(rows, rows[1:]):
+        if a == b:
+            both, every = grams(x) & grams(y), grams(x) | grams(y)
+            want[page] = len(both) / len(every) if both else 0.0
+    frame = spark.createDataFrame(rows, "book string, page int, text string, other string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        with Scratch(spark) as scratch:
+            got = pages.like_previous(frame, scratch)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert len(got.collect()) == 120 and {r.page: r.similarity for r in got.collect() if r.similarity is not None} == want
+            assert "SortMergeJoin" not in plan and "text" not in plan
+        flagged = pages.flag_duplicate_pages(frame, mode="previous")
+        assert flagged.columns == [*frame.columns, "duplicate"]
+        assert sorted(map(str, flagged.collect())) == sorted(str(spark_row(r, want.get(r[1], 0) > 0.85)) for r in rows)
+        assert pages.like_previous(frame.limit(0), Scratch(spark)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def spark_row(row, duplicate):
+    return Row(book=row[0], page=row[1], text=row[2], other=row[3], duplicate=duplicate)
